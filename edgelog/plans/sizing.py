@@ -1,0 +1,17 @@
+"""Size checks that decide between a broadcast and a shuffle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+MAX_BROADCAST_BYTES = 8 * 1024 * 1024
+
+
+def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """True if the optimizer's estimate for ``df`` is at most ``limit`` bytes.
+
+    For files it is their size on disk, for joins the product of both sides, and for data of unknown
+    size it is too large for any limit; so the limit is kept well below what executors can hold.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(estimate.toString()) <= limit
