@@ -56,11 +56,20 @@ def _first_failure(*checks: tuple[Column, str]) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def require_text(text: Column, field: Column | str) -> Column:
     """Strip, and reject what is then empty (null counts as empty)."""
     field = F.lit(field) if isinstance(field, str) else field
-    clean = F.coalesce(strip_ws(text), F.lit(""))
-    return _checked(clean, F.when(clean == "", F.concat(field, F.lit(" is required"))))
+    return _let(
+        F.coalesce(strip_ws(text), F.lit("")),
+        lambda clean: _checked(
+            clean, F.when(clean == "", F.concat(field, F.lit(" is required")))
+        ),
+    )
 
 
 def approved_host(host: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES) -> Column:
@@ -69,6 +78,21 @@ def approved_host(host: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
     )
 
 
+def _url_parts(url: Column) -> Column:
+    def part(name: str) -> Column:
+        return F.try_parse_url(url, F.lit(name))
+
+    return F.struct(
+        url.alias("url"),
+        ascii_lower(part("PROTOCOL")).alias("scheme"),
+        ascii_lower(part("HOST")).alias("host"),
+        F.regexp_extract(part("AUTHORITY"), r":([0-9]+)$", 1).alias("port"),
+        part("USERINFO").alias("user"),
+        part("PATH").alias("path"),
+        F.coalesce(part("QUERY"), part("REF")).isNotNull().alias("has_more"),
+    )
+
+
 def validate_endpoint(
     endpoint: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
 ) -> Column:
@@ -76,48 +100,50 @@ def validate_endpoint(
 
     Hosts outside ASCII and other forms ``java.net.URI`` does not take are rejected as invalid.
     """
-    url = strip_ws(endpoint)
 
-    def part(name: str) -> Column:
-        return F.try_parse_url(url, F.lit(name))
-
-    scheme, host = ascii_lower(part("PROTOCOL")), ascii_lower(part("HOST"))
-    port = F.regexp_extract(part("AUTHORITY"), r":([0-9]+)$", 1)
-    port_number = F.when(port != "", port.try_cast("bigint"))
-    needs_host = scheme.isin("http", "https", "ws", "wss", "ftp")
-    error = _first_failure(
-        (url.isNull(), None),
-        (url == "", "endpoint required"),
-        (
-            scheme.isNull()
-            | (needs_host & host.isNull())
-            | ((port != "") & (port_number.isNull() | (port_number > 65535))),
-            "endpoint must be a valid URL",
-        ),
-        (host.isNull(), "endpoint must include a host"),
-        (scheme != "https", "endpoint must use https"),
-        (~approved_host(host, hosts, suffixes), "endpoint must be an approved DBpedia endpoint"),
-        (part("PATH") != "/sparql", "endpoint path must be /sparql"),
-        (
-            part("QUERY").isNotNull() | part("REF").isNotNull(),
-            "endpoint must not include query or fragment",
-        ),
-    )
-    user = F.coalesce(F.concat(part("USERINFO"), F.lit("@")), F.lit(""))
-    shown_port = F.when(port.isin("", "443"), F.lit("")).otherwise(
-        F.concat(F.lit(":"), port_number.cast("string"))
-    )
-    clean = F.concat(F.lit("https://"), user, host, F.coalesce(shown_port, F.lit("")), F.lit("/sparql"))
-    return _checked(F.when(url.isNotNull(), clean), error)
+    def check(parts: Column) -> Column:
+        url, scheme, host, port = (parts[c] for c in ("url", "scheme", "host", "port"))
+        number = F.when(port != "", port.try_cast("bigint"))
+        needs_host = scheme.isin("http", "https", "ws", "wss", "ftp")
+        error = _first_failure(
+            (url.isNull(), None),
+            (url == "", "endpoint required"),
+            (
+                scheme.isNull()
+                | (needs_host & host.isNull())
+                | ((port != "") & (number.isNull() | (number > 65535))),
+                "endpoint must be a valid URL",
+            ),
+            (host.isNull(), "endpoint must include a host"),
+            (scheme != "https", "endpoint must use https"),
+            (
+                ~approved_host(host, hosts, suffixes),
+                "endpoint must be an approved DBpedia endpoint",
+            ),
+            (parts["path"] != "/sparql", "endpoint path must be /sparql"),
+            (parts["has_more"], "endpoint must not include query or fragment"),
+        )
+        clean = F.concat(
+            F.lit("https://"),
+            F.coalesce(F.concat(parts["user"], F.lit("@")), F.lit("")),
+            host,
+            F.when(number != 443, F.concat(F.lit(":"), number)).otherwise(F.lit("")),
+            F.lit("/sparql"),
+        )
+        return _checked(F.when(url.isNotNull(), clean), error)
+
+    return _let(_let(strip_ws(endpoint), _url_parts), check)
 
 
 def validate_language(lang: Column, default: str = "en") -> Column:
     """A language tag, lower-cased: letters first, then parts of 1 to 8 letters or digits."""
-    clean = ascii_lower(strip_ws(F.coalesce(lang, F.lit(default))))
-    valid = clean.rlike(r"^[a-z]{1,8}(-[a-z0-9]{1,8})*$") & (F.length(clean) <= 35)
-    return _checked(
-        clean, F.when(~valid, F.lit("lang must be a valid BCP-47-style language tag"))
-    )
+
+    def check(clean: Column) -> Column:
+        valid = clean.rlike(r"^[a-z]{1,8}(-[a-z0-9]{1,8})*$") & (F.length(clean) <= 35)
+        message = "lang must be a valid BCP-47-style language tag"
+        return _checked(clean, F.when(~valid, F.lit(message)))
+
+    return _let(ascii_lower(strip_ws(F.coalesce(lang, F.lit(default)))), check)
 
 
 def resource_iri(entity_id: Column, lang: Column) -> Column:

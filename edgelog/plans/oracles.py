@@ -314,6 +314,10 @@ FROM (SELECT unnest(range(min(b), max(b) + 1, 3600)) AS b FROM down) hours LEFT
 SELECT observed_at_unix_secs, total_requests FROM points ORDER BY total_requests DESC, observed_at_unix_secs LIMIT 1""",
     "latest_hour": _with(LOGS, POINTS) + """
 SELECT observed_at_unix_secs, total_requests FROM points ORDER BY observed_at_unix_secs DESC LIMIT 1""",
+    "summary_json": _with(
+        LOGS, "summary AS (" + _summary(604_800).replace(_with(LOGS), "") + ")"
+    )
+    + "SELECT CAST(to_json(summary) AS VARCHAR) AS json FROM summary",
     "percent_label": _with(LOGS, POINTS) + """
 SELECT observed_at_unix_secs, CAST(CAST(floor(cache_hit_rate * 100 + 0.5) AS INTEGER) AS VARCHAR) || '%' AS cache_hits,
   '0%' AS nothing FROM points""",

@@ -14,4 +14,4 @@ def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
     size it is too large for any limit; so the limit is kept well below what executors can hold.
     """
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(estimate.toString()) <= limit
+    return int(str(estimate)) <= limit

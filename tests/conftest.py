@@ -16,6 +16,7 @@ def make_session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .appName("edgelog-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .config("spark.checkpoint.dir", f"{scratch}/shared")
