@@ -20,14 +20,15 @@ def canonical_params(params: Column) -> Column:
     return F.array_join(pairs, "&")
 
 
-def key_params(route: Column, lang: Column, endpoint: Column) -> Column:
-    """The parameters that take part in a route's key: language, and the endpoint if one is set.
+def request_params(route: Column, lang: Column, endpoint: Column) -> Column:
+    """Canonical parameters of a request: the endpoint if one is set, and the language.
 
-    A raw query has no language of its own, so its key always says ``raw``.
+    A raw query has no language of its own, so its key always says ``raw``. The two names are known,
+    so their order is too, and no array has to be sorted per row.
     """
     key_lang = F.when(route == "sparql", F.lit("raw")).otherwise(lang)
-    candidates = F.array(param("lang", key_lang), param("endpoint", endpoint))
-    return F.filter(candidates, lambda p: p["v"].isNotNull())
+    chosen = F.concat(F.lit("endpoint="), endpoint, F.lit("&"))
+    return F.concat(F.coalesce(chosen, F.lit("")), F.lit("lang="), key_lang)
 
 
 def key_resource(route: Column, resource: Column) -> Column:
@@ -40,20 +41,25 @@ def _length_prefixed(part: Column) -> Column:
     return F.concat(length, F.encode(part, "utf-8"))
 
 
+def digest_key(namespace: Column, resource: Column, params: Column, salt: str = DEFAULT_SALT) -> Column:
+    """SHA-256 over the salt and three texts, each led by its length as 8 big-endian bytes."""
+    parts = [_length_prefixed(p) for p in (namespace, resource, params)]
+    return F.sha2(F.concat(F.encode(F.lit(salt), "utf-8"), *parts), 256)
+
+
 def cache_key(
     namespace: Column, resource: Column, params: Column, salt: str = DEFAULT_SALT
 ) -> Column:
-    """SHA-256 over the salt and three parts, each led by its length as 8 big-endian bytes."""
-    parts = (namespace, resource, canonical_params(params))
-    salted = F.concat(F.encode(F.lit(salt), "utf-8"), *[_length_prefixed(p) for p in parts])
-    return F.sha2(salted, 256)
+    """Key of a resource with any parameters, given as ``array<struct<k,v>>``."""
+    return digest_key(namespace, resource, canonical_params(params), salt)
 
 
 def request_key(
     route: Column, resource: Column, lang: Column, endpoint: Column, salt: str = DEFAULT_SALT
 ) -> Column:
     """The cache key of a validated request."""
-    return cache_key(route, key_resource(route, resource), key_params(route, lang, endpoint), salt)
+    params = request_params(route, lang, endpoint)
+    return digest_key(route, key_resource(route, resource), params, salt)
 
 
 def _first_forwarded(header: Column) -> Column:

@@ -56,20 +56,18 @@ def _first_failure(*checks: tuple[Column, str]) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def text_error(clean: Column, field: Column) -> Column:
+    return F.when(clean == "", F.concat(field, F.lit(" is required")))
 
 
 def require_text(text: Column, field: Column | str) -> Column:
     """Strip, and reject what is then empty (null counts as empty)."""
-    field = F.lit(field) if isinstance(field, str) else field
-    return _let(
-        F.coalesce(strip_ws(text), F.lit("")),
-        lambda clean: _checked(
-            clean, F.when(clean == "", F.concat(field, F.lit(" is required")))
-        ),
-    )
+    clean = clean_text(text)
+    return _checked(clean, text_error(clean, F.lit(field) if isinstance(field, str) else field))
+
+
+def clean_text(text: Column) -> Column:
+    return F.coalesce(strip_ws(text), F.lit(""))
 
 
 def approved_host(host: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES) -> Column:
@@ -78,72 +76,87 @@ def approved_host(host: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
     )
 
 
-def _url_parts(url: Column) -> Column:
+def url_parts(url: Column) -> dict[str, Column]:
+    """The parts of a stripped URL that the endpoint check looks at."""
+
     def part(name: str) -> Column:
         return F.try_parse_url(url, F.lit(name))
 
-    return F.struct(
-        url.alias("url"),
-        ascii_lower(part("PROTOCOL")).alias("scheme"),
-        ascii_lower(part("HOST")).alias("host"),
-        F.regexp_extract(part("AUTHORITY"), r":([0-9]+)$", 1).alias("port"),
-        part("USERINFO").alias("user"),
-        part("PATH").alias("path"),
-        F.coalesce(part("QUERY"), part("REF")).isNotNull().alias("has_more"),
+    return {
+        "scheme": ascii_lower(part("PROTOCOL")),
+        "host": ascii_lower(part("HOST")),
+        "port": F.regexp_extract(part("AUTHORITY"), r":([0-9]+)$", 1),
+        "user": part("USERINFO"),
+        "path": part("PATH"),
+        "has_more": F.coalesce(part("QUERY"), part("REF")).isNotNull(),
+    }
+
+
+def endpoint_error(
+    url: Column, parts: dict[str, Column], hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
+) -> Column:
+    """Message of the first failed check, in a fixed order; null passes as no override."""
+    scheme, host, port = parts["scheme"], parts["host"], parts["port"]
+    number = F.when(port != "", port.try_cast("bigint"))
+    needs_host = scheme.isin("http", "https", "ws", "wss", "ftp")
+    return _first_failure(
+        (url.isNull(), None),
+        (url == "", "endpoint required"),
+        (
+            scheme.isNull()
+            | (needs_host & host.isNull())
+            | ((port != "") & (number.isNull() | (number > 65535))),
+            "endpoint must be a valid URL",
+        ),
+        (host.isNull(), "endpoint must include a host"),
+        (scheme != "https", "endpoint must use https"),
+        (~approved_host(host, hosts, suffixes), "endpoint must be an approved DBpedia endpoint"),
+        (parts["path"] != "/sparql", "endpoint path must be /sparql"),
+        (parts["has_more"], "endpoint must not include query or fragment"),
+    )
+
+
+def clean_endpoint(url: Column, parts: dict[str, Column]) -> Column:
+    """An accepted endpoint in normal form: lower-case host, no default port."""
+    number = F.when(parts["port"] != "", parts["port"].try_cast("bigint"))
+    return F.when(
+        url.isNotNull(),
+        F.concat(
+            F.lit("https://"),
+            F.coalesce(F.concat(parts["user"], F.lit("@")), F.lit("")),
+            parts["host"],
+            F.when(number != 443, F.concat(F.lit(":"), number)).otherwise(F.lit("")),
+            F.lit("/sparql"),
+        ),
     )
 
 
 def validate_endpoint(
     endpoint: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
 ) -> Column:
-    """An endpoint override, checked in a fixed order; null passes as no override.
+    """An endpoint override.
 
     Hosts outside ASCII and other forms ``java.net.URI`` does not take are rejected as invalid.
     """
+    url = strip_ws(endpoint)
+    parts = url_parts(url)
+    return _checked(clean_endpoint(url, parts), endpoint_error(url, parts, hosts, suffixes))
 
-    def check(parts: Column) -> Column:
-        url, scheme, host, port = (parts[c] for c in ("url", "scheme", "host", "port"))
-        number = F.when(port != "", port.try_cast("bigint"))
-        needs_host = scheme.isin("http", "https", "ws", "wss", "ftp")
-        error = _first_failure(
-            (url.isNull(), None),
-            (url == "", "endpoint required"),
-            (
-                scheme.isNull()
-                | (needs_host & host.isNull())
-                | ((port != "") & (number.isNull() | (number > 65535))),
-                "endpoint must be a valid URL",
-            ),
-            (host.isNull(), "endpoint must include a host"),
-            (scheme != "https", "endpoint must use https"),
-            (
-                ~approved_host(host, hosts, suffixes),
-                "endpoint must be an approved DBpedia endpoint",
-            ),
-            (parts["path"] != "/sparql", "endpoint path must be /sparql"),
-            (parts["has_more"], "endpoint must not include query or fragment"),
-        )
-        clean = F.concat(
-            F.lit("https://"),
-            F.coalesce(F.concat(parts["user"], F.lit("@")), F.lit("")),
-            host,
-            F.when(number != 443, F.concat(F.lit(":"), number)).otherwise(F.lit("")),
-            F.lit("/sparql"),
-        )
-        return _checked(F.when(url.isNotNull(), clean), error)
 
-    return _let(_let(strip_ws(endpoint), _url_parts), check)
+def clean_language(lang: Column, default: str = "en") -> Column:
+    return ascii_lower(strip_ws(F.coalesce(lang, F.lit(default))))
 
 
-def validate_language(lang: Column, default: str = "en") -> Column:
-    """A language tag, lower-cased: letters first, then parts of 1 to 8 letters or digits."""
+def language_error(clean: Column) -> Column:
+    """Letters first, then parts of 1 to 8 letters or digits, 35 characters at most."""
+    valid = clean.rlike(r"^[a-z]{1,8}(-[a-z0-9]{1,8})*$") & (F.length(clean) <= 35)
+    return F.when(~valid, F.lit("lang must be a valid BCP-47-style language tag"))
 
-    def check(clean: Column) -> Column:
-        valid = clean.rlike(r"^[a-z]{1,8}(-[a-z0-9]{1,8})*$") & (F.length(clean) <= 35)
-        message = "lang must be a valid BCP-47-style language tag"
-        return _checked(clean, F.when(~valid, F.lit(message)))
 
-    return _let(ascii_lower(strip_ws(F.coalesce(lang, F.lit(default)))), check)
+def validate_language(lang: Column, default: str = "en") -> Column:
+    """A language tag, lower-cased."""
+    clean = clean_language(lang, default)
+    return _checked(clean, language_error(clean))
 
 
 def resource_iri(entity_id: Column, lang: Column) -> Column:

@@ -84,8 +84,10 @@ def resolve_requests(
     adaptive execution can split a hot key.
     """
     kind = validate.classify_origin(F.col("status"), F.col("body"), max_bytes)
-    entries = cache.where(is_json(F.col("payload"))).select(
-        "cache_key", "payload", "expires_at_unix_secs"
+    entries = cache.select(
+        "cache_key",
+        F.when(is_json(F.col("payload")), F.col("payload")).alias("payload"),
+        "expires_at_unix_secs",
     )
     answers = origin.select(
         "cache_key",
@@ -95,7 +97,7 @@ def resolve_requests(
     )
     known = entries.join(answers, "cache_key", "full_outer")
     resolved = requests.join(known, "cache_key", "left")
-    fresh = F.coalesce(F.col("expires_at_unix_secs") >= as_column(as_of), F.lit(False))
+    fresh = F.col("payload").isNotNull() & (F.col("expires_at_unix_secs") >= as_column(as_of))
     source = (
         F.when(fresh, F.lit("cache"))
         .when(F.col("origin_class") == "ok", F.lit("origin"))

@@ -2,51 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelog.functions import keys, validate
+from edgelog.functions.text import strip_ws
 
 
-def check_requests(requests: DataFrame, hosts=validate.APPROVED_HOSTS) -> DataFrame:
+def check_requests(
+    requests: DataFrame, hosts=validate.APPROVED_HOSTS, suffixes=validate.APPROVED_SUFFIXES
+) -> DataFrame:
     """Clean field values and, for a rejected request, the message of its first failed check.
 
-    Checks run in the order text, endpoint, language; raw queries have no language to check.
+    Checks run in the order text, endpoint, language; raw queries have no language to check. Each
+    step is a projection of its own whose columns the next one uses several times, so that Catalyst
+    keeps them apart and every field is stripped and parsed once.
     """
-    route = F.col("route")
-    checked = requests.select(
-        "*",
-        validate.require_text(
-            F.col("resource"), validate.lookup(route, validate.TEXT_FIELDS)
-        ).alias("_text"),
-        validate.validate_endpoint(F.col("endpoint"), hosts).alias("_endpoint"),
-        validate.validate_language(F.col("lang")).alias("_lang"),
+    route, url = F.col("route"), F.col("_url")
+    names = list(validate.url_parts(url))
+    parts = {name: F.col(f"_{name}") for name in names}
+    is_raw = route == "sparql"
+    stripped = requests.withColumns(
+        {
+            "_text": validate.clean_text(F.col("resource")),
+            "_url": strip_ws(F.col("endpoint")),
+            "_lang": validate.clean_language(F.col("lang")),
+            "_field": validate.lookup(route, validate.TEXT_FIELDS),
+        }
+    )
+    parsed = stripped.withColumns({f"_{n}": c for n, c in validate.url_parts(url).items()})
+    judged = parsed.withColumns(
+        {
+            "_text_error": validate.text_error(F.col("_text"), F.col("_field")),
+            "_endpoint_error": validate.endpoint_error(url, parts, hosts, suffixes),
+            "_lang_error": F.when(~is_raw, validate.language_error(F.col("_lang"))),
+        }
     )
-    lang_error = F.when(route != "sparql", F.col("_lang.error"))
-    return checked.withColumns(
+    return judged.withColumns(
         {
-            "resource": F.col("_text.value"),
-            "endpoint": F.col("_endpoint.value"),
-            "lang": F.when(route == "sparql", F.lit("raw")).otherwise(F.col("_lang.value")),
-            "error_message": F.coalesce(F.col("_text.error"), F.col("_endpoint.error"), lang_error),
+            "resource": F.col("_text"),
+            "endpoint": validate.clean_endpoint(url, parts),
+            "lang": F.when(is_raw, F.lit("raw")).otherwise(F.col("_lang")),
+            "error_message": F.coalesce("_text_error", "_endpoint_error", "_lang_error"),
             # Only an empty text is logged, under a fixed hash.
             "invalid_hash": F.when(
-                F.col("_text.error").isNotNull(), validate.lookup(route, validate.INVALID_HASHES)
+                F.col("_text_error").isNotNull(), validate.lookup(route, validate.INVALID_HASHES)
             ),
         }
-    ).drop("_text", "_endpoint", "_lang")
+    ).select(*requests.columns, "error_message", "invalid_hash")
+
+
+def _keep(rows: DataFrame, condition: Column, columns: list[Column | str]) -> DataFrame:
+    """``rows.where(condition).select(*columns)`` that evaluates what the condition uses once.
+
+    A filter would be pushed below the projections that compute it, and compute them again there.
+    """
+    return rows.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
 
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid requests with clean values, and rejected ones with code, message and status."""
     checked = check_requests(requests)
-    valid = checked.where(F.col("error_message").isNull()).drop("error_message", "invalid_hash")
-    rejected = checked.where(F.col("error_message").isNotNull()).select(
-        *[c for c in requests.columns if c not in ("resource", "lang", "endpoint")],
-        F.lit("bad_request").alias("error_code"),
-        "error_message",
-        validate.outcome_status(F.lit("bad_request")).alias("status_code"),
-        "invalid_hash",
+    valid = _keep(checked, F.col("error_message").isNull(), requests.columns)
+    rejected = _keep(
+        checked,
+        F.col("error_message").isNotNull(),
+        [
+            *[c for c in requests.columns if c not in ("resource", "lang", "endpoint")],
+            F.lit("bad_request").alias("error_code"),
+            "error_message",
+            validate.outcome_status(F.lit("bad_request")).alias("status_code"),
+            "invalid_hash",
+        ],
     )
     return valid, rejected
 

@@ -15,3 +15,15 @@ def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
     """
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(estimate)) <= limit
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan over all cores, if its files cannot be split into as many tasks.
+
+    Small tables come as one file with one row group, which one task would read and process. Scans
+    that already have enough tasks are returned as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.functions import keys
-from edgelog.functions.validate import INVALID_HASHES, LANGUAGE_ENDPOINTS, lookup, resource_iri
+from edgelog.functions.validate import INVALID_HASHES, endpoint_for, lookup, resource_iri
 from edgelog.operators.triples import ABSTRACT, LABEL
+from edgelog.plans.sizing import spread
 from edgelog.schemas import CACHE_ENTRIES, REQUEST_LOGS, TRIPLES
 
 EXTRA_SECONDS = 21_600
@@ -19,65 +20,48 @@ DATE = "http://www.w3.org/2001/XMLSchema#date"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def epoch_seconds(ts: str) -> Column:
-    """Whole seconds of a zone-less timestamp read as UTC, in any session zone."""
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+# Whole seconds of a zone-less timestamp read as UTC, in any session zone.
+EPOCH_SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
 def detailed_logs(events: DataFrame) -> DataFrame:
     """Log rows with the helper columns ``k``, ``user_id``, ``event_type``, ``lang``, ``endpoint``, ``resource``."""
-    k, user, kind = F.col("k"), F.col("user_id"), F.col("event_type")
-    error = kind == "error"
-    languages = F.array(*[F.lit(code) for code in ("en", "de", "fr", "am", "es")])
-    routes = F.array(*[F.lit(route) for route in ("entity", "search", "sparql")])
-    rows = events.select(
-        F.col("event_id").alias("id"),
-        epoch_seconds("ts").alias("observed_at_unix_secs"),
+    rows = events.selectExpr(
+        "event_id AS id",
+        f"{EPOCH_SECONDS} AS observed_at_unix_secs",
         "user_id",
         "event_type",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.floor("value").cast("int").alias("latency_ms"),
-        F.get(languages, (user % 5).cast("int")).alias("lang"),
-    )
-    rows = rows.withColumns(
-        {
-            "endpoint": lookup(F.col("lang"), LANGUAGE_ENDPOINTS),
-            "route": F.when(kind.isin("view", "click"), "entity")
-            .when(kind == "purchase", "search")
-            .when(kind == "signup", "sparql")
-            .otherwise(F.get(routes, k % 3)),
-            "status_code": F.when(~error | (k % 4 == 0), 200)
-            .when(k % 4 == 1, 400)
-            .when(k % 4 == 2, 502)
-            .otherwise(503)
-            .cast("smallint"),
-            "stale": error & (k % 4 == 0),
-        }
-    )
-    route, ok = F.col("route"), F.col("status_code") == 200
-    rows = rows.withColumns(
-        {
-            "cache_hit": F.col("stale") | (~error & (k % 10 < 6)),
-            "resource": F.when(route == "entity", F.concat(F.lit("Doc_"), k))
-            .when(route == "search", F.concat(F.lit("query "), k))
-            .otherwise(F.concat(F.lit("SELECT * WHERE { ?s ?p ?o } LIMIT "), k)),
-            "client_hash": keys.hash_client(F.concat(F.lit("user_"), user)),
-        }
-    )
-    entity = F.to_json(
-        F.struct(F.col("resource").alias("entity_id"), "lang", "endpoint"),
-        {"ignoreNullFields": "false"},
-    )
-    return rows.withColumns(
-        {
-            "query_hash": F.when(
-                F.col("status_code") == 400, lookup(route, INVALID_HASHES)
-            ).otherwise(keys.request_key(route, F.col("resource"), F.col("lang"), F.col("endpoint"))),
-            "metadata": F.when((route == "entity") & ok & ~F.col("stale"), entity).otherwise("{}"),
-        }
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "CAST(floor(value) AS INT) AS latency_ms",
+        "array('en', 'de', 'fr', 'am', 'es')[CAST(user_id % 5 AS INT)] AS lang",
+    ).selectExpr(
+        "*",
+        """CASE WHEN event_type IN ('view', 'click') THEN 'entity' WHEN event_type = 'purchase' THEN 'search'
+           WHEN event_type = 'signup' THEN 'sparql' ELSE array('entity', 'search', 'sparql')[k % 3] END AS route""",
+        """CAST(CASE WHEN event_type != 'error' OR k % 4 = 0 THEN 200 WHEN k % 4 = 1 THEN 400
+           WHEN k % 4 = 2 THEN 502 ELSE 503 END AS SMALLINT) AS status_code""",
+        "event_type = 'error' AND k % 4 = 0 AS stale",
+        "sha2(concat('user_', user_id), 256) AS client_hash",
+    )
+    rows = rows.withColumn("endpoint", endpoint_for(F.col("lang"))).selectExpr(
+        "*",
+        "stale OR (event_type != 'error' AND k % 10 < 6) AS cache_hit",
+        """CASE route WHEN 'entity' THEN concat('Doc_', k) WHEN 'search' THEN concat('query ', k)
+           ELSE concat('SELECT * WHERE { ?s ?p ?o } LIMIT ', k) END AS resource""",
+    )
+    key = keys.request_key(F.col("route"), F.col("resource"), F.col("lang"), F.col("endpoint"))
+    return rows.select(
+        "*",
+        F.when(F.col("status_code") == 400, lookup(F.col("route"), INVALID_HASHES))
+        .otherwise(key)
+        .alias("query_hash"),
+        F.expr(
+            """CASE WHEN route = 'entity' AND status_code = 200 AND NOT stale THEN to_json(
+               struct(resource AS entity_id, lang, endpoint), map('ignoreNullFields', 'false')) ELSE '{}' END"""
+        ).alias("metadata"),
     )
 
 

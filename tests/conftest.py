@@ -21,7 +21,6 @@ def make_session() -> SparkSession:
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .config("spark.checkpoint.dir", f"{scratch}/shared")
         .config("spark.driver.memory", "8g")
-        .config("spark.driver.extraJavaOptions", f"-Dderby.system.home={scratch}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
