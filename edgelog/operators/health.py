@@ -52,6 +52,9 @@ def outcome_runs(calls: DataFrame, prior: DataFrame | None = None) -> DataFrame:
         "ok",
         (~F.col("ok")).cast("bigint").alias("failed"),
     )
+    # The joins below would add these filters to some branches only, and so shuffle the calls thrice.
+    for key in slice_keys:
+        sliced = sliced.where(F.col(key).isNotNull())
     in_slice = Window.partitionBy(*slice_keys).orderBy("seq")
     scanned = sliced.withColumn(
         "fails", F.sum("failed").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgelog.plans.sizing import MAX_BROADCAST_BYTES, fits_broadcast
+from edgelog.session import shared_dir
 
 # The vocabulary the lookups use.
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
@@ -137,7 +138,9 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     hits = _ranked(hits, ["query_id"], ["subject", "label"], MAX_SEARCH_ROWS)
     hits = hits.where(F.col("_n") < F.col("_limit")).drop("_n")
     if fits_broadcast(queries, MAX_BROADCAST_BYTES // MAX_SEARCH_ROWS):
-        # No more subjects than MAX_SEARCH_ROWS per query.
+        # No more subjects than MAX_SEARCH_ROWS per query. Kept, as the labels would be searched again.
+        shared_dir(triples.sparkSession)
+        hits = hits.checkpoint()
         triples = triples.join(F.broadcast(hits.select("subject").distinct()), "subject", "left_semi")
     abstracts = _literals(triples, ABSTRACT, "abstract", MAX_SEARCH_ROWS).select(
         "subject", "lang", "abstract"

@@ -189,9 +189,10 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         fact(F.lit(True), TYPE, F.lit(ONTOLOGY + "Person"), "uri"),
     )
     documents = table(spark, sf_dir, "documents")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # The 25 nations are the same at every scale.
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     rows = documents.join(table(spark, sf_dir, "labels"), "doc_id", "left").join(
-        nations, F.col("n_nationkey") == F.col("n_chars") % 25, "left"
+        F.broadcast(nations), F.col("n_nationkey") == F.col("n_chars") % 25, "left"
     )
     return rows.select(
         F.concat(F.lit(RESOURCE + "Doc_"), doc).alias("subject"),
