@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from edgelog.functions import validate
 from edgelog.functions.metadata import is_json
 from edgelog.functions.numeric import as_column
+from edgelog.plans.sizing import worth_pruning
 
 TTL = 604_800
 
@@ -41,15 +42,14 @@ def fresh_entries(updates: DataFrame, ttl: int = TTL) -> DataFrame:
 def upsert_cache(existing: DataFrame, updates: DataFrame, ttl: int = TTL) -> DataFrame:
     """The cache after the updates: the last write of a key wins, and any update beats the entry.
 
-    Of updates of one key fetched in the same second the one with the larger payload text wins.
+    Of updates of one key fetched in the same second the one with the larger payload text wins. Only
+    the updates are aggregated; a few of them are broadcast, and then the cache is not shuffled.
     """
-    columns = existing.columns
-    new = fresh_entries(updates, ttl).select(*columns, F.lit(1).alias("_new"))
-    both = existing.select(*columns, F.lit(0).alias("_new")).unionByName(new)
-    values = F.struct(*[c for c in columns if c != "cache_key"])
-    version = F.struct("_new", "created_at_unix_secs", "payload")
-    latest = both.groupBy("cache_key").agg(F.max_by(values, version).alias("latest"))
-    return latest.select("cache_key", "latest.*").select(*columns)
+    values = F.struct("fetched_at_unix_secs", "payload")
+    latest = updates.groupBy("cache_key").agg(F.max(values).alias("latest"))
+    new = fresh_entries(latest.select("cache_key", "latest.*"), ttl)
+    kept = existing.join(new.select("cache_key"), "cache_key", "left_anti")
+    return kept.select(*existing.columns).unionByName(new)
 
 
 def record_hits(cache: DataFrame, accesses: DataFrame, ttl: int = TTL) -> DataFrame:
@@ -81,51 +81,51 @@ def resolve_requests(
     An entry whose payload cannot be read counts as missing. A key without an origin response was
     not asked for (its breaker was open). Cache and origin have one row per key each and are put
     together first, so that the requests, whose keys may be very uneven, are joined only once and
-    adaptive execution can split a hot key.
+    adaptive execution can split a hot key. A few requests first pick the entries they ask for.
     """
+    asked = requests.select("cache_key").distinct()
+    if worth_pruning(asked, cache):
+        cache = cache.join(F.broadcast(asked), "cache_key", "left_semi")
+        origin = origin.join(F.broadcast(asked), "cache_key", "left_semi")
     kind = validate.classify_origin(F.col("status"), F.col("body"), max_bytes)
     entries = cache.select(
         "cache_key",
-        F.when(is_json(F.col("payload")), F.col("payload")).alias("payload"),
-        "expires_at_unix_secs",
+        F.when(is_json(F.col("payload")), F.col("payload")).alias("_payload"),
+        F.col("expires_at_unix_secs").alias("_expires"),
     )
     answers = origin.select(
         "cache_key",
-        kind.alias("origin_class"),
-        F.when(kind == "ok", F.col("body")).alias("body"),
-        validate.origin_message(kind, F.col("status"), max_bytes).alias("origin_message"),
+        kind.alias("_class"),
+        F.when(kind == "ok", F.col("body")).alias("_body"),
+        validate.origin_message(kind, F.col("status"), max_bytes).alias("_message"),
     )
     known = entries.join(answers, "cache_key", "full_outer")
-    resolved = requests.join(known, "cache_key", "left")
-    fresh = F.col("payload").isNotNull() & (F.col("expires_at_unix_secs") >= as_column(as_of))
+    readable = F.col("_payload").isNotNull()
     source = (
-        F.when(fresh, F.lit("cache"))
-        .when(F.col("origin_class") == "ok", F.lit("origin"))
-        .when(F.col("payload").isNotNull(), F.lit("stale_cache"))
+        F.when(readable & (F.col("_expires") >= as_column(as_of)), F.lit("cache"))
+        .when(F.col("_class") == "ok", F.lit("origin"))
+        .when(readable, F.lit("stale_cache"))
     )
     error = F.when(
         F.col("source").isNull(),
-        F.when(F.col("origin_class").isNull(), F.lit("origin_unavailable")).otherwise(
+        F.when(F.col("_class").isNull(), F.lit("origin_unavailable")).otherwise(
             F.lit("origin_error")
         ),
     )
-    return (
-        resolved.withColumn("source", source)
-        .withColumn("error_code", error)
-        .select(
-            *requests.columns,
-            F.when(F.col("source") == "origin", F.col("body"))
-            .when(F.col("source").isNotNull(), F.col("payload"))
-            .alias("data"),
-            F.col("source").isin("cache", "stale_cache").alias("cached"),
-            (F.col("source") == "stale_cache").alias("stale"),
-            "source",
-            "error_code",
-            F.when(F.col("error_code") == "origin_unavailable", F.lit(validate.UNAVAILABLE_MESSAGE))
-            .when(F.col("error_code").isNotNull(), F.col("origin_message"))
-            .alias("error_message"),
-            validate.outcome_status(F.col("error_code")).alias("status_code"),
-        )
+    resolved = requests.join(known, "cache_key", "left").withColumn("source", source)
+    return resolved.withColumn("error_code", error).select(
+        *requests.columns,
+        F.when(F.col("source") == "origin", F.col("_body"))
+        .when(F.col("source").isNotNull(), F.col("_payload"))
+        .alias("data"),
+        F.col("source").isin("cache", "stale_cache").alias("cached"),
+        (F.col("source") == "stale_cache").alias("stale"),
+        "source",
+        "error_code",
+        F.when(F.col("error_code") == "origin_unavailable", F.lit(validate.UNAVAILABLE_MESSAGE))
+        .when(F.col("error_code").isNotNull(), F.col("_message"))
+        .alias("error_message"),
+        validate.outcome_status(F.col("error_code")).alias("status_code"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgelog.plans.sizing import MAX_BROADCAST_BYTES, fits_broadcast
+from edgelog.plans.sizing import MAX_BROADCAST_BYTES, fits_broadcast, worth_pruning
 from edgelog.session import shared_dir
 
 # The vocabulary the lookups use.
@@ -22,6 +22,7 @@ SEARCH_ROWS = 10
 MAX_SEARCH_ROWS = 50
 GRAM = 3
 SALTS = 32
+MAX_BROADCAST_GRAMS = 500_000
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
@@ -52,7 +53,7 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
     """
     wanted = requests.select("subject", "lang").distinct()
     subjects = wanted.select("subject").distinct()
-    if fits_broadcast(subjects):
+    if worth_pruning(subjects, triples):
         triples = triples.join(F.broadcast(subjects), "subject", "left_semi")
     labels = _literals(triples, LABEL, "label", limit)
     abstracts = _literals(triples, ABSTRACT, "abstract", limit)
@@ -96,18 +97,26 @@ def _grams(text: Column, length: int) -> Column:
 
 
 def _matches_by_gram(labels: DataFrame, needles: DataFrame) -> DataFrame:
-    """Pairs of label and query that share the query's first characters, salted by subject.
+    """Pairs of a label and a query whose first characters occur in some label of the subject.
 
-    A label that contains the query contains its leading gram, so an equi-join finds all pairs.
+    A label that contains the query contains its leading gram, so an equi-join finds all pairs. Only
+    subjects and grams are exploded and shuffled, not the texts. A gram that most labels have is
+    salted by subject; texts come back by subject, where adaptive execution can split a hot one.
     """
-    wanted = needles.withColumn("_gram", F.substr("needle", F.lit(1), F.lit(GRAM))).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    keyed = needles.withColumn("_gram", F.substr("needle", F.lit(1), F.lit(GRAM)))
+    wanted = keyed.select("lang", "_gram").distinct()
     grams = F.concat(*[_grams(F.col("haystack"), n) for n in range(1, GRAM + 1)], F.array(F.lit("")))
-    keyed = labels.withColumn("_gram", F.explode(grams)).withColumn(
+    found = labels.select("subject", "lang", F.explode(grams).alias("_gram"))
+    if wanted.count() <= MAX_BROADCAST_GRAMS:
+        found = found.join(F.broadcast(wanted), ["lang", "_gram"], "left_semi")
+    found = found.distinct().withColumn(
         "_salt", F.pmod(F.xxhash64("subject"), F.lit(SALTS)).cast("int")
     )
-    return keyed.join(wanted, ["lang", "_gram", "_salt"])
+    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    candidates = found.join(salted, ["lang", "_gram", "_salt"]).select(
+        "subject", "lang", "query_id", "needle", "_limit"
+    )
+    return labels.join(candidates, ["subject", "lang"])
 
 
 def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
@@ -115,7 +124,7 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
 
     ``queries(query_id, text, lang)`` may have a ``limit`` column; limits are brought into 1..50. Rows
     are ordered by entity, label and abstract. Few queries are broadcast to the labels; when they
-    are too large for that, labels and queries meet on the query's first three characters.
+    are too large for that, subjects and queries meet on the query's first three characters.
     """
     wanted = F.col("limit") if "limit" in queries.columns else F.lit(limit)
     needles = queries.select(

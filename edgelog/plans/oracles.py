@@ -386,8 +386,8 @@ FROM given""",
 SELECT entries.* FROM entries, latest WHERE expires_at_unix_secs >= as_of""",
     "cache_upsert": _with(LOGS, ENTRIES) + """
 , fetched AS (
-  SELECT query_hash AS cache_key, '{"id":' || id || '}' AS payload, observed_at_unix_secs AS t FROM logs, latest
-  WHERE status_code = 200 AND NOT stale AND NOT cache_hit AND observed_at_unix_secs >= as_of - 86400),
+  SELECT query_hash AS cache_key, '{"id":' || id || '}' AS payload, observed_at_unix_secs AS t FROM logs
+  WHERE status_code = 200 AND NOT stale AND NOT cache_hit),
 last AS (SELECT * FROM fetched QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY t DESC, payload DESC) = 1)
 SELECT cache_key, payload, t AS created_at_unix_secs, t AS last_success_unix_secs, CAST(0 AS BIGINT) AS hit_count,
   t + 604800 AS expires_at_unix_secs FROM last

@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame
 MAX_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
-    """True if the optimizer's estimate for ``df`` is at most ``limit`` bytes.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's size.
 
     For files it is their size on disk, for joins the product of both sides, and for data of unknown
-    size it is too large for any limit; so the limit is kept well below what executors can hold.
+    size it is larger than any limit; so limits are kept well below what executors can hold.
     """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_BYTES) -> bool:
+    """True if ``df`` is estimated to be small enough to be sent to every executor."""
+    return estimated_bytes(df) <= limit
+
+
+def worth_pruning(keys: DataFrame, table: DataFrame) -> bool:
+    """True if ``keys`` can be broadcast and are so few that most of ``table`` need not be shuffled."""
+    size = estimated_bytes(keys)
+    return size <= MAX_BROADCAST_BYTES and size * 10 <= estimated_bytes(table)
 
 
 def spread(scan: DataFrame) -> DataFrame:

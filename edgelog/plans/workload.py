@@ -204,7 +204,7 @@ def validate_endpoint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validate_language(spark: SparkSession, sf: str) -> DataFrame:
-    """Languages of the requests, and every word of the conversations' roles as a tag."""
+    """Languages of the requests, and tags made from every document."""
     rows = derived.requests(derived.logs(spark, sf)).select(
         F.col("request_id").alias("id"), F.lit("request").alias("kind"), "lang"
     )
@@ -253,10 +253,9 @@ def cache_fresh_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Misses of the last day are stored over the cache."""
+    """What every miss fetched is stored over the cache."""
     rows = derived.logs(spark, sf)
-    recent = in_window(F.col("observed_at_unix_secs"), derived.latest(rows), metrics.DAY)
-    fetched = derived.good_answers(rows).where(recent & ~F.col("cache_hit"))
+    fetched = derived.good_answers(rows).where(~F.col("cache_hit"))
     updates = fetched.select(
         F.col("query_hash").alias("cache_key"),
         F.concat(F.lit('{"id":'), F.col("id"), F.lit("}")).alias("payload"),

@@ -14,15 +14,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where no such folder is configured (local tests) a new temporary one is made.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="edgelog-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="edgelog-"))
+    return configured or context.getCheckpointDir()
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:

@@ -80,7 +80,7 @@ def test_series_read_only_what_they_show_and_combine_before_the_shuffle(spark, t
 
 
 def test_lookup_lists_are_cut_before_the_shuffle(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(triples, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(triples, "worth_pruning", lambda *_: False)
     rows = [("s", triples.LABEL, str(i), "literal", "en", None) for i in range(200)]
     facts = stored(spark, spark.createDataFrame(rows, TRIPLES), tmp_path / "facts")
     requests = spark.createDataFrame([("s", "en")], "subject string, lang string")
@@ -90,6 +90,23 @@ def test_lookup_lists_are_cut_before_the_shuffle(spark, tmp_path, monkeypatch):
     assert found.count() == 50
 
 
+def test_few_requests_and_updates_leave_a_large_cache_unshuffled(spark, tmp_path):
+    entries = spark.range(20_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("cache_key"), F.lit("{}").alias("payload"),
+        *[F.col("id").alias(c) for c in ("created_at_unix_secs", "last_success_unix_secs", "hit_count", "expires_at_unix_secs")],
+    )
+    entries = stored(spark, entries, tmp_path / "entries")
+    key = entries.first().cache_key
+    few = spark.sql(f"SELECT * FROM VALUES ('{key}', '[]', 7L) AS t(cache_key, payload, fetched_at_unix_secs)")
+    upserted = cache.upsert_cache(entries, few)
+    plan = final_plan(upserted)
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+    assert upserted.count() == 20_000
+    resolved = cache.resolve_requests(few, entries, spark.createDataFrame([], ORIGIN_RESPONSES), 0)
+    assert "LeftSemi" in final_plan(resolved)
+    assert [r.source for r in resolved.collect()] == ["cache"]
+
+
 def test_size_checks(spark, tmp_path):
     small = stored(spark, spark.range(1_000), tmp_path / "small")
     assert fits_broadcast(small) and not fits_broadcast(small, 10)

@@ -47,7 +47,7 @@ def random_facts(rng, subjects=12, rows=500):
 @pytest.mark.parametrize("limit", [1, 7, 50])
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_entity_lookup_against_the_full_product(spark, monkeypatch, limit, broadcast):
-    monkeypatch.setattr(triples, "fits_broadcast", lambda *_: broadcast)
+    monkeypatch.setattr(triples, "worth_pruning", lambda *_: broadcast)
     facts = random_facts(random.Random(limit))
     requests = [(s, lang) for s in ["hot", "s1", "s2", "s3", "missing"] for lang in ("en", "de")] * 2
     found = triples.entity_lookup(
