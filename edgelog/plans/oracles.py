@@ -475,8 +475,9 @@ SELECT points.* FROM points, latest WHERE observed_at_unix_secs + 3600 <= as_of
   FROM logs)
 SELECT e AS window_end_unix_secs, {COUNTS}, {RATES}, {_rate(FAILED)} AS origin_error_rate, {P95}
 FROM ends JOIN logs ON observed_at_unix_secs >= e - 86400 AND observed_at_unix_secs < e GROUP BY e""",
+    # The watermark follows the accesses; the log may end with other rows.
     "stream_residency": _with(LOGS, _lifetimes(3_600)) + """
-SELECT lifetimes.* FROM lifetimes, latest WHERE last_access_unix_secs + 3600 <= as_of - 600""",
+SELECT * FROM lifetimes WHERE last_access_unix_secs + 3600 <= (SELECT max(t) FROM accesses) - 600""",
     "stream_breaker": _transitions(3, 30),
 }
 ORACLES["log_roundtrip"] = ORACLES["scan_request_logs"]

@@ -43,8 +43,7 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str) -> str:
     if left_columns != right_columns:
         return f"columns {left_columns} / {right_columns}"
     if left != right:
-        only_left = [r for r in left if r not in set(right)][:2]
-        only_right = [r for r in right if r not in set(left)][:2]
+        only_left, only_right = sorted(set(left) - set(right))[:2], sorted(set(right) - set(left))[:2]
         return f"{len(left)} / {len(right)} rows; {str(only_left)[:600]} / {str(only_right)[:600]}"
     return ""
 
