@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelog.llm import chat_format, decontamination, substring_dedup
+from edgelog.llm import chat_format, decontamination, packing, piecewise_hash, substring_dedup, token_files
+from edgelog.session import new_shared_path
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +19,18 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return removed.withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_shared_path(spark, "token_files")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(_read(spark, sf, "documents"), path, vocabulary, end_id=0)
+    return token_files.read_token_files(spark, path)
+
+
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(_read(spark, sf, "documents"), vocabulary, end_id=1, keep_ids=False)
+
+
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.find_contamination(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
     return decontamination.report(found)
@@ -34,7 +48,21 @@ def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat_format.report(chat_format.format_chats(turns.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op7_decontamination, op8_chat_format)}
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return piecewise_hash.report(piecewise_hash.edited_neighbours(_read(spark, sf, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op3_token_files,
+        op5_packing,
+        op7_decontamination,
+        op8_chat_format,
+        op9_fingerprints,
+    )
+}
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -14,6 +14,9 @@ from edgelog.session import shared_dir
 #: Bytes of text that are hashed at once; the arrays made of them take about 30 times as much.
 SLICE_BYTES = 4 << 20
 
+#: Stands for a missing document id, larger than all others.
+NO_ID = np.iinfo(np.int64).max
+
 _RANDOM = np.random.default_rng(20240607)
 _BYTE_CODE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE, _BASE2 = (int(x) | 1 for x in _RANDOM.integers(1 << 40, 1 << 62, 2))

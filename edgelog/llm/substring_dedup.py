@@ -32,13 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.shared import buffers, byte_texts, hash_windows, hash_words, slices, texts_of
+from edgelog.llm.shared import NO_ID, buffers, byte_texts, hash_windows, hash_words, slices, texts_of
 
 SIZE = 13
 GROUP_SUFFIXES = 3_000_000
 MAX_GROUPS = 1_000_000
 BUCKET_BYTES = 24 << 20
-NO_ID = np.iinfo(np.int64).max
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 _U64 = np.uint64
