@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.session import shared_dir
 
 #: Bytes of text that are hashed at once; the arrays made of them take about 30 times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Stands for a missing document id, larger than all others.
 NO_ID = np.iinfo(np.int64).max
@@ -30,6 +31,15 @@ _ALNUM = bytes(
 )
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of a local session import this package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that no other column can clash; a null text becomes empty."""
     return docs.select(

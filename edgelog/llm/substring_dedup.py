@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from edgelog.llm.shared import NO_ID, buffers, byte_texts, hash_windows, hash_words, slices, texts_of
 
 SIZE = 13
-GROUP_SUFFIXES = 3_000_000
+GROUP_SUFFIXES = 2_000_000
 MAX_GROUPS = 1_000_000
 BUCKET_BYTES = 24 << 20
 
@@ -211,20 +211,24 @@ def _bucket(ids: np.ndarray, checks: np.ndarray, buckets: int) -> np.ndarray:
 
 def _find_repeats(packs: DataFrame, buckets: int) -> DataFrame:
     def subtree(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        parts = [(row["known"], *_unpack(row)) for row in rows]
-        base = np.cumsum([0, *(len(p[1]) for p in parts)])
-        ids, checks = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        doc = np.concatenate([p[3] + b for p, b in zip(parts, base)])
-        place = np.concatenate([p[4] for p in parts])
-        known = np.repeat([p[0] for p in parts], [len(p[3]) for p in parts])
+        parts, base = [], 0
+        for batch in table.to_batches():
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in _NAMES}
+                ids, checks, doc, place, window = _unpack(row)
+                known = np.full(len(doc), row["known"])
+                parts.append((ids, checks, (doc + base).astype(np.int32), place.astype(np.int32), window, known))
+                base += len(ids)
+        ids, checks, doc, place, window, known = map(np.concatenate, zip(*parts))
+        del parts
         open_ = np.flatnonzero(~known)
-        window = np.concatenate([p[5] for p in parts])
+        order = np.argsort(window)
+        node = np.flatnonzero(np.concatenate([[True], np.diff(window[order]) != 0])) if len(order) else order
+        open_ = open_[order]  # in the order of the leaves
         owner = ids[doc[open_]]
-        order = np.lexsort((owner, window))
-        node = np.concatenate([[True], np.diff(window[order]) != 0]) if len(order) else np.zeros(0, bool)
-        least = owner[order][np.maximum.accumulate(np.where(node, np.arange(len(order)), 0))]
-        repeats = np.concatenate([open_[order[owner[order] > least]], np.flatnonzero(known)])
+        least = np.repeat(np.minimum.reduceat(owner, node), np.diff(node, append=len(owner))) if len(owner) else owner
+        repeats = np.concatenate([open_[owner > least], np.flatnonzero(known)])
+        del order, node, owner, least, open_, window
         repeats = repeats[np.lexsort((place[repeats], doc[repeats]))]
         bucket = _bucket(ids, checks, buckets)[doc[repeats]].astype(np.int64)
         by = np.argsort(bucket, kind="stable")
