@@ -6,11 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelog.llm import chat_format, decontamination, packing, piecewise_hash, substring_dedup, token_files
+from edgelog.llm import (
+    chat_format,
+    decontamination,
+    packing,
+    piecewise_hash,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
+from edgelog.llm.shared import importable
 from edgelog.session import new_shared_path
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -26,11 +38,30 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    scanner = secret_scan.fit(*secret_scan.label_findings(docs))
+    return secret_scan.scan(docs, scanner)
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(_read(spark, sf, "documents"), vocabulary, end_id=1, keep_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    held_out = F.expr("crc32(CAST(doc_id AS string)) % 5 = 0")
+    model = toxicity.fit(docs, _read(spark, sf, "labels").where(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "passages",
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.find_contamination(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
     return decontamination.report(found)
@@ -52,15 +83,24 @@ def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return piecewise_hash.report(piecewise_hash.edited_neighbours(_read(spark, sf, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    model = quality.fit(docs, _read(spark, sf, "labels"))
+    return quality.score(docs, model).withColumn("keep", F.col("score") >= 0.5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
         op3_token_files,
+        op4_secret_scan,
         op5_packing,
+        op6_toxicity,
         op7_decontamination,
         op8_chat_format,
         op9_fingerprints,
+        op10_quality,
     )
 }
 
