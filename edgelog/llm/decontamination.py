@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,12 +87,28 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[list[tuple[bytes, str]]]:
+    """All windows with their items, in blocks of about ``block_bytes`` that are formed by hash."""
+    windows = benchmark_windows(benchmark, size).withColumn("bytes", F.length("window") + F.length("item") + 64)
+    windows = kept(windows)
+    total = windows.agg(F.sum("bytes")).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for block in range(blocks):
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
+        yield [(bytes(r["window"]), r["item"]) for r in part.collect()]
+
+
+def _searchers(windows: list[tuple[bytes, str]]) -> dict[int, WuManber]:
+    found: dict[int, WuManber] = {}
+    for window, item in windows:
+        words = tuple(window.split())
+        found.setdefault(len(words), WuManber(len(words))).add(words, item)
+    return found
+
+
 def _search_block(docs: DataFrame, windows: list[tuple[bytes, str]]) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searchers: dict[int, WuManber] = {}
-        for window, item in windows:
-            words = tuple(bytes(window).split())
-            searchers.setdefault(len(words), WuManber(len(words))).add(words, item)
+        searchers = _searchers(windows)
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             counts, all_spans, all_items = [], [], []
@@ -127,10 +144,6 @@ def find_contamination(
 
     A null text has no words. Repeated rows and null ids are kept as they are; an empty benchmark hits nothing.
     """
-    windows = benchmark_windows(benchmark, size).withColumn("bytes", F.length("window") + F.length("item") + 64)
-    windows = kept(windows)
-    total = windows.agg(F.sum("bytes")).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     found = texts_of(docs).selectExpr(
         "doc_id",
         "text",
@@ -138,12 +151,31 @@ def find_contamination(
         "CAST(array() AS array<struct<first:int,last:int>>) AS spans",
         "CAST(array() AS array<string>) AS items",
     )
-    for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        found = _search_block(found, [(bytes(r["window"]), r["item"]) for r in part.collect()])
+    for windows in _blocks(benchmark, size, block_bytes):
+        found = _search_block(found, windows)
     return found
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no benchmark window occurs."""
+    for windows in _blocks(benchmark, size, block_bytes):
+        docs = docs.where(_clean_test(windows)(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    return docs
+
+
+def _clean_test(windows: list[tuple[bytes, str]]):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        searchers = _searchers(windows).values()
+        for texts in batches:
+            words = (alnum_words(t.encode()) for t in texts)
+            yield pd.Series([not any(any(True for _ in s.search(w)) for s in searchers) for w in words], dtype=bool)
+
+    return clean
+
+
 def n_hit(spans: Column) -> Column:
     """How many words the spans cover."""
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from edgelog.llm import (
     chat_format,
     decontamination,
+    jaccard_join,
     packing,
     piecewise_hash,
     quality,
@@ -31,6 +32,10 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return removed.withColumnRenamed("kept", "kept_sha256")
 
 
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "token_files")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,6 +98,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_jaccard_join,
         op3_token_files,
         op4_secret_scan,
         op5_packing,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelog.session import shared_dir
+from edgelog.session import new_shared_path
 
 #: Bytes of text that are hashed at once; the arrays made of them take about 30 times as much.
 SLICE_BYTES = 2 << 20
@@ -49,9 +49,10 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, written once to the shared folder and read back from there, so that its lineage is cut."""
+    path = new_shared_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def alnum_words(text: bytes) -> list[bytes]:
@@ -63,6 +64,30 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of ``size`` neighbouring words (``alnum_words``) of each text, and how many each text has.
+
+    A text of fewer words, but not none, has one shingle: all its words. Hashes ascend within a text.
+    """
+    data, offsets = buffers(column)
+    words, first = hash_words(np.frombuffer(_ALNUM, np.uint8)[data], offsets)
+    n = np.diff(first)
+    doc, place = np.repeat(np.arange(len(n)), n), np.arange(len(words)) - np.repeat(first[:-1], n)
+    found, owner = [], []
+    for k in range(1, size + 1):
+        windows = hash_windows(words, k)
+        of, at = doc[: len(windows)], place[: len(windows)]
+        own = (at + k <= n[of]) if k == size else (n[of] == k) & (at == 0)
+        found.append(mix(windows[own] + np.uint64(k)))
+        owner.append(of[own])
+    hashes, owners = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((hashes, owners))
+    hashes, owners = hashes[order], owners[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (np.diff(hashes) != 0) | (np.diff(owners) != 0)
+    return hashes[new], np.bincount(owners[new], minlength=len(n))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every bit over all bits (a bijection)."""
     h = h ^ (h >> np.uint64(33))
