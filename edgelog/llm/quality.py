@@ -158,7 +158,8 @@ def _features(docs: DataFrame) -> np.ndarray:
             )
 
     rows = docs.mapInArrow(features, "doc_id bigint, row binary").toPandas().sort_values(["doc_id", "row"])
-    return np.array([np.frombuffer(r) for r in rows["row"]]).reshape(len(rows), -1)
+    width = 1 + text_features(_no_rows()).shape[1] + SOURCE_SLOTS + LANG_SLOTS + 2
+    return np.array([np.frombuffer(r) for r in rows["row"]]).reshape(len(rows), width)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
