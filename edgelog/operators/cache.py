@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from edgelog.functions import validate
 from edgelog.functions.metadata import is_json
 from edgelog.functions.numeric import as_column
-from edgelog.plans.sizing import worth_pruning
 
 TTL = 604_800
 
@@ -81,12 +80,8 @@ def resolve_requests(
     An entry whose payload cannot be read counts as missing. A key without an origin response was
     not asked for (its breaker was open). Cache and origin have one row per key each and are put
     together first, so that the requests, whose keys may be very uneven, are joined only once and
-    adaptive execution can split a hot key. A few requests first pick the entries they ask for.
+    adaptive execution can split a hot key.
     """
-    asked = requests.select("cache_key").distinct()
-    if worth_pruning(asked, cache):
-        cache = cache.join(F.broadcast(asked), "cache_key", "left_semi")
-        origin = origin.join(F.broadcast(asked), "cache_key", "left_semi")
     kind = validate.classify_origin(F.col("status"), F.col("body"), max_bytes)
     entries = cache.select(
         "cache_key",
@@ -137,17 +132,16 @@ def envelope(resolved: DataFrame) -> DataFrame:
     )
 
 
-def residency(accesses: DataFrame, ttl: int = TTL) -> DataFrame:
-    """Cached lifetimes of each key under a sliding expiry of ``ttl`` seconds.
-
-    Accesses at most ``ttl`` apart belong to one lifetime; the first of them fetches the entry.
-    Accesses in the same ``ttl``-aligned stretch of time are never further apart, so they are
-    reduced to one row before the shuffle, and a key has at most one row per stretch to order.
-    """
+def access_stretches(accesses: DataFrame, ttl: int = TTL) -> DataFrame:
+    """First, last and number of a key's accesses in each ``ttl``-aligned stretch of time."""
     at = F.col("observed_at_unix_secs")
-    stretches = accesses.groupBy("cache_key", F.expr(f"observed_at_unix_secs div {ttl}").alias("stretch")).agg(
+    return accesses.groupBy("cache_key", F.expr(f"observed_at_unix_secs div {ttl}").alias("stretch")).agg(
         F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")
     )
+
+
+def lifetimes(stretches: DataFrame, ttl: int = TTL) -> DataFrame:
+    """Lifetimes from one row per key and stretch."""
     by_time = Window.partitionBy("cache_key").orderBy("stretch")
     gap = F.col("first") - F.lag("last").over(by_time)
     marked = stretches.withColumn("starts", F.coalesce((gap > ttl).cast("int"), F.lit(1)))
@@ -164,3 +158,13 @@ def residency(accesses: DataFrame, ttl: int = TTL) -> DataFrame:
         )
         .drop("lifetime")
     )
+
+
+def residency(accesses: DataFrame, ttl: int = TTL) -> DataFrame:
+    """Cached lifetimes of each key under a sliding expiry of ``ttl`` seconds.
+
+    Accesses at most ``ttl`` apart belong to one lifetime; the first of them fetches the entry.
+    Accesses in the same ``ttl``-aligned stretch of time are never further apart, so they are
+    reduced to one row before the shuffle, and a key has at most one row per stretch to order.
+    """
+    return lifetimes(access_stretches(accesses, ttl), ttl)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 3
+DEFAULT_ENDPOINT = "https://dbpedia.org/sparql"
 COOLDOWN = 30
 SLICE_CALLS = 65_536
 ERA_SECONDS = 3_600
@@ -35,16 +36,23 @@ def _totals_before(parts: DataFrame, by: list[str], order: list[str]) -> DataFra
     )
 
 
-def outcome_runs(calls: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def rejected_calls(calls: DataFrame) -> DataFrame:
+    """Calls without a time, a number or an outcome, which no report can place."""
+    return calls.where("ts IS NULL OR seq IS NULL OR ok IS NULL")
+
+
+def outcome_runs(
+    calls: DataFrame, prior: DataFrame | None = None, default_endpoint: str = DEFAULT_ENDPOINT
+) -> DataFrame:
     """Each call with the consecutive failures before it and the time of the call before it.
 
     ``calls(endpoint, ts, seq, ok)`` are ordered by ``(ts, seq)`` per endpoint; ``ts`` is in epoch
-    seconds. ``run`` numbers the failure run a failed call belongs to. ``prior(endpoint,
+    seconds. A null endpoint is the default one; see ``rejected_calls`` for rows that cannot be placed. ``run`` numbers the failure run a failed call belongs to. ``prior(endpoint,
     failure_count, last_ts)`` says how earlier calls ended, if there are any.
     """
     slice_keys = ["endpoint", "era", "ts", "block"]
-    sliced = calls.select(
-        "endpoint",
+    sliced = calls.where(F.col("ok").isNotNull()).select(
+        F.coalesce("endpoint", F.lit(default_endpoint)).alias("endpoint"),
         F.expr(f"ts div {ERA_SECONDS}").alias("era"),
         "ts",
         F.expr(f"seq div {SLICE_CALLS}").alias("block"),

@@ -467,17 +467,16 @@ SELECT * FROM (
     RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS BIGINT) AS window_requests FROM seconds)
 WHERE window_requests > 8""",
     "stream_ingest": _with(LOGS) + f"SELECT {LOG_COLUMNS} FROM logs",
-    "stream_timeseries": _with(LOGS, POINTS) + """
-SELECT points.* FROM points, latest WHERE observed_at_unix_secs + 3600 <= as_of - 600""",
+    "log_two_writers": _with(LOGS) + f"SELECT {LOG_COLUMNS} FROM logs",
+    "stream_timeseries": _with(LOGS, POINTS) + "SELECT * FROM points",
     "stream_rolling": _with(LOGS) + f"""
 , ends AS (
-  SELECT unnest(range(min(observed_at_unix_secs) // 3600 * 3600 + 3600, max(observed_at_unix_secs) - 600 + 1, 3600)) AS e
+  SELECT unnest(range(min(observed_at_unix_secs) // 3600 * 3600 + 3600,
+    max(observed_at_unix_secs) // 3600 * 3600 + 86400 + 1, 3600)) AS e
   FROM logs)
 SELECT e AS window_end_unix_secs, {COUNTS}, {RATES}, {_rate(FAILED)} AS origin_error_rate, {P95}
 FROM ends JOIN logs ON observed_at_unix_secs >= e - 86400 AND observed_at_unix_secs < e GROUP BY e""",
-    # The watermark follows the accesses; the log may end with other rows.
-    "stream_residency": _with(LOGS, _lifetimes(3_600)) + """
-SELECT * FROM lifetimes WHERE last_access_unix_secs + 3600 <= (SELECT max(t) FROM accesses) - 600""",
+    "stream_residency": _with(LOGS, _lifetimes(3_600)) + "SELECT * FROM lifetimes",
     "stream_breaker": _transitions(3, 30),
 }
 ORACLES["log_roundtrip"] = ORACLES["scan_request_logs"]

@@ -455,49 +455,70 @@ def rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = derived.table(spark, sf, "events").schema
-    return log_stream.read_log_stream(spark, sf, schema, glob="events.parquet")
+STREAM_PARTS = 4
 
 
-def _run(rows: DataFrame, name: str, spark: SparkSession) -> DataFrame:
-    """Run a stream over all that is there into parquet, and read that."""
-    path = new_shared_path(spark, name)
-    log_stream.start_parquet_sink(rows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+def _event_stream(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """Log rows of all events, which arrive in ``STREAM_PARTS`` files and as many micro-batches, not in order of time."""
+    events = derived.table(spark, sf, "events")
+    events.repartition(STREAM_PARTS, "event_id").write.parquet(f"{path}/events")
+    stream = log_stream.read_log_stream(spark, f"{path}/events", events.schema, max_files=1)
+    return derived.detailed_logs(stream)
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "stream_ingest")
-    logs = derived.detailed_logs(_event_stream(spark, sf))
+    logs = _event_stream(spark, sf, path)
     log_stream.ingest_stream(logs, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return log_store.open_logs(spark, f"{path}/out").select(*REQUEST_LOGS.fieldNames())
 
 
+def log_two_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """One log, of which one half is streamed and the other appended before and after."""
+    path = new_shared_path(spark, "log_two_writers")
+    rows = derived.request_logs(spark, sf)
+    log_store.append_request_logs(rows.where("id % 4 = 1"), f"{path}/out")
+    stream = _event_stream(spark, sf, path).where("id % 2 = 0")
+    log_stream.ingest_stream(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    log_store.append_request_logs(rows.where("id % 4 = 3"), f"{path}/out")
+    return log_store.open_logs(spark, f"{path}/out").select(*REQUEST_LOGS.fieldNames())
+
+
+def _hours(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    path = new_shared_path(spark, name)
+    logs = _event_stream(spark, sf, path)
+    log_stream.hourly_histogram_stream(logs, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return log_stream.read_hourly_histogram(spark, f"{path}/out")
+
+
 def stream_timeseries(spark: SparkSession, sf: str) -> DataFrame:
-    logs = derived.detailed_logs(_event_stream(spark, sf))
-    hours = log_stream.hourly_histogram_stream(logs)
-    return metrics.hourly_points(_run(hours, "stream_timeseries", spark))
+    return metrics.hourly_points(_hours(spark, sf, "stream_timeseries"))
 
 
 def stream_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    logs = derived.detailed_logs(_event_stream(spark, sf))
-    days = log_stream.rolling_histogram_stream(logs)
-    closed = _run(days, "stream_rolling", spark)
-    return metrics.summarize_histogram(closed, "window_end_unix_secs")
+    days = log_stream.rolling_histogram(_hours(spark, sf, "stream_rolling"))
+    return metrics.summarize_histogram(days, "window_end_unix_secs")
 
 
 def stream_residency(spark: SparkSession, sf: str) -> DataFrame:
-    accesses = _accesses(derived.detailed_logs(_event_stream(spark, sf)))
-    with log_stream.merged_sessions(spark):
-        return _run(
-            log_stream.residency_stream(accesses, RESIDENCY_TTL), "stream_residency", spark
-        )
+    path = new_shared_path(spark, "stream_residency")
+    accesses = _accesses(_event_stream(spark, sf, path))
+    log_stream.residency_stream(accesses, f"{path}/out", f"{path}/checkpoint", RESIDENCY_TTL).awaitTermination()
+    return log_stream.read_residency(spark, f"{path}/out", RESIDENCY_TTL)
 
 
 def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
+    """Events arrive in order of time, one file per span, as transitions follow the order of arrival."""
     path = new_shared_path(spark, "stream_breaker")
-    calls = derived.origin_calls(derived.detailed_logs(_event_stream(spark, sf)))
+    events = derived.table(spark, sf, "events")
+    seconds = F.expr(derived.EPOCH_SECONDS)
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    width = (last - first) // STREAM_PARTS + 1
+    for span in range(STREAM_PARTS):  # files are read in the order in which they were written
+        part = events.where(F.floor((seconds - first) / width) == span)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/events")
+    stream = log_stream.read_log_stream(spark, f"{path}/events", events.schema, max_files=1)
+    calls = derived.origin_calls(derived.detailed_logs(stream))
     health_stream.breaker_stream(calls, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return health_stream.read_transitions(spark, f"{path}/out").select(
         "endpoint", "seq", "at_unix_secs", "from_state", "to_state"
@@ -564,6 +585,7 @@ QUERIES = {
         breaker_snapshot,
         rate_breaches,
         stream_ingest,
+        log_two_writers,
         stream_timeseries,
         stream_rolling,
         stream_residency,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,16 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only where no such folder is configured (local tests) a new temporary one is made.
+    Only in a local session without such a setting a temporary folder is made; elsewhere that is an error,
+    since executors could not see it. What jobs leave there belongs to their run: remove it when its results are no
+    longer read.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not configured and not context.getCheckpointDir() and not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="edgelog-"))
     return configured or context.getCheckpointDir()

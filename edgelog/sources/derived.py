@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from edgelog.functions import keys
 from edgelog.functions.validate import INVALID_HASHES, endpoint_for, lookup, resource_iri
 from edgelog.operators.triples import ABSTRACT, LABEL
-from edgelog.plans.sizing import spread
 from edgelog.schemas import CACHE_ENTRIES, REQUEST_LOGS, TRIPLES
 
 EXTRA_SECONDS = 21_600
-MAIN_ENDPOINT = "https://dbpedia.org/sparql"
 ONTOLOGY = "http://dbpedia.org/ontology/"
 RESOURCE = "http://dbpedia.org/resource/"
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -20,7 +18,7 @@ DATE = "http://www.w3.org/2001/XMLSchema#date"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Whole seconds of a zone-less timestamp read as UTC, in any session zone.
@@ -120,7 +118,7 @@ def origin_calls(rows: DataFrame) -> DataFrame:
     """Calls that reached the origin, with their outcome."""
     called = rows.where((~F.col("cache_hit") | F.col("stale")) & (F.col("status_code") != 400))
     return called.select(
-        F.coalesce("endpoint", F.lit(MAIN_ENDPOINT)).alias("endpoint"),
+        "endpoint",  # null for the default one
         F.col("observed_at_unix_secs").alias("ts"),
         F.col("id").alias("seq"),
         (~((F.col("status_code") >= 500) | F.col("stale"))).alias("ok"),

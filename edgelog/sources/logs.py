@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def metric_rows(logs: DataFrame, since=None) -> DataFrame:
 
 
 def open_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of a log written by ``append_request_logs``."""
-    schema = REQUEST_LOGS.simpleString()[len("struct<") : -1]
-    return spark.read.schema(schema.replace(":", " ") + ", observed_date date").parquet(path)
+    """All columns of a log written by ``append_request_logs`` and ``ingest_stream``."""
+    schema = REQUEST_LOGS.simpleString()[len("struct<") : -1].replace(":", " ")
+    return spark.read.schema(schema + ", observed_date date, batch string").parquet(path).drop("batch")
 
 
 def read_request_logs(spark: SparkSession, path: str, since=None) -> DataFrame:
@@ -47,13 +49,15 @@ def read_request_logs_jdbc(
     table: str = "request_logs",
     properties: dict | None = None,
     partitions: int = 8,
+    since=None,
 ) -> DataFrame:
-    """The log in a relational store, read in parallel over ranges of ``id``.
+    """The metric columns of the log in a relational store, from ``since`` on, read in parallel over ranges of ``id``.
 
-    ``bounds`` only say how ids are cut into ranges; rows beyond them are read as well.
+    ``bounds`` only say how ids are cut into ranges; rows beyond them are read as well. Columns and the
+    time bound are pushed down to the store.
     """
     lower, upper = bounds
-    return spark.read.jdbc(
+    rows = spark.read.jdbc(
         url,
         table,
         column="id",
@@ -62,6 +66,7 @@ def read_request_logs_jdbc(
         numPartitions=partitions,
         properties=properties or {},
     )
+    return metric_rows(rows, since)
 
 
 def narrow_logs(logs: DataFrame) -> DataFrame:
@@ -79,12 +84,20 @@ def log_rows(logs: DataFrame) -> DataFrame:
     )
 
 
-def append_request_logs(logs: DataFrame, path: str) -> None:
-    """Append to the log, sorted by time inside each file so that row groups can be skipped.
+def write_log_batch(logs: DataFrame, path: str, batch: str) -> None:
+    """Write rows into the log under a batch name of their own; doing it again replaces them.
 
+    The layout is ``observed_date=../batch=..``: dates are pruned, and batches of any writer lie side by side.
     The rebalance brings a date's rows together, splits dates that are too large for one task and
-    joins small ones, so that neither one huge task nor many small files result.
+    joins small ones, so that neither one huge task nor many small files result. Rows are sorted by time
+    inside each file so that row groups can be skipped.
     """
-    rows = log_rows(logs).hint("rebalance", "observed_date")
+    rows = log_rows(logs).withColumn("batch", F.lit(batch)).hint("rebalance", "observed_date")
     rows = rows.sortWithinPartitions("observed_date", "observed_at_unix_secs")
-    rows.write.mode("append").partitionBy("observed_date").parquet(path)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("observed_date", "batch").parquet(path)
+
+
+def append_request_logs(logs: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append to the log; with a ``batch`` name a repetition replaces what it wrote before."""
+    write_log_batch(logs, path, batch or f"append-{uuid.uuid4().hex}")

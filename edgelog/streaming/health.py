@@ -3,6 +3,10 @@
 A micro-batch is folded like a batch, spread over all tasks however uneven the endpoints are. What
 it needs of the past is one row per endpoint, kept as a table with a version per micro-batch, so
 that a repeated batch starts from the same state and replaces what it wrote before.
+
+Transitions are those of the calls in the order of arrival, so they are provisional: a call that comes after later
+ones of its endpoint were folded is kept in ``late`` and changes nothing. ``operators.health`` over all calls
+corrects them. Versions of the state that no batch starts from any more can be removed.
 """
 
 from __future__ import annotations
@@ -11,7 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgelog.operators.health import COOLDOWN, THRESHOLD, ending_state, outcome_runs, transitions_of
+from edgelog.operators.health import (
+    COOLDOWN,
+    DEFAULT_ENDPOINT,
+    THRESHOLD,
+    ending_state,
+    outcome_runs,
+    rejected_calls,
+    transitions_of,
+)
 
 STATE = "endpoint string, failure_count long, last_ts long, last_seq long, last_success_unix_secs long"
 TRANSITIONS = "endpoint string, seq long, at_unix_secs long, from_state string, to_state string"
@@ -27,6 +39,11 @@ def read_late(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(CALLS).parquet(f"{root}/late/batch=*")
 
 
+def read_rejected(spark: SparkSession, root: str) -> DataFrame:
+    """Calls without a time, a number or an outcome."""
+    return spark.read.schema(CALLS).parquet(f"{root}/rejected/batch=*")
+
+
 def read_state(spark: SparkSession, root: str, version: int) -> DataFrame:
     """State after ``version`` micro-batches."""
     if version == 0:
@@ -41,22 +58,31 @@ def fold_batch(
     calls: DataFrame, batch_id: int, root: str, threshold: int = THRESHOLD, cooldown: int = COOLDOWN
 ) -> None:
     """Fold one micro-batch into the state and write its transitions and late calls."""
-    spark = calls.sparkSession
-    calls = calls.select("endpoint", "ts", "seq", "ok").persist()
-    prior = read_state(spark, root, batch_id)
-    last = prior.select("endpoint", F.struct("last_ts", "last_seq").alias("_last"))
-    placed = calls.join(last, "endpoint", "left").withColumn(
-        "_late", F.coalesce(F.struct("ts", "seq") <= F.col("_last"), F.lit(False))
-    )
     columns = ["endpoint", "ts", "seq", "ok"]
-    placed.where("_late").select(*columns).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
-    runs = outcome_runs(placed.where("NOT _late").select(*columns), prior)
-    transitions_of(runs, threshold, cooldown).write.mode("overwrite").parquet(
-        f"{root}/transitions/batch={batch_id}"
-    )
+    calls = calls.select(F.coalesce("endpoint", F.lit(DEFAULT_ENDPOINT)).alias("endpoint"), "ts", "seq", "ok")
+    calls = calls.persist()
+    try:
+        rejected_calls(calls).write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}")
+        prior = read_state(calls.sparkSession, root, batch_id)
+        last = prior.select("endpoint", F.struct("last_ts", "last_seq").alias("_last"))
+        usable = calls.where("ts IS NOT NULL AND seq IS NOT NULL AND ok IS NOT NULL")
+        placed = usable.join(last, "endpoint", "left").withColumn(
+            "_late", F.coalesce(F.struct("ts", "seq") <= F.col("_last"), F.lit(False))
+        )
+        placed.where("_late").select(*columns).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+        runs = outcome_runs(placed.where("NOT _late").select(*columns), prior)
+        transitions_of(runs, threshold, cooldown).write.mode("overwrite").parquet(
+            f"{root}/transitions/batch={batch_id}"
+        )
+        _next_state(runs, prior).write.mode("overwrite").parquet(f"{root}/state/version={batch_id + 1}")
+    finally:
+        calls.unpersist()
+
+
+def _next_state(runs: DataFrame, prior: DataFrame) -> DataFrame:
     after, before = ending_state(runs).alias("a"), prior.alias("b")
     moved = F.col("a.failure_count").isNotNull()
-    state = after.join(before, "endpoint", "full_outer").select(
+    return after.join(before, "endpoint", "full_outer").select(
         "endpoint",
         *[
             F.when(moved, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
@@ -66,8 +92,6 @@ def fold_batch(
             "last_success_unix_secs"
         ),
     )
-    state.write.mode("overwrite").parquet(f"{root}/state/version={batch_id + 1}")
-    calls.unpersist()
 
 
 def breaker_stream(

@@ -1,21 +1,26 @@
-"""Continuous ingest, hourly and rolling series, and residency on a stream of log rows."""
+"""Continuous ingest, hourly and rolling series, and residency on a stream of log rows.
+
+Nothing here waits for a watermark, so no row is ever too late and no open hour is held back. Each micro-batch is
+reduced alone to rows that add up (latency histograms, stretches of accesses) and written as one delta;
+readers add the deltas up. A repeated micro-batch replaces its own delta.
+"""
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from edgelog.operators.cache import TTL
-from edgelog.operators.metrics import COUNTS
+from edgelog.operators.cache import TTL, access_stretches, lifetimes
+from edgelog.operators.metrics import COUNTS, DAY, HOUR, bucket_histogram, merge_histograms
 from edgelog.schemas import REQUEST_LOGS
-from edgelog.sources.logs import log_rows
+from edgelog.sources.logs import write_log_batch
 
-WATERMARK = "10 minutes"
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+HISTOGRAM = "observed_at_unix_secs long, latency_ms int, " + ", ".join(f"{c} long" for c in COUNTS)
+STRETCHES = "cache_key string, stretch long, first long, last long, n long"
 
 
 def read_log_stream(
@@ -34,96 +39,114 @@ def read_log_stream(
     return reader.parquet(path)
 
 
-def start_parquet_sink(
-    rows: DataFrame, dst: str, checkpoint: str, interval: str | None = None, partition_by=()
+def start_batches(
+    rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
-    """Append to parquet, exactly once. Without an interval what is there is processed, then it ends."""
-    writer = rows.writeStream.format("parquet").outputMode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    """Give each micro-batch to ``write``. Without an interval what is there is processed, then it ends."""
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (
-        writer.trigger(**trigger).option("checkpointLocation", checkpoint).option("path", dst).start()
-    )
+    return rows.writeStream.trigger(**trigger).option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
 
 def ingest_stream(
-    logs: DataFrame, dst: str, checkpoint: str, interval: str | None = None
+    logs: DataFrame, dst: str, checkpoint: str, interval: str | None = None, name: str = "stream"
 ) -> StreamingQuery:
-    """Append log rows by date: every row once, none dropped under load."""
-    return start_parquet_sink(log_rows(logs), dst, checkpoint, interval, ["observed_date"])
-
-
-def _timed(logs: DataFrame, watermark: str) -> DataFrame:
-    timed = logs.withColumn("ts", F.timestamp_seconds("observed_at_unix_secs"))
-    return timed.withWatermark("ts", watermark)
-
-
-def _hourly(logs: DataFrame, watermark: str) -> DataFrame:
-    origin_error = (F.col("status_code") >= 500) & ~F.col("stale")
-    return (
-        _timed(logs, watermark)
-        .groupBy(F.window("ts", "1 hour"), "latency_ms")
-        .agg(
-            F.count(F.lit(1)).alias("total_requests"),
-            F.count_if(F.col("cache_hit")).alias("cache_hits"),
-            F.count_if(F.col("stale")).alias("stale_responses"),
-            F.count_if(origin_error).alias("origin_errors"),
-        )
+    """Append log rows by date, every row once. ``name`` tells streams into one log apart.
+
+    A micro-batch has folders of its own below its dates, which a repetition replaces, so streams and
+    ``append_request_logs`` write into the same log.
+    """
+    return start_batches(
+        logs, lambda batch, batch_id: write_log_batch(batch, dst, f"{name}-{batch_id}"), checkpoint, interval
     )
 
 
-def hourly_histogram_stream(logs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Latency histogram of each closed hour, ready for ``hourly_points``.
+# --- deltas --------------------------------------------------------------------------------------
 
-    State is one counter row per hour and distinct latency, spread over all tasks; percentiles are
-    taken from the closed histograms, exactly, when they are read. Later rows than the watermark
-    allows are dropped.
-    """
-    start = F.unix_seconds(F.col("window.start")).alias("observed_at_unix_secs")
-    return _hourly(logs, watermark).select(start, "latency_ms", *COUNTS)
 
+def delta_stream(
+    rows: DataFrame,
+    reduce: Callable[[DataFrame], DataFrame],
+    root: str,
+    checkpoint: str,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Write ``reduce`` of each micro-batch as a delta below ``root`` (one root per checkpoint)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{root}/deltas/batch={batch_id}")
 
-def rolling_histogram_stream(logs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Histogram of the 24 hours that end at each full hour.
+    return start_batches(rows, write, checkpoint, interval)
 
-    It adds closed hours up, so only their histogram rows are put into 24 windows, not the requests.
+
+def read_deltas(spark: SparkSession, root: str, schema: str, compacted: int | None = None) -> DataFrame:
+    """All deltas; those up to ``compacted`` from what ``compact_deltas`` made of them."""
+    deltas = spark.read.schema(f"{schema}, batch long").parquet(f"{root}/deltas")
+    if compacted is None:
+        return deltas.drop("batch")
+    base = spark.read.schema(schema).parquet(f"{root}/compacted/upto={compacted}")
+    return base.unionByName(deltas.where(F.col("batch") > compacted).drop("batch"))
+
+
+def compact_deltas(
+    spark: SparkSession,
+    root: str,
+    schema: str,
+    merge: Callable[[DataFrame], DataFrame],
+    upto: int,
+    compacted: int | None = None,
+) -> None:
+    """Merge the deltas up to batch ``upto`` (and an earlier compaction) into one table.
+
+    What it replaces stays for readers that have begun; remove it once no reader names it.
     """
-    rolling = (
-        _hourly(logs, watermark)
-        .groupBy(F.window(F.col("window"), "24 hours", "1 hour").alias("day"), "latency_ms")
-        .agg(*[F.sum(c).alias(c) for c in COUNTS])
-    )
-    end = F.unix_seconds(F.col("day.end")).alias("window_end_unix_secs")
-    return rolling.select(end, "latency_ms", *COUNTS)
+    deltas = spark.read.schema(f"{schema}, batch long").parquet(f"{root}/deltas").where(F.col("batch") <= upto)
+    if compacted is not None:
+        deltas = deltas.where(F.col("batch") > compacted)
+    rows = deltas.drop("batch")
+    if compacted is not None:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{root}/compacted/upto={compacted}"))
+    merge(rows).write.mode("overwrite").parquet(f"{root}/compacted/upto={upto}")
 
 
-def residency_stream(
-    accesses: DataFrame, ttl: int = TTL, watermark: str = WATERMARK
-) -> DataFrame:
-    """Closed lifetimes of ``accesses(cache_key, observed_at_unix_secs)``; see ``residency``."""
-    lifetime = F.session_window("ts", f"{ttl} seconds").alias("lifetime")
-    closed = _timed(accesses, watermark).groupBy("cache_key", lifetime).agg(F.count(F.lit(1)).alias("n"))
-    return closed.select(
-        "cache_key",
-        F.unix_seconds(F.col("lifetime.start")).alias("created_at_unix_secs"),
-        (F.unix_seconds(F.col("lifetime.end")) - ttl).alias("last_access_unix_secs"),
-        (F.col("n") - 1).alias("hit_count"),
+def merge_hours(deltas: DataFrame) -> DataFrame:
+    return merge_histograms(deltas, "observed_at_unix_secs")
+
+
+def merge_stretches(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("cache_key", "stretch").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
     )
 
 
-@contextmanager
-def merged_sessions(spark: SparkSession):
-    """Start residency streams inside: each task merges its sessions before the shuffle.
+def hourly_histogram_stream(logs: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep the latency histogram of each hour up to date; read it with ``read_hourly_histogram``."""
+    return delta_stream(logs, lambda batch: bucket_histogram(batch, HOUR), root, checkpoint, interval)
+
+
+def read_hourly_histogram(spark: SparkSession, root: str, compacted: int | None = None) -> DataFrame:
+    """One row per hour and distinct latency, of all rows that have arrived, ready for ``hourly_points``."""
+    return merge_hours(read_deltas(spark, root, HISTOGRAM, compacted))
 
-    A key that holds most accesses of a micro-batch then sends one row per task.
+
+def rolling_histogram(hours: DataFrame, window: int = DAY) -> DataFrame:
+    """Histogram of the ``window`` that ends at each full hour, from the histogram of the hours.
+
+    Only histogram rows are put into all the windows they are in, not the requests.
     """
-    before = spark.conf.get(LOCAL_MERGE, None)
-    spark.conf.set(LOCAL_MERGE, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(LOCAL_MERGE)
-        else:
-            spark.conf.set(LOCAL_MERGE, before)
+    ends = F.transform(
+        F.sequence(F.lit(1), F.lit(window // HOUR)), lambda k: F.col("observed_at_unix_secs") + k * HOUR
+    )
+    placed = hours.withColumn("window_end_unix_secs", F.explode(ends))
+    return merge_histograms(placed, "window_end_unix_secs")
+
+
+def residency_stream(
+    accesses: DataFrame, root: str, checkpoint: str, ttl: int = TTL, interval: str | None = None
+) -> StreamingQuery:
+    """Keep stretches of ``accesses(cache_key, observed_at_unix_secs)``; a key has one row per stretch and batch."""
+    return delta_stream(accesses, lambda batch: access_stretches(batch, ttl), root, checkpoint, interval)
+
+
+def read_residency(spark: SparkSession, root: str, ttl: int = TTL, compacted: int | None = None) -> DataFrame:
+    """Lifetimes of all accesses that have arrived, the open ones as they stand; see ``residency``."""
+    return lifetimes(merge_stretches(read_deltas(spark, root, STRETCHES, compacted)), ttl)
