@@ -15,11 +15,17 @@ def meta(metadata: Column, key: str) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """True for text that holds exactly one JSON value.
+    """True for text that holds exactly one JSON value; members of an object may repeat.
 
-    The parser ignores whatever follows the first value. Text that parses both as the elements of
-    an array and as the value of a member can only be one complete value.
+    The parser ignores whatever follows the first value. Text that parses both as the element of
+    an array and as the value of a member can only be one complete value. Numbers of any size and any depth that the
+    parser takes count as JSON.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return in_array.isNotNull() & in_object.isNotNull()
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+    def parses(*parts) -> Column:
+        return F.from_json(F.concat(*parts), "v string", strict)["v"].isNotNull()
+
+    in_array = parses(F.lit('{"v":['), text, F.lit("]}"))
+    in_object = parses(F.lit('{"v":{"w":'), text, F.lit("}}"))
+    return in_array & in_object

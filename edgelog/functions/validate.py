@@ -76,6 +76,21 @@ def approved_host(host: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
     )
 
 
+def resolved_path(path: Column) -> Column:
+    """A path without dot segments (a dot may be written ``%2e``); one at the end leaves a slash."""
+    here, up = (".", "%2e"), ("..", ".%2e", "%2e.", "%2e%2e")
+    segments = F.split(path, "/")
+
+    def step(kept: Column, segment: Column) -> Column:
+        above = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        name = F.lower(segment)
+        return F.when(name.isin(*here), kept).when(name.isin(*up), above).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), step)
+    ends_in_dots = F.lower(F.element_at(segments, -1)).isin(*here, *up)
+    return F.concat(F.array_join(kept, "/"), F.when(ends_in_dots, F.lit("/")).otherwise(F.lit("")))
+
+
 def url_parts(url: Column) -> dict[str, Column]:
     """The parts of a stripped URL that the endpoint check looks at."""
 
@@ -86,12 +101,13 @@ def url_parts(url: Column) -> dict[str, Column]:
         "scheme": ascii_lower(part("PROTOCOL")),
         "host": ascii_lower(part("HOST")),
         "port": F.regexp_extract(part("AUTHORITY"), r":([0-9]+)$", 1),
-        "user": part("USERINFO"),
-        "path": part("PATH"),
+        "user": F.nullif(F.regexp_replace(part("USERINFO"), ":$", ""), F.lit("")),
+        "path": resolved_path(part("PATH")),
         "has_more": F.coalesce(part("QUERY"), part("REF")).isNotNull(),
     }
 
 
+# The messages of this and the other checks, and the order of the checks, equal the gateway's.
 def endpoint_error(
     url: Column, parts: dict[str, Column], hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
 ) -> Column:

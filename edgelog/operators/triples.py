@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgelog.plans.sizing import MAX_BROADCAST_BYTES, fits_broadcast, worth_pruning
-from edgelog.session import shared_dir
-
 # The vocabulary the lookups use.
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 ABSTRACT = "http://dbpedia.org/ontology/abstract"
@@ -21,8 +18,6 @@ ENTITY_ROWS = 50
 SEARCH_ROWS = 10
 MAX_SEARCH_ROWS = 50
 GRAM = 3
-SALTS = 32
-MAX_BROADCAST_GRAMS = 500_000
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
@@ -52,9 +47,6 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
     whose place is beyond the limit: an entity never grows past ``limit`` rows per list.
     """
     wanted = requests.select("subject", "lang").distinct()
-    subjects = wanted.select("subject").distinct()
-    if worth_pruning(subjects, triples):
-        triples = triples.join(F.broadcast(subjects), "subject", "left_semi")
     labels = _literals(triples, LABEL, "label", limit)
     abstracts = _literals(triples, ABSTRACT, "abstract", limit)
     facts = _ranked(
@@ -89,42 +81,50 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
 
 
 def _grams(text: Column, length: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - (length - 1))
-    grams = F.transform(starts, lambda at: F.substr(text, at, F.lit(length)))
-    return F.when(F.length(text) >= length, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Distinct runs of ``length`` characters; one pass, since matches of a lookahead take up no text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+
 
+def _subjects_by_gram(labels: DataFrame, wanted: DataFrame, lengths) -> DataFrame:
+    """Subjects whose labels have a gram that some query needs; texts are neither exploded nor shuffled."""
+    grams = F.concat(*[_grams(F.col("haystack"), n) if n else F.array(F.lit("")) for n in lengths])
+    found = labels.select("subject", "lang", F.explode(grams).alias("gram"))
+    return found.join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi").distinct()
 
-def _matches_by_gram(labels: DataFrame, needles: DataFrame) -> DataFrame:
-    """Pairs of a label and a query whose first characters occur in some label of the subject.
 
-    A label that contains the query contains its leading gram, so an equi-join finds all pairs. Only
-    subjects and grams are exploded and shuffled, not the texts. A gram that most labels have is
-    salted by subject; texts come back by subject, where adaptive execution can split a hot one.
+def _short_matches(labels: DataFrame, needles: DataFrame) -> DataFrame:
+    """Queries shorter than a gram: having the gram is containing the query.
+
+    The first ``MAX_SEARCH_ROWS`` subjects of a gram are all that any of its queries can show, since each has
+    a row at least. They are cut on the map side, however many labels have the gram.
     """
-    keyed = needles.withColumn("_gram", F.substr("needle", F.lit(1), F.lit(GRAM)))
-    wanted = keyed.select("lang", "_gram").distinct()
-    grams = F.concat(*[_grams(F.col("haystack"), n) for n in range(1, GRAM + 1)], F.array(F.lit("")))
-    found = labels.select("subject", "lang", F.explode(grams).alias("_gram"))
-    if wanted.count() <= MAX_BROADCAST_GRAMS:
-        found = found.join(F.broadcast(wanted), ["lang", "_gram"], "left_semi")
-    found = found.distinct().withColumn(
-        "_salt", F.pmod(F.xxhash64("subject"), F.lit(SALTS)).cast("int")
-    )
-    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    candidates = found.join(salted, ["lang", "_gram", "_salt"]).select(
-        "subject", "lang", "query_id", "needle", "_limit"
+    short = needles.where(F.length("needle") < GRAM).withColumn("gram", F.col("needle"))
+    subjects = _subjects_by_gram(labels, short, range(GRAM))
+    first = _ranked(subjects, ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS)
+    return short.join(first, ["lang", "gram"]).select("query_id", "lang", "needle", "_limit", "subject")
+
+
+def _long_matches(labels: DataFrame, needles: DataFrame) -> DataFrame:
+    """Other queries meet the subjects that have their rarest gram; one that no label has ends the query."""
+    long = needles.where(F.length("needle") >= GRAM)
+    grams = long.select("query_id", "lang", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
+    subjects = _subjects_by_gram(labels, grams, (GRAM,))
+    counts = subjects.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rated = grams.join(counts, ["lang", "gram"], "left")
+    rarest = rated.groupBy("query_id", "lang").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
     )
-    return labels.join(candidates, ["subject", "lang"])
+    chosen = rarest.where("rarest.n > 0").select("query_id", "lang", F.col("rarest.gram").alias("gram"))
+    met = subjects.join(chosen, ["lang", "gram"]).select("query_id", "lang", "subject")
+    return met.join(long, ["query_id", "lang"]).select("query_id", "lang", "needle", "_limit", "subject")
 
 
 def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
     """Entities whose label in the query's language contains the query text, ignoring case.
 
-    ``queries(query_id, text, lang)`` may have a ``limit`` column; limits are brought into 1..50. Rows
-    are ordered by entity, label and abstract. Few queries are broadcast to the labels; when they
-    are too large for that, subjects and queries meet on the query's first three characters.
+    ``queries(query_id, text, lang)``, one row per id and language, may have a ``limit`` column; limits are brought
+    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest three
+    characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
     """
     wanted = F.col("limit") if "limit" in queries.columns else F.lit(limit)
     needles = queries.select(
@@ -136,21 +136,14 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     labels = triples.where((F.col("predicate") == LABEL) & (F.col("object_kind") == "literal")).select(
         "subject", "lang", F.col("object").alias("label"), F.lower("object").alias("haystack")
     )
-    if fits_broadcast(queries):
-        pairs = labels.join(F.broadcast(needles), "lang")
-    else:
-        pairs = _matches_by_gram(labels, needles)
+    candidates = _short_matches(labels, needles).unionByName(_long_matches(labels, needles))
+    pairs = labels.join(candidates, ["subject", "lang"])
     hits = pairs.where(F.contains(F.col("haystack"), F.col("needle"))).select(
         "query_id", "lang", "_limit", "subject", "label"
     )
     # The order starts with entity and label, so later rows cannot come back with the abstracts.
     hits = _ranked(hits, ["query_id"], ["subject", "label"], MAX_SEARCH_ROWS)
     hits = hits.where(F.col("_n") < F.col("_limit")).drop("_n")
-    if fits_broadcast(queries, MAX_BROADCAST_BYTES // MAX_SEARCH_ROWS):
-        # No more subjects than MAX_SEARCH_ROWS per query. Kept, as the labels would be searched again.
-        shared_dir(triples.sparkSession)
-        hits = hits.checkpoint()
-        triples = triples.join(F.broadcast(hits.select("subject").distinct()), "subject", "left_semi")
     abstracts = _literals(triples, ABSTRACT, "abstract", MAX_SEARCH_ROWS).select(
         "subject", "lang", "abstract"
     )

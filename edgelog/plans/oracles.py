@@ -1,4 +1,7 @@
-"""DuckDB SQL that gives the same results as the registered queries, written on its own."""
+"""DuckDB SQL that gives the same results as the registered queries, written on its own.
+
+Fixed values: messages, placeholders, hashes, IRIs, endpoints and limits in it equal the gateway's.
+"""
 
 # One row per event with every column of the log and the helpers it is made from.
 LOGS = """
@@ -53,7 +56,8 @@ entries AS (
 responses AS (
   SELECT cache_key,
     CASE substr(cache_key, 1, 1) WHEN '0' THEN 429 WHEN '1' THEN 502 WHEN '2' THEN 502 ELSE 200 END AS status,
-    CASE substr(cache_key, 2, 1) WHEN '0' THEN '{' WHEN '1' THEN repeat('x', 102401) ELSE payload END AS body
+    CASE substr(cache_key, 2, 1) WHEN '0' THEN '{' WHEN '1' THEN repeat('x', 102401)
+      WHEN '2' THEN '{"again":1,"again":2}' ELSE payload END AS body
   FROM entries),
 classes AS (
   SELECT cache_key, status, body,
@@ -318,6 +322,12 @@ SELECT observed_at_unix_secs, total_requests FROM points ORDER BY observed_at_un
         LOGS, "summary AS (" + _summary(604_800).replace(_with(LOGS), "") + ")"
     )
     + "SELECT CAST(to_json(summary) AS VARCHAR) AS json FROM summary",
+    "timeseries_json": f"""
+WITH series AS ({_timeseries(604_800)})
+SELECT '{{"rolling_window_seconds":604800,"bucket_seconds":3600,"points":' || coalesce(CAST(to_json(list(
+  {{'observed_at_unix_secs': observed_at_unix_secs, 'total_requests': total_requests, 'cache_hit_rate': cache_hit_rate,
+   'stale_response_rate': stale_response_rate, 'p95_latency_ms': p95_latency_ms}} ORDER BY observed_at_unix_secs))
+  AS VARCHAR), '[]') || '}}' AS json FROM series""",
     "percent_label": _with(LOGS, POINTS) + """
 SELECT observed_at_unix_secs, CAST(CAST(floor(cache_hit_rate * 100 + 0.5) AS INTEGER) AS VARCHAR) || '%' AS cache_hits,
   '0%' AS nothing FROM points""",
@@ -342,14 +352,16 @@ SELECT id AS request_id,
   CASE WHEN rejected_for = 'text' THEN field || ' is required' END AS error FROM checked""",
     "validate_endpoint": r"""
 WITH given AS (
-  SELECT page_id, trim(CASE page_id % 9 WHEN 0 THEN 'https://de.dbpedia.org/sparql'
+  SELECT page_id, trim(CASE page_id % 12 WHEN 0 THEN 'https://de.dbpedia.org/sparql'
     WHEN 1 THEN ' https://FR.dbpedia.org/sparql ' WHEN 2 THEN 'http://dbpedia.org/sparql'
     WHEN 3 THEN 'https://dbpedia.org/other' WHEN 4 THEN 'https://dbpedia.org/sparql?query=x'
-    WHEN 5 THEN 'not a url' WHEN 6 THEN '  ' WHEN 8 THEN url END) AS u FROM pages),
+    WHEN 5 THEN 'not a url' WHEN 6 THEN '  ' WHEN 8 THEN url WHEN 9 THEN 'https://dbpedia.org/./sparql'
+    WHEN 10 THEN 'https://@DBpedia.org/a/../sparql' WHEN 11 THEN 'https://dbpedia.org/sparql/.' END) AS u FROM pages),
 parts AS (
   SELECT *, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme,
-    lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
-    regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM given),
+    lower(regexp_extract(u, '^[A-Za-z]+://@?([^/?#]*)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1),
+      '/\./', '/'), '/[^/]+/\.\./', '/'), '/\.$', '/') AS path FROM given),
 judged AS (
   SELECT *, CASE WHEN u IS NULL THEN NULL WHEN u = '' THEN 'endpoint required'
     WHEN scheme = '' OR host = '' THEN 'endpoint must be a valid URL'
@@ -405,6 +417,14 @@ FROM entries e LEFT JOIN (
 SELECT request_id, CASE WHEN error_code IS NULL THEN '{"data":' || CAST(to_json(data) AS VARCHAR) || ',"cached":' ||
   CAST(cached AS VARCHAR) || ',"stale":' || CAST(stale AS VARCHAR) || ',"source":"' || source || '"}' END AS envelope
 FROM answers""",
+    "error_bodies": _with(LOGS, ENTRIES, REQUESTS, RESOLVED) + """
+, failed AS (
+  SELECT request_id, error_code, error_message FROM answers
+  UNION ALL SELECT id, 'bad_request',
+    CASE rejected_for WHEN 'text' THEN field || ' is required' WHEN 'endpoint' THEN 'endpoint must use https'
+      ELSE 'lang must be a valid BCP-47-style language tag' END FROM checked WHERE rejected_for IS NOT NULL)
+SELECT request_id, CASE WHEN error_code IS NOT NULL THEN
+  '{"error":{"code":"' || error_code || '","message":"' || error_message || '"}}' END AS body FROM failed""",
     "display_source": _with(LOGS, ENTRIES, REQUESTS, RESOLVED) + """
 SELECT request_id, CASE WHEN error_code IS NOT NULL THEN 'error' WHEN stale THEN 'stale' ELSE source END
   AS display_source FROM answers""",
@@ -479,4 +499,7 @@ FROM ends JOIN logs ON observed_at_unix_secs >= e - 86400 AND observed_at_unix_s
     "stream_residency": _with(LOGS, _lifetimes(3_600)) + "SELECT * FROM lifetimes",
     "stream_breaker": _transitions(3, 30),
 }
+ORACLES["stored_entity_lookup"] = ORACLES["entity_lookup"]
+ORACLES["stored_label_search"] = ORACLES["label_search"]
+ORACLES["stored_triple_pattern"] = ORACLES["triple_pattern_bound"]
 ORACLES["log_roundtrip"] = ORACLES["scan_request_logs"]

@@ -12,6 +12,7 @@ from edgelog.operators import cache, health, metrics, popular, requests, triples
 from edgelog.schemas import REQUEST_LOGS
 from edgelog.session import new_shared_path
 from edgelog.sources import derived, json_lines, logs as log_store
+from edgelog.sources import triples as triple_store
 from edgelog.streaming import health as health_stream
 from edgelog.streaming import logs as log_stream
 
@@ -130,6 +131,10 @@ def summary_json(spark: SparkSession, sf: str) -> DataFrame:
     return json_lines.json_lines(metrics_summary_7d(spark, sf))
 
 
+def timeseries_json(spark: SparkSession, sf: str) -> DataFrame:
+    return json_lines.series_document(metrics_timeseries_7d(spark, sf), WEEK)
+
+
 def percent_label(spark: SparkSession, sf: str) -> DataFrame:
     points = _all_points(spark, sf)
     return points.select(
@@ -317,6 +322,12 @@ def envelopes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def error_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of failed and rejected requests."""
+    rejected = request_quarantine(spark, sf)
+    return json_lines.error_bodies(_resolved(spark, sf).unionByName(rejected, allowMissingColumns=True))
+
+
 def display_source(spark: SparkSession, sf: str) -> DataFrame:
     shown = labels.display_source(F.col("error_code"), F.col("stale"), F.col("source"))
     return _resolved(spark, sf).select("request_id", shown.alias("display_source"))
@@ -410,6 +421,27 @@ def label_search_clamped(spark: SparkSession, sf: str) -> DataFrame:
     return triples.label_search(derived.triples(spark, sf), queries)
 
 
+def _stored_triples(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_shared_path(spark, "triples")
+    triple_store.write_triples(derived.triples(spark, sf), path)
+    return triple_store.read_triples(spark, path)
+
+
+def stored_entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return triples.entity_lookup(_stored_triples(spark, sf), derived.entity_requests(spark, sf))
+
+
+def stored_label_search(spark: SparkSession, sf: str) -> DataFrame:
+    queries = derived.search_queries(spark, sf).select("query_id", "text", "lang")
+    return triples.label_search(_stored_triples(spark, sf), queries)
+
+
+def stored_triple_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    return triples.match_pattern(
+        _stored_triples(spark, sf), predicate=derived.ONTOLOGY + "knownFor", object=derived.RESOURCE + "src1"
+    )
+
+
 def triple_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return triples.match_pattern(derived.triples(spark, sf), limit=5)
 
@@ -544,6 +576,7 @@ QUERIES = {
         busiest_hour,
         latest_hour,
         summary_json,
+        timeseries_json,
         percent_label,
         display_labels,
         canonical_params,
@@ -564,6 +597,7 @@ QUERIES = {
         cache_residency_7d,
         resolve_requests,
         envelopes,
+        error_bodies,
         display_source,
         origin_classes,
         outcome_status,
@@ -577,6 +611,9 @@ QUERIES = {
         entity_lookup_limited,
         label_search,
         label_search_clamped,
+        stored_entity_lookup,
+        stored_label_search,
+        stored_triple_pattern,
         triple_pattern,
         triple_pattern_bound,
         origin_incidents,

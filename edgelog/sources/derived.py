@@ -109,6 +109,7 @@ def origin_responses(entries: DataFrame) -> DataFrame:
         F.when(first == "0", 429).when(first.isin("1", "2"), 502).otherwise(200).alias("status"),
         F.when(second == "0", F.lit("{"))
         .when(second == "1", F.repeat(F.lit("x"), F.lit(102_401)))
+        .when(second == "2", F.lit('{"again":1,"again":2}'))
         .otherwise(F.col("payload"))
         .alias("body"),
     )
@@ -222,7 +223,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def endpoint_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One endpoint text per page: good, untidy, wrong in each way, or the page's own address."""
-    shape = F.col("page_id") % 9
+    shape = F.col("page_id") % 12
     texts = {
         0: "https://de.dbpedia.org/sparql",
         1: " https://FR.dbpedia.org/sparql ",
@@ -231,6 +232,9 @@ def endpoint_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         4: "https://dbpedia.org/sparql?query=x",
         5: "not a url",
         6: "  ",
+        9: "https://dbpedia.org/./sparql",
+        10: "https://@DBpedia.org/a/../sparql",
+        11: "https://dbpedia.org/sparql/.",
     }
     return table(spark, sf_dir, "pages").select(
         "page_id", F.when(shape == 8, F.col("url")).otherwise(lookup(shape, texts)).alias("endpoint")
