@@ -31,12 +31,3 @@ def nearest_rank(total: Column, fraction: float) -> Column:
     """1-based rank of the percentile among ``total`` sorted values, without interpolation."""
     rank = F.ceil(total.cast("double") * F.lit(fraction))
     return F.greatest(rank, F.lit(1)).cast("bigint")
-
-
-def percentile_disc(column: str, fraction: float) -> Column:
-    """Nearest-rank percentile as an aggregate; 0 for an empty group.
-
-    Its state holds one counter per distinct value, so it suits values from a small range.
-    """
-    exact = F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})")
-    return F.coalesce(exact.cast("bigint"), F.lit(0).cast("bigint"))

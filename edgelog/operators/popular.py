@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.functions.metadata import has_key, meta
+from edgelog.functions.metadata import has_key
+
+
+HITS = "entity_id string, query_hash string, lang string, endpoint string, hits long"
+KEY = ["entity_id", "query_hash", "lang", "endpoint"]
 
 
 def entity_hits(logs: DataFrame) -> DataFrame:
     """Hits per entity, key, language and endpoint, over the rows that name an entity."""
-    metadata = F.col("metadata")
-    named = logs.where((F.col("route") == "entity") & has_key(metadata, "entity_id"))
-    return named.groupBy(
-        meta(metadata, "entity_id").alias("entity_id"),
-        "query_hash",
-        F.coalesce(meta(metadata, "lang"), F.lit("en")).alias("lang"),
-        meta(metadata, "endpoint").alias("endpoint"),
-    ).agg(F.count(F.lit(1)).alias("hits"))
+    fields = F.json_tuple("metadata", "entity_id", "lang", "endpoint").alias("entity_id", "lang", "endpoint")
+    rows = logs.where(F.col("route") == "entity").select("query_hash", "metadata", fields)
+    # A member that is there but null names an entity too; only then the keys are looked at.
+    named = rows.where(F.when(F.col("entity_id").isNotNull(), True).otherwise(has_key(F.col("metadata"), "entity_id")))
+    keyed = named.withColumn("lang", F.coalesce("lang", F.lit("en")))
+    return keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def popular_entities(logs: DataFrame, k: int = 25) -> DataFrame:
+def merge_hits(hits: DataFrame) -> DataFrame:
+    """Hits of disjoint rows, added up."""
+    return hits.groupBy(*KEY).agg(F.sum("hits").alias("hits"))
+
+
+def most_requested(hits: DataFrame, k: int = 25) -> DataFrame:
     """Top ``k`` by hits; ties by entity, key, language and endpoint."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    order = [F.desc("hits"), *[F.asc_nulls_first(c) for c in ("entity_id", "query_hash", "lang", "endpoint")]]
-    return entity_hits(logs).orderBy(*order).limit(k)
+    return hits.orderBy(F.desc("hits"), *[F.asc_nulls_first(c) for c in KEY]).limit(k)
+
+
+def popular_entities(logs: DataFrame, k: int = 25) -> DataFrame:
+    return most_requested(entity_hits(logs), k)

@@ -9,8 +9,9 @@ from edgelog.functions.keys import request_key
 from edgelog.functions.numeric import as_column
 from edgelog.functions.validate import resource_iri
 from edgelog.operators.cache import TTL, upsert_cache
-from edgelog.operators.popular import popular_entities
+from edgelog.operators.popular import entity_hits, most_requested
 from edgelog.operators.triples import ENTITY_ROWS, entity_lookup
+from edgelog.session import written
 
 
 def skip_recent(candidates: DataFrame, cache: DataFrame, min_age: int, as_of) -> DataFrame:
@@ -24,10 +25,12 @@ def skip_recent(candidates: DataFrame, cache: DataFrame, min_age: int, as_of) ->
 def fetch_entities(candidates: DataFrame, triples: DataFrame) -> DataFrame:
     """Candidates with the JSON of their facts; a candidate without an entity gets no payload.
 
-    An entity nothing is known about is still an answer, an empty list.
+    An entity nothing is known about is still an answer, an empty list. Candidates are few (their number is a
+    parameter), so they are sent to the triples, which are read but not shuffled for other subjects.
     """
     asked = candidates.withColumn("subject", resource_iri(F.col("entity_id"), F.col("lang")))
     requests = asked.where(F.col("subject").isNotNull()).select("subject", "lang")
+    triples = triples.join(F.broadcast(requests.select("subject").distinct()), "subject", "left_semi")
     fact = ["label", "abstract", "property", "value"]
     facts = entity_lookup(triples, requests, ENTITY_ROWS).withColumn(
         "fact", F.when(F.coalesce(*fact).isNotNull(), F.struct(*fact))
@@ -60,6 +63,26 @@ def warm_result(fetched: DataFrame) -> DataFrame:
     )
 
 
+def warm_updates(
+    hits: DataFrame,
+    triples: DataFrame,
+    cache: DataFrame,
+    as_of,
+    k: int = 25,
+    min_age: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Updates for the ``k`` most requested entities of ``hits``, and the run's counters.
+
+    Candidates are written once, and so is what was fetched for them: both outputs start from at most ``k`` rows.
+    """
+    candidates = most_requested(hits, k)
+    if min_age is not None:
+        candidates = skip_recent(candidates, cache, min_age, as_of)
+    candidates = written(candidates, "warm_candidates")
+    fetched = written(fetch_entities(candidates, triples), "warm_fetched")
+    return refreshed_entries(fetched, as_of), warm_result(fetched)
+
+
 def warm_cache(
     logs: DataFrame,
     triples: DataFrame,
@@ -70,8 +93,5 @@ def warm_cache(
     min_age: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The cache after refreshing the ``k`` most requested entities, and the run's counters."""
-    candidates = popular_entities(logs, k)
-    if min_age is not None:
-        candidates = skip_recent(candidates, cache, min_age, as_of)
-    fetched = fetch_entities(candidates, triples)
-    return upsert_cache(cache, refreshed_entries(fetched, as_of), ttl), warm_result(fetched)
+    updates, result = warm_updates(entity_hits(logs), triples, cache, as_of, k, min_age)
+    return upsert_cache(cache, updates, ttl), result

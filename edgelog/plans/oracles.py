@@ -498,6 +498,40 @@ SELECT e AS window_end_unix_secs, {COUNTS}, {RATES}, {_rate(FAILED)} AS origin_e
 FROM ends JOIN logs ON observed_at_unix_secs >= e - 86400 AND observed_at_unix_secs < e GROUP BY e""",
     "stream_residency": _with(LOGS, _lifetimes(3_600)) + "SELECT * FROM lifetimes",
     "stream_breaker": _transitions(3, 30),
+    "stream_warm": _with(LOGS, HITS, ENTRIES, TRIPLES, LOOKUP) + """
+, cut AS (SELECT (min(observed_at_unix_secs) + 3 * max(observed_at_unix_secs)) // 4 AS c FROM logs),
+early AS (SELECT logs.* FROM logs, cut WHERE observed_at_unix_secs <= c),
+ticks AS (SELECT (SELECT max(observed_at_unix_secs) FROM early) AS a1, (SELECT as_of FROM latest) AS a2),
+pay AS (
+  SELECT subject, lang, coalesce('[' || string_agg(
+    '{"label":' || coalesce(CAST(to_json(label) AS VARCHAR), 'null')
+    || ',"abstract":' || coalesce(CAST(to_json(abstract) AS VARCHAR), 'null')
+    || ',"property":' || coalesce(CAST(to_json(property) AS VARCHAR), 'null')
+    || ',"value":' || coalesce(CAST(to_json(value) AS VARCHAR), 'null') || '}', ',' ORDER BY place)
+    FILTER (label IS NOT NULL OR abstract IS NOT NULL OR property IS NOT NULL) || ']', '[]') AS payload
+  FROM found WHERE place <= 50 GROUP BY subject, lang),
+hits1 AS (
+  SELECT json_extract_string(metadata, '$.entity_id') AS entity_id, query_hash,
+    coalesce(json_extract_string(metadata, '$.lang'), 'en') AS lang,
+    json_extract_string(metadata, '$.endpoint') AS endpoint, count(*) AS hits
+  FROM early WHERE route = 'entity' AND metadata LIKE '%"entity_id"%' GROUP BY ALL),
+top1 AS (SELECT * FROM hits1 ORDER BY hits DESC, entity_id, query_hash, lang, endpoint NULLS FIRST LIMIT 25),
+top2 AS (SELECT * FROM hits ORDER BY hits DESC, entity_id, query_hash, lang, endpoint NULLS FIRST LIMIT 25),
+warm1 AS (
+  SELECT query_hash AS cache_key, payload FROM top1 t JOIN pay p ON p.lang = t.lang AND p.subject = 'http://' ||
+    CASE WHEN t.lang = 'am' THEN 'am.' ELSE '' END || 'dbpedia.org/resource/' || entity_id
+  WHERE query_hash NOT IN (SELECT cache_key FROM entries, ticks WHERE last_success_unix_secs > a1 - 864000)),
+after1 AS (
+  SELECT cache_key, payload, a1 AS created_at_unix_secs, a1 AS last_success_unix_secs, CAST(0 AS BIGINT) AS hit_count,
+    a1 + 604800 AS expires_at_unix_secs FROM warm1, ticks
+  UNION ALL SELECT * FROM entries WHERE cache_key NOT IN (SELECT cache_key FROM warm1)),
+warm2 AS (
+  SELECT query_hash AS cache_key, payload FROM top2 t JOIN pay p ON p.lang = t.lang AND p.subject = 'http://' ||
+    CASE WHEN t.lang = 'am' THEN 'am.' ELSE '' END || 'dbpedia.org/resource/' || entity_id
+  WHERE query_hash NOT IN (SELECT cache_key FROM after1, ticks WHERE last_success_unix_secs > a2 - 864000))
+SELECT cache_key, payload, a2 AS created_at_unix_secs, a2 AS last_success_unix_secs, CAST(0 AS BIGINT) AS hit_count,
+  a2 + 604800 AS expires_at_unix_secs FROM warm2, ticks
+UNION ALL SELECT * FROM after1 WHERE cache_key NOT IN (SELECT cache_key FROM warm2)""",
 }
 ORACLES["stored_entity_lookup"] = ORACLES["entity_lookup"]
 ORACLES["stored_label_search"] = ORACLES["label_search"]

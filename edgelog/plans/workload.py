@@ -11,10 +11,11 @@ from edgelog.functions.text import normalize_ws
 from edgelog.operators import cache, health, metrics, popular, requests, triples, warm
 from edgelog.schemas import REQUEST_LOGS
 from edgelog.session import new_shared_path
-from edgelog.sources import derived, json_lines, logs as log_store
+from edgelog.sources import cache_store, derived, json_lines, logs as log_store
 from edgelog.sources import triples as triple_store
 from edgelog.streaming import health as health_stream
 from edgelog.streaming import logs as log_stream
+from edgelog.streaming import warm as warm_stream
 
 WEEK = 7 * metrics.DAY
 RESIDENCY_TTL = 3_600
@@ -557,6 +558,30 @@ def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_warm(spark: SparkSession, sf: str) -> DataFrame:
+    """Two warming ticks, after three quarters of the log's time and after all of it; entries under 10 days old are
+    skipped, so the second tick leaves what the first has refreshed."""
+    path = new_shared_path(spark, "stream_warm")
+    rows = derived.logs(spark, sf)
+    events = derived.table(spark, sf, "events")
+    seconds = F.expr(derived.EPOCH_SECONDS)
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    tick = (first + 3 * last) // 4
+    for part in (events.where(seconds <= tick), events.where(seconds > tick)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/events")
+    cache_store.write_cache(derived.cache_entries(rows), f"{path}/cache", 0)
+    stream = log_stream.read_log_stream(spark, f"{path}/events", events.schema, max_files=1)
+    warm_stream.warm_stream(
+        derived.detailed_logs(stream),
+        derived.triples(spark, sf),
+        f"{path}/cache",
+        f"{path}/checkpoint",
+        interval=None,
+        min_age=10 * metrics.DAY,
+    ).awaitTermination()
+    return cache_store.read_cache(spark, f"{path}/cache", 2)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -627,5 +652,6 @@ QUERIES = {
         stream_rolling,
         stream_residency,
         stream_breaker,
+        stream_warm,
     )
 }

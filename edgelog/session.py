@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has written."""
     return os.path.join(shared_dir(spark), "edgelog", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once below the shared folder and read back, for results that several jobs use."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,24 +1,41 @@
-"""Cache tables on disk, one directory per version.
+"""Cache tables on disk: a full version and deltas of later ones.
 
-A new version is written beside the one that is read; readers name the version they want.
+A version holds the entries that it changed; readers take the latest of each key up to the version they name.
+``compact_cache`` writes a full table for a version, after which earlier ones can be removed once no reader names them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgelog.schemas import CACHE_ENTRIES
 
+_COLUMNS = CACHE_ENTRIES.fieldNames()
+_SCHEMA = CACHE_ENTRIES.simpleString()[len("struct<") : -1].replace(":", " ")
+
 
 def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"
 
 
-def read_cache(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.schema(CACHE_ENTRIES).parquet(version_path(root, version))
+def read_cache(spark: SparkSession, root: str, version: int, compacted: int | None = None) -> DataFrame:
+    """The cache as of a version; with ``compacted``, from that full table and the deltas after it."""
+    deltas = spark.read.schema(f"{_SCHEMA}, version long").parquet(root).where(F.col("version") <= version)
+    if compacted is not None:
+        base = spark.read.schema(_SCHEMA).parquet(version_path(f"{root}-compacted", compacted))
+        base = base.withColumn("version", F.lit(compacted).cast("long"))
+        deltas = base.unionByName(deltas.where(F.col("version") > compacted))
+    entry = F.struct(*[c for c in _COLUMNS if c != "cache_key"])
+    latest = deltas.groupBy("cache_key").agg(F.max_by(entry, "version").alias("entry"))
+    return latest.select("cache_key", "entry.*")
 
 
 def write_cache(entries: DataFrame, root: str, version: int) -> None:
-    """Write a version; doing it again after a failure replaces a partial one."""
-    columns = CACHE_ENTRIES.fieldNames()
-    entries.select(*columns).write.mode("overwrite").parquet(version_path(root, version))
+    """Write the entries a version changed, one per key; doing it again after a failure replaces a partial one."""
+    entries.select(*_COLUMNS).write.mode("overwrite").parquet(version_path(root, version))
+
+
+def compact_cache(spark: SparkSession, root: str, version: int, compacted: int | None = None) -> None:
+    full = read_cache(spark, root, version, compacted)
+    full.write.mode("overwrite").parquet(version_path(f"{root}-compacted", version))

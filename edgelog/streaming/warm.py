@@ -1,51 +1,68 @@
-"""Periodic warming."""
+"""Periodic warming.
+
+Hits add up, so each tick counts only the log rows that are new and adds them to the hits that earlier ticks have
+kept; neither the log nor the cache is read or written whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgelog.operators.cache import TTL
-from edgelog.operators.warm import warm_cache
+from edgelog.operators.cache import TTL, fresh_entries
+from edgelog.operators.popular import HITS, entity_hits, merge_hits
+from edgelog.operators.warm import warm_updates
 from edgelog.sources.cache_store import read_cache, version_path, write_cache
-from edgelog.sources.logs import open_logs
+from edgelog.streaming.logs import read_deltas, start_batches
+
+
+def read_hits(spark: SparkSession, cache_root: str, compacted: int | None = None) -> DataFrame:
+    """Hits of all log rows up to the last tick; ``compact_deltas`` with ``merge_hits`` shortens them."""
+    return merge_hits(read_deltas(spark, f"{cache_root}-hits", HITS, compacted))
 
 
 def warm_batch(
-    spark, batch_id: int, log_path: str, triples: DataFrame, cache_root: str, k: int, ttl: int
+    logs: DataFrame,
+    batch_id: int,
+    triples: DataFrame,
+    cache_root: str,
+    k: int = 25,
+    ttl: int = TTL,
+    min_age: int | None = None,
+    as_of=None,
 ) -> None:
-    """Make cache version ``batch_id + 1`` from ``batch_id``; a repeated batch makes it again."""
-    logs = open_logs(spark, log_path)
-    as_of = logs.agg(F.max("observed_at_unix_secs")).scalar()
+    """Make cache version ``batch_id + 1`` from ``batch_id``; a repeated batch makes it again.
+
+    ``as_of`` is by default the time of the last new log row.
+    """
+    spark = logs.sparkSession
+    entity_hits(logs).write.mode("overwrite").parquet(f"{cache_root}-hits/deltas/batch={batch_id}")
+    if as_of is None:
+        as_of = logs.agg(F.max("observed_at_unix_secs")).first()[0]
     cache = read_cache(spark, cache_root, batch_id)
-    warmed, result = warm_cache(logs, triples, cache, as_of, k, ttl)
-    write_cache(warmed, cache_root, batch_id + 1)
+    updates, result = warm_updates(read_hits(spark, cache_root), triples, cache, as_of, k, min_age)
+    # Candidates have different keys or, with equal ones, equal payloads and times.
+    write_cache(fresh_entries(updates.dropDuplicates(["cache_key"]), ttl), cache_root, batch_id + 1)
     result.write.mode("overwrite").parquet(version_path(f"{cache_root}-results", batch_id + 1))
 
 
 def warm_stream(
-    ticks: DataFrame,
-    log_path: str,
+    logs: DataFrame,
     triples: DataFrame,
     cache_root: str,
     checkpoint: str,
     k: int = 25,
     ttl: int = TTL,
     interval: str | None = "1 hour",
+    min_age: int | None = None,
 ) -> StreamingQuery:
-    """Warm at once and then every ``interval`` in which ``ticks`` has new rows.
+    """Warm at once and then every ``interval`` in which the log stream has new rows.
 
-    Ticks missed while a run is busy are skipped, as triggers are. ``ticks`` can be the log stream.
+    Ticks missed while a run is busy are skipped, as triggers are. ``cache_root`` must hold version 0.
     """
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return (
-        ticks.writeStream.trigger(**trigger)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(
-            lambda batch, batch_id: warm_batch(
-                batch.sparkSession, batch_id, log_path, triples, cache_root, k, ttl
-            )
-        )
-        .start()
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        warm_batch(batch, batch_id, triples, cache_root, k, ttl, min_age)
+
+    return start_batches(logs, write, checkpoint, interval)
