@@ -8,32 +8,30 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from edgelog.functions import labels
-from edgelog.functions.numeric import percentile_disc, ratio
+from edgelog.functions.numeric import ratio
 from edgelog.operators import metrics, popular
 
 SCHEMA = (
     "observed_at_unix_secs long, cache_hit boolean, stale boolean, latency_ms int, status_code short"
 )
+#: Eight requests: five hits (one of them stale with a server error), two origin errors; latencies 3, 6, .. 24.
 ROWS = [
-    (1700000000, True, False, 10, 200),
-    (1700000100, False, False, 100, 200),
-    (1700000200, True, True, 12, 200),
-    (1700000300, False, False, 250, 502),
+    (86_400 * 3 + 11 * i, i in (0, 1, 2, 5, 6), i == 5, 3 * (i + 1), 503 if i in (3, 5, 7) else 200) for i in range(8)
 ]
 
 
 def test_summary(spark):
-    row = metrics.summarize(spark.createDataFrame(ROWS, SCHEMA), 1700000300).first().asDict()
+    row = metrics.summarize(spark.createDataFrame(ROWS, SCHEMA), 86_400 * 4).first().asDict()
     assert row == {
         "rolling_window_seconds": 86_400,
-        "total_requests": 4,
-        "cache_hits": 2,
+        "total_requests": 8,
+        "cache_hits": 5,
         "stale_responses": 1,
-        "origin_errors": 1,
-        "cache_hit_rate": 0.5,
-        "stale_response_rate": 0.25,
+        "origin_errors": 2,
+        "cache_hit_rate": 0.625,
+        "stale_response_rate": 0.125,
         "origin_error_rate": 0.25,
-        "p95_latency_ms": 250,
+        "p95_latency_ms": 24,
     }
 
 
@@ -54,11 +52,13 @@ def test_stale_answers_with_a_server_error_status_are_no_origin_errors(spark):
 
 
 def test_timeseries(spark):
-    logs = spark.createDataFrame([(7200, True, False, 10, 200), (7201, False, False, 20, 200)], SCHEMA)
-    (point,) = metrics.timeseries(logs, 7201).collect()
-    assert (point.observed_at_unix_secs, point.total_requests, point.cache_hit_rate) == (7200, 2, 0.5)
-    assert (point.bucket_seconds, point.rolling_window_seconds) == (3600, 86_400)
-    assert metrics.timeseries(logs.where("false"), 7201).collect() == []
+    times = [3 * 3600 - 1, 3 * 3600, 3 * 3600 + 5, 4 * 3600 - 1, 9 * 3600]
+    logs = spark.createDataFrame([(t, t % 2 == 0, False, t % 7, 200) for t in times], SCHEMA)
+    points = metrics.timeseries(logs, 9 * 3600, window=7 * 3600, bucket=3600).collect()
+    assert [(p.observed_at_unix_secs // 3600, p.total_requests) for p in points] == [(2, 1), (3, 3), (9, 1)]
+    assert points[1].cache_hit_rate == 1 / 3
+    assert {(p.bucket_seconds, p.rolling_window_seconds) for p in points} == {(3600, 7 * 3600)}
+    assert metrics.timeseries(logs.where("false"), 9 * 3600).collect() == []
 
 
 def expected_rank(values, fraction):
@@ -84,8 +84,6 @@ def test_percentiles_are_nearest_ranks_in_every_bucket(spark, rows):
         values = [v for b, v in rows if b * 3600 == row.observed_at_unix_secs]
         for name, fraction in fractions.items():
             assert row[name] == expected_rank(values, fraction)
-    plain = logs.agg(percentile_disc("latency_ms", 0.95).alias("p")).first().p
-    assert plain == expected_rank([v for _, v in rows], 0.95)
 
 
 def test_merged_hours_equal_a_day(spark):

@@ -3,11 +3,13 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from edgelog import session
 from edgelog.operators import metrics
 from edgelog.sources import cache_store, json_lines, logs, triples
-from edgelog.schemas import CACHE_ENTRIES, REQUEST_LOGS, TRIPLES
+from edgelog.schemas import CACHE_ENTRIES, METRIC_COLUMNS, REQUEST_LOGS, TRIPLES
 
 DAY = 86_400
 
@@ -43,21 +45,54 @@ def test_narrowing(spark):
 def test_jdbc_reads_ranges_of_ids(spark, monkeypatch):
     """Only what is asked of Spark's reader: no database is started for a test."""
     asked = {}
-    monkeypatch.setattr(
-        type(spark.read), "jdbc", lambda self, url, table, **options: asked.update(options, url=url, table=table)
-    )
-    logs.read_request_logs_jdbc(spark, "jdbc:x", (1, 900), partitions=4)
+
+    def jdbc(self, url, table, **options):
+        asked.update(options, url=url, table=table)
+        return log_rows(spark)
+
+    monkeypatch.setattr(type(spark.read), "jdbc", jdbc)
+    found = logs.read_request_logs_jdbc(spark, "jdbc:x", (1, 900), partitions=4, since=DAY)
+    assert found.columns == list(METRIC_COLUMNS)
+    assert found.agg(F.min("observed_at_unix_secs")).first()[0] >= DAY
     assert (asked["column"], asked["lowerBound"], asked["upperBound"], asked["numPartitions"]) == ("id", 1, 900, 4)
     assert (asked["url"], asked["table"]) == ("jdbc:x", "request_logs")
 
 
 def test_cache_versions(spark, tmp_path):
     root = str(tmp_path / "cache")
-    entries = spark.createDataFrame([("k", "{}", 1, 1, 0, 9)], CACHE_ENTRIES)
-    cache_store.write_cache(entries, root, 1)
-    cache_store.write_cache(cache_store.read_cache(spark, root, 1).withColumn("hit_count", F.lit(1)), root, 2)
-    assert cache_store.read_cache(spark, root, 1).first().hit_count == 0
-    assert cache_store.read_cache(spark, root, 2).first().hit_count == 1
+    changes = [[("a", "{}", 1, 1, 0, 9), ("b", "{}", 1, 1, 0, 9)], [("b", "2", 2, 2, 0, 9)], [("c", "3", 3, 3, 0, 9)]]
+    for version, rows in enumerate(changes):
+        for _ in range(2):  # a repeated version replaces itself
+            cache_store.write_cache(spark.createDataFrame(rows, CACHE_ENTRIES), root, version)
+    cache_store.compact_cache(spark, root, 1)
+    cache_store.compact_cache(spark, root, 2, compacted=1)
+    for compacted in (None, 1, 2):
+        found = {r.cache_key: r.payload for r in cache_store.read_cache(spark, root, 2, compacted).collect()}
+        assert found == {"a": "{}", "b": "2", "c": "3"}
+    assert {r.cache_key: r.payload for r in cache_store.read_cache(spark, root, 0).collect()} == {"a": "{}", "b": "{}"}
+
+
+def test_series_document_and_error_body(spark):
+    points = metrics.timeseries(log_rows(spark), 6 * DAY, window=DAY)
+    document = json.loads(json_lines.series_document(points).first().json)
+    assert (document["rolling_window_seconds"], document["bucket_seconds"]) == (DAY, 3_600)
+    assert [p["observed_at_unix_secs"] for p in document["points"]] == [r.observed_at_unix_secs for r in points.collect()]
+    assert set(document["points"][0]) == set(points.columns) - {"rolling_window_seconds", "bucket_seconds"}
+    empty = json.loads(json_lines.series_document(points.where("false")).first().json)
+    assert empty == {"rolling_window_seconds": DAY, "bucket_seconds": 3_600, "points": []}
+    answers = spark.createDataFrame([(1, "bad_request", 'say "x"'), (2, None, None)], "request_id int, error_code string, error_message string")
+    bodies = {r.request_id: r.body for r in json_lines.error_bodies(answers).collect()}
+    assert json.loads(bodies[1]) == {"error": {"code": "bad_request", "message": 'say "x"'}} and bodies[2] is None
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    context = spark.sparkContext
+    monkeypatch.setattr(context, "master", "spark://host:7077")
+    monkeypatch.setattr(type(context), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(type(context.getConf()), "get", lambda self, key, default=None: default)
+    with pytest.raises(ValueError):
+        session.shared_dir(spark)
 
 
 def test_triples_by_predicate(spark, tmp_path):

@@ -8,7 +8,7 @@ from edgelog.operators import cache, health, metrics
 from edgelog.operators.triples import LABEL
 from edgelog.schemas import CACHE_ENTRIES, ORIGIN_CALLS, REQUEST_LOGS, TRIPLES
 from edgelog.sources.cache_store import read_cache, version_path, write_cache
-from edgelog.sources.logs import append_request_logs, open_logs
+from edgelog.sources.logs import append_request_logs, open_logs, write_log_batch
 from edgelog.streaming import health as health_stream
 from edgelog.streaming import logs as log_stream
 from edgelog.streaming import warm as warm_stream
@@ -34,11 +34,6 @@ def write_parts(spark, rows, schema, path, parts):
         part.coalesce(1).write.mode("append").parquet(path)
 
 
-def run(stream, path):
-    log_stream.start_parquet_sink(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
-
-
 def test_ingest_is_exactly_once_over_restarts(spark, tmp_path):
     rows, src = make_logs(), str(tmp_path / "src")
     for parts in (rows[:300], rows[300:]):
@@ -49,20 +44,35 @@ def test_ingest_is_exactly_once_over_restarts(spark, tmp_path):
     assert sorted(r.id for r in found.collect()) == [r[0] for r in rows]
 
 
+def test_streams_and_appends_share_a_log(spark, tmp_path):
+    rows, src, dst = make_logs(), str(tmp_path / "src"), str(tmp_path / "dst")
+    append_request_logs(spark.createDataFrame(rows[:200], REQUEST_LOGS), dst)
+    write_parts(spark, rows[200:600], REQUEST_LOGS, src, 2)
+    stream = log_stream.read_log_stream(spark, src, max_files=1)
+    log_stream.ingest_stream(stream, dst, str(tmp_path / "cp")).awaitTermination()
+    append_request_logs(spark.createDataFrame(rows[600:], REQUEST_LOGS), dst)
+    assert sorted(r.id for r in open_logs(spark, dst).collect()) == [r[0] for r in rows]
+    again = spark.createDataFrame(rows[200:400], REQUEST_LOGS)  # a batch that is repeated after a failure
+    write_log_batch(again, dst, "stream-0")
+    assert sorted(r.id for r in open_logs(spark, dst).collect()) == [r[0] for r in rows]
+
+
 def test_hourly_and_rolling_series_equal_the_batch(spark, tmp_path):
-    rows, src = make_logs(), str(tmp_path / "src")
+    rows, src, root = make_logs(), str(tmp_path / "src"), str(tmp_path / "hours")
+    random.Random(2).shuffle(rows)  # most rows arrive after later ones
     write_parts(spark, rows, REQUEST_LOGS, src, 3)
-    closed = max(r[1] for r in rows) - 600
     batch = spark.createDataFrame(rows, REQUEST_LOGS)
     stream = log_stream.read_log_stream(spark, src, max_files=1)
+    log_stream.hourly_histogram_stream(stream, root, str(tmp_path / "cp")).awaitTermination()
+    expected = set(map(tuple, metrics.hourly_points(metrics.bucket_histogram(batch)).collect()))
 
-    hours = run(log_stream.hourly_histogram_stream(stream), str(tmp_path / "hours"))
-    expected = metrics.hourly_points(metrics.bucket_histogram(batch)).where(
-        F.col("observed_at_unix_secs") + HOUR <= closed
-    )
-    assert set(map(tuple, metrics.hourly_points(hours).collect())) == set(map(tuple, expected.collect()))
+    log_stream.compact_deltas(spark, root, log_stream.HISTOGRAM, log_stream.merge_hours, 0)
+    log_stream.compact_deltas(spark, root, log_stream.HISTOGRAM, log_stream.merge_hours, 1, 0)
+    for compacted in (None, 0, 1):
+        hours = log_stream.read_hourly_histogram(spark, root, compacted)
+        assert set(map(tuple, metrics.hourly_points(hours).collect())) == expected
 
-    days = run(log_stream.rolling_histogram_stream(stream), str(tmp_path / "days"))
+    days = log_stream.rolling_histogram(log_stream.read_hourly_histogram(spark, root))
     found = metrics.summarize_histogram(days, "window_end_unix_secs").collect()
     assert len(found) > 24
     for row in found:
@@ -72,31 +82,30 @@ def test_hourly_and_rolling_series_equal_the_batch(spark, tmp_path):
             assert tuple(row)[1:] == tuple(metrics.summarize_histogram(metrics.latency_histogram(inside)).first())
 
 
-def test_late_rows_are_dropped_from_the_series(spark, tmp_path):
-    rows = [(1, 100, "entity", "k", True, False, 1, "c", 200, "{}"), (2, 9 * HOUR, "entity", "k", True, False, 1, "c", 200, "{}")]
+def test_late_rows_and_open_hours_are_counted(spark, tmp_path):
+    first = [(1, 100, "entity", "k", True, False, 1, "c", 200, "{}"), (2, 9 * HOUR, "entity", "k", True, False, 1, "c", 200, "{}")]
     late = [(3, 200, "entity", "k", True, False, 1, "c", 200, "{}"), (4, 12 * HOUR, "entity", "k", True, False, 1, "c", 200, "{}")]
-    src = str(tmp_path / "src")
-    for part in (rows, late):
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    for part in (first, late):  # the second run goes on from the checkpoint of the first
         write_parts(spark, part, REQUEST_LOGS, src, 1)
         stream = log_stream.read_log_stream(spark, src)
-        hours = run(log_stream.hourly_histogram_stream(stream), str(tmp_path / "hours"))
-    assert {(r.observed_at_unix_secs, r.total_requests) for r in hours.collect()} == {(0, 1), (9 * HOUR, 1)}
+        log_stream.hourly_histogram_stream(stream, root, str(tmp_path / "cp")).awaitTermination()
+    hours = log_stream.read_hourly_histogram(spark, root).collect()
+    assert {(r.observed_at_unix_secs, r.total_requests) for r in hours} == {(0, 2), (9 * HOUR, 1), (12 * HOUR, 1)}
 
 
 def test_residency_stream_equals_the_batch(spark, tmp_path):
-    rows, src, ttl = make_logs(), str(tmp_path / "src"), 900
+    rows, src, root, ttl = make_logs(), str(tmp_path / "src"), str(tmp_path / "lives"), 900
+    random.Random(3).shuffle(rows)
     write_parts(spark, rows, REQUEST_LOGS, src, 3)
     accesses = log_stream.read_log_stream(spark, src, max_files=1).select(
         F.col("query_hash").alias("cache_key"), "observed_at_unix_secs"
     )
-    before = spark.conf.get(log_stream.LOCAL_MERGE)
-    with log_stream.merged_sessions(spark):
-        found = run(log_stream.residency_stream(accesses, ttl), str(tmp_path / "lives"))
-    assert spark.conf.get(log_stream.LOCAL_MERGE) == before
+    log_stream.residency_stream(accesses, root, str(tmp_path / "cp"), ttl).awaitTermination()
     batch = spark.createDataFrame([(r[3], r[1]) for r in rows], "cache_key string, observed_at_unix_secs long")
-    closed = max(r[1] for r in rows) - 600
-    expected = cache.residency(batch, ttl).where(F.col("last_access_unix_secs") + ttl <= closed)
-    assert set(map(tuple, found.collect())) == set(map(tuple, expected.collect()))
+    expected = set(map(tuple, cache.residency(batch, ttl).collect()))
+    assert set(map(tuple, log_stream.read_residency(spark, root, ttl).collect())) == expected
+    assert log_stream.read_deltas(spark, root, log_stream.STRETCHES).count() < len(rows)
 
 
 def test_breaker_stream_equals_the_batch(spark, tmp_path):
@@ -117,23 +126,31 @@ def test_breaker_stream_equals_the_batch(spark, tmp_path):
 
     # A call from the past goes to the late output; a repeated batch replaces what it wrote.
     state = {r.endpoint: r for r in health_stream.read_state(spark, root, 4).collect()}
-    extra = spark.createDataFrame([("hot", 5, 999, False), ("new", 5, 1_000, False)], ORIGIN_CALLS)
+    odd = [(None, 9, 1_001, False), ("hot", None, 1_002, True), ("hot", 9_999, 1_003, None)]
+    extra = spark.createDataFrame([("hot", 5, 999, False), ("new", 5, 1_000, False), *odd], ORIGIN_CALLS)
     for _ in range(2):
         health_stream.fold_batch(extra, 4, root)
     assert [tuple(r) for r in health_stream.read_late(spark, root).collect()] == [("hot", 5, 999, False)]
+    assert sorted(r.seq for r in health_stream.read_rejected(spark, root).collect()) == [1_002, 1_003]
     after = {r.endpoint: r for r in health_stream.read_state(spark, root, 5).collect()}
+    assert after[health.DEFAULT_ENDPOINT].failure_count == 1
     assert after["hot"] == state["hot"] and after["e1"] == state["e1"] and after["new"].failure_count == 1
 
 
 def test_periodic_warming(spark, tmp_path):
-    log_path, root = str(tmp_path / "logs"), str(tmp_path / "cache")
-    append_request_logs(spark.createDataFrame(make_logs(50), REQUEST_LOGS), log_path)
-    write_cache(spark.createDataFrame([("k0", "old", 0, 0, 3, 9)], CACHE_ENTRIES), root, 0)
+    root, src = str(tmp_path / "cache"), str(tmp_path / "src")
+    write_cache(spark.createDataFrame([("k0", "old", 0, 0, 3, 9), ("kx", "old", 0, 0, 3, 9)], CACHE_ENTRIES), root, 0)
     facts = spark.createDataFrame([("http://dbpedia.org/resource/A", LABEL, "a", "literal", "en", None)], TRIPLES)
-    src = str(tmp_path / "src")
-    write_parts(spark, make_logs(20), REQUEST_LOGS, src, 2)
-    ticks = log_stream.read_log_stream(spark, src, max_files=1)
-    warm_stream.warm_stream(ticks, log_path, facts, root, str(tmp_path / "cp"), interval=None).awaitTermination()
-    warmed = {r.cache_key: r for r in read_cache(spark, root, 2).collect()}
-    assert set(warmed) == {"k0", "k1", "k2", "k3"} and warmed["k0"].hit_count == 0
-    assert tuple(spark.read.parquet(version_path(f"{root}-results", 2)).first()) == (4, 0)
+    logs = [(i, t, "entity", key, True, False, 1, "c", 200, '{"entity_id":"A"}')
+            for i, (t, key) in enumerate([(10, "k0"), (20, "k1"), (30, "k1"), (100, "k2"), (110, "k2"), (120, "k2")])]
+    write_parts(spark, logs, REQUEST_LOGS, src, 2)
+    stream = log_stream.read_log_stream(spark, src, max_files=1)
+    warm_stream.warm_stream(stream, facts, root, str(tmp_path / "cp"), k=2, interval=None, min_age=95).awaitTermination()
+    first = {r.cache_key: r for r in read_cache(spark, root, 1).collect()}
+    assert {k: r.created_at_unix_secs for k, r in first.items()} == {"k0": 0, "k1": 30, "kx": 0}  # k0 is too young
+    second = {r.cache_key: r for r in read_cache(spark, root, 2).collect()}
+    # by all hits k2 and k1 are wanted; k1 was refreshed 90 seconds ago
+    assert {k: r.created_at_unix_secs for k, r in second.items()} == {"k0": 0, "k1": 30, "k2": 120, "kx": 0}
+    results = [tuple(spark.read.parquet(version_path(f"{root}-results", v)).first()) for v in (1, 2)]
+    assert results == [(1, 0), (1, 0)]
+    assert {(r.query_hash, r.hits) for r in warm_stream.read_hits(spark, root).collect()} == {("k0", 1), ("k1", 2), ("k2", 3)}

@@ -45,9 +45,7 @@ def random_facts(rng, subjects=12, rows=500):
 
 
 @pytest.mark.parametrize("limit", [1, 7, 50])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_entity_lookup_against_the_full_product(spark, monkeypatch, limit, broadcast):
-    monkeypatch.setattr(triples, "worth_pruning", lambda *_: broadcast)
+def test_entity_lookup_against_the_full_product(spark, limit):
     facts = random_facts(random.Random(limit))
     requests = [(s, lang) for s in ["hot", "s1", "s2", "s3", "missing"] for lang in ("en", "de")] * 2
     found = triples.entity_lookup(
@@ -71,9 +69,7 @@ def model_search(facts, queries):
     return sorted(rows, key=low)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_label_search_against_a_plain_scan(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(triples, "fits_broadcast", lambda *_: broadcast)
+def test_label_search_against_a_plain_scan(spark):
     facts = random_facts(random.Random(3), rows=600)
     texts = ["ab", "A", "%", "_", "B%1", "c_d2", "", "éa", "nothing", "ß1"]
     queries = [
