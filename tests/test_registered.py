@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as registered
 from check_oracles import compare, connect
+from edgelog.plans.oracles import ORACLES
+from edgelog.plans.workload import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,12 +18,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, SF, name, registered.queries()[name], registered.oracle_sql()[name]) == ""
+    assert compare(spark, con, SF, name, QUERIES[name], ORACLES[name]) == ""
 
 
 @pytest.mark.parametrize("name", ["metrics_timeseries", "display_labels", "log_roundtrip", "entity_lookup"])
