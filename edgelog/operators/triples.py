@@ -17,7 +17,7 @@ FACTS = (
 ENTITY_ROWS = 50
 SEARCH_ROWS = 10
 MAX_SEARCH_ROWS = 50
-GRAM = 3
+GRAMS = (3, 8)
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
@@ -98,17 +98,21 @@ def _short_matches(labels: DataFrame, needles: DataFrame) -> DataFrame:
     The first ``MAX_SEARCH_ROWS`` subjects of a gram are all that any of its queries can show, since each has
     a row at least. They are cut on the map side, however many labels have the gram.
     """
-    short = needles.where(F.length("needle") < GRAM).withColumn("gram", F.col("needle"))
-    subjects = _subjects_by_gram(labels, short, range(GRAM))
+    short = needles.where(F.length("needle") < GRAMS[0]).withColumn("gram", F.col("needle"))
+    subjects = _subjects_by_gram(labels, short, range(GRAMS[0]))
     first = _ranked(subjects, ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS)
     return short.join(first, ["lang", "gram"]).select("query_id", "lang", "needle", "_limit", "subject")
 
 
-def _long_matches(labels: DataFrame, needles: DataFrame) -> DataFrame:
-    """Other queries meet the subjects that have their rarest gram; one that no label has ends the query."""
-    long = needles.where(F.length("needle") >= GRAM)
-    grams = long.select("query_id", "lang", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
-    subjects = _subjects_by_gram(labels, grams, (GRAM,))
+def _long_matches(labels: DataFrame, needles: DataFrame, gram: int, below: int | None = None) -> DataFrame:
+    """Queries of at least ``gram`` characters meet the subjects that have their rarest gram.
+
+    A gram that no label has ends the query.
+    """
+    long = needles.where(F.length("needle") >= gram)
+    long = long if below is None else long.where(F.length("needle") < below)
+    grams = long.select("query_id", "lang", F.explode(_grams(F.col("needle"), gram)).alias("gram"))
+    subjects = _subjects_by_gram(labels, grams, (gram,))
     counts = subjects.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     rated = grams.join(counts, ["lang", "gram"], "left")
     rarest = rated.groupBy("query_id", "lang").agg(
@@ -123,8 +127,8 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     """Entities whose label in the query's language contains the query text, ignoring case.
 
     ``queries(query_id, text, lang)``, one row per id and language, may have a ``limit`` column; limits are brought
-    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest three
-    characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
+    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest run of eight or
+    three characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
     """
     wanted = F.col("limit") if "limit" in queries.columns else F.lit(limit)
     needles = queries.select(
@@ -136,7 +140,13 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     labels = triples.where((F.col("predicate") == LABEL) & (F.col("object_kind") == "literal")).select(
         "subject", "lang", F.col("object").alias("label"), F.lower("object").alias("haystack")
     )
-    candidates = _short_matches(labels, needles).unionByName(_long_matches(labels, needles))
+    # By subject, as the comparison with the texts needs them; the look for grams shares that exchange.
+    labels = labels.repartition("subject", "lang")
+    candidates = (
+        _short_matches(labels, needles)
+        .unionByName(_long_matches(labels, needles, GRAMS[0], GRAMS[1]))
+        .unionByName(_long_matches(labels, needles, GRAMS[1]))
+    )
     pairs = labels.join(candidates, ["subject", "lang"])
     hits = pairs.where(F.contains(F.col("haystack"), F.col("needle"))).select(
         "query_id", "lang", "_limit", "subject", "label"

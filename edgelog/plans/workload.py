@@ -488,7 +488,7 @@ def rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------
 
 
-STREAM_PARTS = 4
+STREAM_PARTS = 2
 
 
 def _event_stream(spark: SparkSession, sf: str, path: str) -> DataFrame:
