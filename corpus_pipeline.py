@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from edgelog.llm import decontamination, jaccard_join, packing, quality, secret_scan
-from edgelog.llm.shared import importable, kept
+from edgelog.llm.shared import kept
 
 #: Documents whose score is below this are rejected.
 REJECT_BELOW = 0.5
@@ -39,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs, secret_scan.fit(*secret_scan.label_findings(docs)))
+    return secret_scan.redact(docs, secret_scan.fit(secret_scan.label_findings(docs)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = kept(stage(spark, docs, sf_dir))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.shared import alnum_words, byte_texts, kept, texts_of
+from edgelog.llm.shared import alnum_words, byte_texts, kept, prepare_workers, texts_of
 
 SIZE = 10
 BLOCK_BYTES = 8 << 20
@@ -70,6 +70,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
                 [pa.array(windows, pa.binary()), pa.array(items, pa.string())], ["window", "item"]
             )
 
+    prepare_workers(benchmark.sparkSession)
     items = benchmark.select(
         F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"),
         F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"),

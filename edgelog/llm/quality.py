@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelog.llm.models import Logistic, sigmoid
-from edgelog.llm.shared import buffers, hash_words, slices
+from edgelog.llm.shared import buffers, hash_words, prepare_workers, slices
 
 LABELLED, UNLABELLED = 20_000, 20_000
 ROUNDS, SURE = 3, 0.97
@@ -88,6 +88,7 @@ _TYPES = [pa.string(), pa.string(), pa.string(), pa.int64()]
 
 def _view_columns(docs: DataFrame) -> dict[str, Column]:
     """The columns that the views use; missing ones count as null, a null text as empty."""
+    prepare_workers(docs.sparkSession)
 
     def column(name: str, kind: str) -> Column:
         return (docs[name] if name in docs.columns else F.lit(None)).cast(kind)

@@ -18,12 +18,12 @@ from edgelog.llm import (
     token_files,
     toxicity,
 )
-from edgelog.llm.shared import importable
+from edgelog.llm.shared import prepare_workers
 from edgelog.session import new_shared_path
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare_workers(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -45,7 +45,7 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
-    scanner = secret_scan.fit(*secret_scan.label_findings(docs))
+    scanner = secret_scan.fit(secret_scan.label_findings(docs))
     return secret_scan.scan(docs, scanner)
 
 
@@ -128,6 +128,22 @@ ORACLES = {
         SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM k LEFT JOIN t USING (doc_id)""",
+    "op2_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+        p AS (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i
+              FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM p),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+              FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        e AS (SELECT a, b, shared = na.n AND shared = nb.n AS equal
+              FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+              WHERE 10 * shared >= 8 * (na.n + nb.n - shared)),
+        r AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.r),
+        m AS (SELECT doc_id, min(r) AS class_id FROM r GROUP BY doc_id),
+        l AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (equal) AS copy FROM e GROUP BY a)
+        SELECT doc_id, class_id, least(doc_id, coalesce(copy, doc_id)) AS copy_of, coalesce(n_links, 0) AS n_links
+        FROM m LEFT JOIN l USING (doc_id)""",
     "op7_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
         b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, {_WORDS}) AS w

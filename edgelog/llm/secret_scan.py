@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelog.llm.models import Forest
-from edgelog.llm.shared import slices, texts_of
+from edgelog.llm.shared import kept, prepare_workers, slices, texts_of
 
 LEAST, ASSIGNED_LEAST = 16, 8
 SAMPLE = 20_000
@@ -58,14 +59,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
 class Scanner:
     """Dictionary, transitions and forest."""
 
-    def __init__(self, words: dict[str, int]):
-        top = sorted(words.items(), key=lambda w: (-w[1], w[0]))[:DICTIONARY_WORDS]
-        self.dictionary = frozenset(w for w, _ in top if SHORTEST_WORD <= len(w) <= LONGEST_WORD)
-        pairs, singles = Counter(), Counter()
-        for word, n in words.items():
-            for a, b in zip(word, word[1:]):
-                pairs[a + b] += n
-                singles[a] += n
+    def __init__(self, words: dict[str, int], pairs: dict[str, int]):
+        self.dictionary = frozenset(w for w in words if SHORTEST_WORD <= len(w) <= LONGEST_WORD)
+        self.decoys = sorted(w for w in words if len(w) >= ASSIGNED_LEAST)
+        singles = Counter()
+        for pair, n in pairs.items():
+            singles[pair[0]] += n
         self.transitions = {p: math.log((n + 0.5) / (singles[p[0]] + 20)) for p, n in pairs.items()}
         self.forest = Forest()
 
@@ -113,35 +112,52 @@ def _beside(text: str, first: int, end: int) -> tuple[str, str, str]:
     return text[max(0, first - BESIDE) : first], text[first:end], text[end : end + BESIDE]
 
 
-def label_findings(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], pd.DataFrame]:
-    """Word counts (lower case) and findings with labels, from about ``sample`` documents."""
+class Corpus(NamedTuple):
+    """What a scanner is fitted on: counts of the most frequent words and of letter pairs, and findings."""
+
+    words: dict[str, int]
+    pairs: dict[str, int]
+    findings: pd.DataFrame
+
+
+def label_findings(docs: DataFrame, sample: int = SAMPLE) -> Corpus:
+    """Dictionary, letter pairs (both in lower case) and findings of about ``sample`` documents.
+
+    The driver gets ``DICTIONARY_WORDS`` words, the pairs of 26 letters, and the candidates of the sample.
+    """
     docs = texts_of(docs)
     n = docs.count()
     rows = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) * n < sample * 1_000_000)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "context", "value", "after", "n"]
+        types = [*[pa.string()] * 4, pa.int64()]
         for batch in slices(batches):
-            counts, found = Counter(), []
+            words, pairs, found = Counter(), Counter(), Counter()
             for text in batch.column("text").to_pylist():
-                counts.update(w.lower() for w in _WORD.findall(text))
-                found += [_beside(text, a, b) for a, b in candidates(text)]
-            words = [(w, "", "", c) for w, c in counts.items() if len(w) <= 40]
-            rows = words + [(*f, None) for f in found]
-            names = ["context", "value", "after", "n"]
-            types = [pa.string(), pa.string(), pa.string(), pa.int64()]
-            columns = zip(*rows) if rows else [()] * 4
+                words.update(w.lower() for w in _WORD.findall(text) if len(w) <= BESIDE)
+                found.update(_beside(text, a, b) for a, b in candidates(text))
+            for word, c in words.items():
+                for a, b in zip(word, word[1:]):
+                    pairs[a + b] += c
+            rows = [("word", w, "", "", c) for w, c in words.items()]
+            rows += [("pair", p, "", "", c) for p, c in pairs.items()]
+            rows += [("finding", *f, c) for f, c in found.items()]
+            columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    seen = rows.mapInArrow(look, "context string, value string, after string, n bigint")
-    seen = seen.groupBy("context", "value", "after").agg(F.sum("n").alias("n")).toPandas()
-    words = seen[seen["n"].notna()]
-    findings = seen[seen["n"].isna()].sort_values(["context", "value", "after"])[["context", "value", "after"]]
-    return dict(zip(words["context"], words["n"].astype(int))), findings.reset_index(drop=True)
+    seen = rows.mapInArrow(look, "kind string, context string, value string, after string, n bigint")
+    seen = kept(seen.groupBy("kind", "context", "value", "after").agg(F.sum("n").alias("n")))
+    words = seen.where("kind = 'word'").orderBy(F.desc("n"), "context").limit(DICTIONARY_WORDS)
+    pairs = seen.where("kind = 'pair'")
+    findings = seen.where("kind = 'finding'").select("context", "value", "after").toPandas()
+    findings = findings.sort_values(["context", "value", "after"]).reset_index(drop=True)
+    return Corpus(*({r["context"]: r["n"] for r in t.collect()} for t in (words, pairs)), findings)
 
 
-def fit(words: dict[str, int], findings: pd.DataFrame) -> Scanner:
-    """A scanner from word counts and findings; those without a column ``label`` get one by the rule above."""
-    scanner = Scanner(words)
+def fit(corpus: Corpus) -> Scanner:
+    """A scanner; findings without a column ``label`` get one by the rule above."""
+    scanner, findings = Scanner(corpus.words, corpus.pairs), corpus.findings
     rows = list(findings[["context", "value", "after"]].itertuples(index=False, name=None))
     if "label" in findings:
         labels = findings["label"].astype(float).tolist()
@@ -155,9 +171,8 @@ def fit(words: dict[str, int], findings: pd.DataFrame) -> Scanner:
         for (c1, v1, a1), (c0, v0, a0) in zip(real, other):
             rows += [(c0, v1, a0), (c1, v0, a1)]  # neither the value nor its place alone
             labels += [0.0, 0.0]
-        shapes = sorted(w for w in words if len(w) >= ASSIGNED_LEAST)[: len(real)]
-        rows += [(c, w, a) for (c, _, a), w in zip(real, shapes)]  # a word where a secret stood
-        labels += [0.0] * min(len(real), len(shapes))
+        decoys = [(c, w, a) for (c, _, a), w in zip(real, scanner.decoys)]  # a word where a secret stood
+        rows, labels = rows + decoys, labels + [0.0] * len(decoys)
     x = np.array([scanner.features(*r) for r in rows]).reshape(len(rows), 14)
     scanner.forest.fit(x, np.array(labels))
     return scanner
@@ -188,6 +203,8 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
 def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; ``n_chars``, if there, follows. Null texts stay null."""
 
+    prepare_workers(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         found = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t)]

@@ -31,10 +31,21 @@ _ALNUM = bytes(
 )
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package from where the driver has it."""
+#: Environment of Python workers: memory that a batch has used goes back to the system, not to a cache of its own.
+_WORKERS = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_TRIM_THRESHOLD_": "67108864",
+    "MALLOC_MMAP_THRESHOLD_": "33554432",
+    "TOKENIZERS_PARALLELISM": "false",
+}
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Sets the environment of Python workers, and lets those of a local session import this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    env.update(_WORKERS)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
@@ -42,6 +53,7 @@ def importable(spark: SparkSession) -> None:
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that no other column can clash; a null text becomes empty."""
+    prepare_workers(docs.sparkSession)
     return docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),

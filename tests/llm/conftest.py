@@ -5,11 +5,11 @@ import random
 import pytest
 from odd import documents, text_of
 
-from edgelog.llm.shared import importable
+from edgelog.llm.shared import prepare_workers
 
 @pytest.fixture(scope="session", autouse=True)
 def workers(spark):
-    importable(spark)
+    prepare_workers(spark)
 
 
 @pytest.fixture(scope="session")

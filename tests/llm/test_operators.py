@@ -279,7 +279,7 @@ def test_quality_on_held_out_rows(spark, odd):
 
 
 def test_secrets(odd, odd_rows):
-    scanner = secret_scan.fit(*secret_scan.label_findings(odd))
+    scanner = secret_scan.fit(secret_scan.label_findings(odd))
     secrets = secret_scan.scan(odd, scanner).where("secret").collect()
     planted = {i: t.split('"')[1] for i, t in odd_rows if t and "api_token" in t}
     assert {r["doc_id"]: r["value"] for r in secrets} == planted
@@ -295,10 +295,14 @@ def test_forest_from_given_labels():
     draw = random.Random(5)
     rows = [(f'key = "', f"{draw.getrandbits(128):032x}", '"', 1) for _ in range(40)]
     rows += [("see /usr/lib/", "".join(draw.choices("0123456789", k=20)), ".so", 0) for _ in range(40)]
-    scanner = secret_scan.fit({"usr": 3, "lib": 2}, pd.DataFrame(rows, columns=["context", "value", "after", "label"]))
+    scanner = secret_scan.fit(
+        secret_scan.Corpus({"usr": 3, "lib": 2}, {"us": 1}, pd.DataFrame(rows, columns=["context", "value", "after", "label"]))
+    )
     p = scanner.probabilities([("key: '", "deadbeef01234567deadbeef01234567", "'"), ("/opt/lib/", "20240101123456789012", "")])
     assert p[0] > 0.8 and p[1] < 0.2
-    assert secret_scan.fit({}, pd.DataFrame(columns=["context", "value", "after"])).probabilities([("", "x" * 20, "")]) == [0]
+    assert secret_scan.fit(
+        secret_scan.Corpus({}, {}, pd.DataFrame(columns=["context", "value", "after"]))
+    ).probabilities([("", "x" * 20, "")]) == [0]
 
 
 # --- empty tables ---------------------------------------------------------------------------------
@@ -309,7 +313,7 @@ def test_empty_documents(spark):
     benchmark = spark.createDataFrame([(1, "some words")], "item_id bigint, text string")
     path = new_shared_path(spark, "tokens")
     token_files.write_token_files(docs, path, BYTE)
-    scanner = secret_scan.fit(*secret_scan.label_findings(docs))
+    scanner = secret_scan.fit(secret_scan.label_findings(docs))
     for result in (
         substring_dedup.remove_repeats(docs),
         jaccard_join.near_duplicates(docs),
