@@ -23,6 +23,8 @@ from edgelog.llm.shared import kept
 #: Documents whose score is below this are rejected.
 REJECT_BELOW = 0.5
 VOCABULARY = "word_bpe_49k.json"
+#: Parts of texts that a tokenizing worker remembers; fewer than in the operator, as earlier stages' memory counts too.
+MEMORY_PARTS = 150_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), end_id=1)
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), end_id=1, memory=MEMORY_PARTS)
 
 
 STAGES = [

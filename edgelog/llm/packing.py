@@ -2,7 +2,7 @@
 
 Documents are cut only where they are longer than a sequence. Pieces go to packing tasks at random, where a
 bitset keyed by free space finds the open bin that a piece fills best. With too many open bins the fullest
-one closes first. A task packs about ``PIECES_PER_TASK`` pieces, so at most one unfilled bin in some thousands comes
+one closes first. A task packs about ``PIECES_PER_TASK`` pieces, so about one unfilled bin in a thousand comes
 from dividing the work; a task reads its pieces as a stream and keeps ``open_bins`` numbers.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelog.llm.shared import slices, texts_of
-from edgelog.llm.tokens import encoder
+from edgelog.llm.tokens import MEMORY_PARTS, encoder
 
 CAPACITY = 4096
 OPEN_BINS = 8192
-PIECES_PER_TASK = 100_000
+PIECES_PER_TASK = 20_000
 
 
 class OpenBins:
@@ -68,12 +68,17 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = True
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 1,
+    capacity: int = CAPACITY,
+    keep_ids: bool = True,
+    memory: int = MEMORY_PARTS,
 ) -> DataFrame:
     """A row for every piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit, or null)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little"), 4 * capacity
+        encode, end, width = encoder(tokenizer, memory).encode, int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in slices(batches):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
@@ -110,10 +115,11 @@ def pack_documents(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     keep_ids: bool = True,
+    memory: int = MEMORY_PARTS,
 ) -> DataFrame:
     """All documents (null text: empty; repeated rows and null ids as they are) in sequences of ``capacity``."""
     tasks = 1 + docs.count() // PIECES_PER_TASK
-    pieces = tokenize_pieces(docs, tokenizer, end_id, capacity, keep_ids)
+    pieces = tokenize_pieces(docs, tokenizer, end_id, capacity, keep_ids, memory)
     return pack_pieces(pieces if keep_ids else pieces.drop("ids"), capacity, open_bins, tasks)
 
 

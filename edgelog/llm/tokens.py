@@ -10,7 +10,7 @@ import os
 import re
 from array import array
 
-#: Parts remembered in a Python worker (about 250 bytes each), and the longest such part.
+#: Parts remembered in a Python worker (about 250 bytes each) unless told otherwise, and the longest such part.
 MEMORY_PARTS, MEMORY_CHARS = 1_000_000, 200
 
 _BESIDE_SPACE = re.compile(r" \s|\s ")
@@ -20,12 +20,12 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """Texts to bytes of little-endian unsigned 32-bit ids, without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.memory, self.known = memory, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -37,7 +37,7 @@ class Encoder:
             for t in texts
         ]
         heads = self._ids([p.pop(0) for p in parts])
-        if len(self.known) > MEMORY_PARTS:
+        if len(self.known) > self.memory:
             self.known.clear()
         new = list(set().union(*parts) - self.known.keys())
         fresh = dict(zip(new, self._ids([" " + p for p in new])))
@@ -47,11 +47,11 @@ class Encoder:
         return [b"".join([head, *map(of, rest)]) for head, rest in zip(heads, parts)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memory: int = MEMORY_PARTS) -> Encoder:
+    """The worker's encoder for a vocabulary file, loaded once; ``memory`` trades parts remembered for time."""
+    if (path, memory) not in _ENCODERS:
+        _ENCODERS[path, memory] = Encoder(path, memory)
+    return _ENCODERS[path, memory]
