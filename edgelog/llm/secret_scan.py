@@ -6,9 +6,10 @@ transitions are (a bigram model of the documents' words), how much of them dicti
 stand in a path, and the words beside them.
 
 It is trained from labelled findings (``context``, ``value``, ``after``, ``label``). Where a corpus has none,
-``label_findings`` makes some from about ``SAMPLE`` documents, chosen by a hash of their ids: a value assigned to a name
-that speaks of a secret is one, unless dictionary words make it up; other candidates are none. Each value is also put
-where a neighbour stood, so that neither the value nor its place decides alone.
+``label_findings`` makes some from all documents: a value assigned to a name that speaks of a secret is one, unless
+dictionary words make it up; other candidates are none. The forest is fitted on at most ``SAMPLE`` distinct findings of each
+class, chosen by a hash (all where there are fewer), so its probabilities are those of classes of like size. Each value is
+also put where a neighbour stood, so that neither the value nor its place decides alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from edgelog.llm.models import Forest
 from edgelog.llm.shared import kept, prepare_workers, slices, texts_of
 
 LEAST, ASSIGNED_LEAST = 16, 8
-SAMPLE = 20_000
+SAMPLE, FEW = 10_000, 30
 DICTIONARY_WORDS, SHORTEST_WORD, LONGEST_WORD = 5_000, 3, 12
 BESIDE = 40
 REPLACEMENT = "[SECRET]"
@@ -120,39 +121,58 @@ class Corpus(NamedTuple):
     findings: pd.DataFrame
 
 
+def _by_rule(scanner: Scanner, context: str, value: str) -> bool:
+    """The self-made label: assigned to a name that speaks of a secret, and not made of dictionary words."""
+    name = _ASSIGNING.search(context)
+    return bool(name and _NAMED.search(name.group(1))) and scanner.coverage(value) < 0.6 and len(set(value)) >= 5
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
 def label_findings(docs: DataFrame, sample: int = SAMPLE) -> Corpus:
-    """Dictionary, letter pairs (both in lower case) and findings of about ``sample`` documents.
+    """Dictionary and letter pairs (both in lower case) of all documents, and distinct findings of all documents.
 
-    The driver gets ``DICTIONARY_WORDS`` words, the pairs of 26 letters, and the candidates of the sample.
+    Words and pairs are counted, and findings labelled, in Spark. The driver gets ``DICTIONARY_WORDS`` words, the
+    pairs of 26 letters and of each class at most ``sample`` findings, those with the smallest hashes.
     """
     docs = texts_of(docs)
-    n = docs.count()
-    rows = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) * n < sample * 1_000_000)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "context", "value", "after", "n"]
-        types = [*[pa.string()] * 4, pa.int64()]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, pairs, found = Counter(), Counter(), Counter()
+            words, pairs = Counter(), Counter()
             for text in batch.column("text").to_pylist():
                 words.update(w.lower() for w in _WORD.findall(text) if len(w) <= BESIDE)
-                found.update(_beside(text, a, b) for a, b in candidates(text))
             for word, c in words.items():
                 for a, b in zip(word, word[1:]):
                     pairs[a + b] += c
-            rows = [("word", w, "", "", c) for w, c in words.items()]
-            rows += [("pair", p, "", "", c) for p, c in pairs.items()]
-            rows += [("finding", *f, c) for f, c in found.items()]
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            rows = [("word", w, c) for w, c in words.items()] + [("pair", p, c) for p, c in pairs.items()]
+            yield _batch(rows, ["kind", "item", "n"], [pa.string(), pa.string(), pa.int64()])
 
-    seen = rows.mapInArrow(look, "kind string, context string, value string, after string, n bigint")
-    seen = kept(seen.groupBy("kind", "context", "value", "after").agg(F.sum("n").alias("n")))
-    words = seen.where("kind = 'word'").orderBy(F.desc("n"), "context").limit(DICTIONARY_WORDS)
-    pairs = seen.where("kind = 'pair'")
-    findings = seen.where("kind = 'finding'").select("context", "value", "after").toPandas()
-    findings = findings.sort_values(["context", "value", "after"]).reset_index(drop=True)
-    return Corpus(*({r["context"]: r["n"] for r in t.collect()} for t in (words, pairs)), findings)
+    counted = docs.mapInArrow(count, "kind string, item string, n bigint")
+    counted = kept(counted.groupBy("kind", "item").agg(F.sum("n").alias("n")))
+    words = counted.where("kind = 'word'").orderBy(F.desc("n"), "item").limit(DICTIONARY_WORDS)
+    pairs = counted.where("kind = 'pair'")
+    words, pairs = ({r["item"]: r["n"] for r in t.collect()} for t in (words, pairs))
+    scanner = Scanner(words, pairs)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["context", "value", "after", "secret"]
+        types = [*[pa.string()] * 3, pa.bool_()]
+        for batch in slices(batches):
+            found = {_beside(text, a, b) for text in batch.column("text").to_pylist() for a, b in candidates(text)}
+            yield _batch([(*f, _by_rule(scanner, *f[:2])) for f in found], names, types)
+
+    found = kept(docs.mapInArrow(look, "context string, value string, after string, secret boolean").distinct())
+    columns = ["context", "value", "after"]
+    secrets, others = (
+        found.where(F.col("secret") == k).orderBy(F.xxhash64(*columns), *columns).limit(sample).select(*columns).toPandas()
+        for k in (True, False)
+    )
+    findings = pd.concat([secrets, others]).sort_values(columns).reset_index(drop=True)
+    return Corpus(words, pairs, findings)
 
 
 def fit(corpus: Corpus) -> Scanner:
@@ -162,12 +182,11 @@ def fit(corpus: Corpus) -> Scanner:
     if "label" in findings:
         labels = findings["label"].astype(float).tolist()
     else:
-        labels = []
-        for context, value, _ in rows:
-            name = _ASSIGNING.search(context)
-            random = scanner.coverage(value) < 0.6 and len(set(value)) >= 5
-            labels.append(float(bool(name and _NAMED.search(name.group(1)) and random)))
+        labels = [float(_by_rule(scanner, context, value)) for context, value, _ in rows]
         real, other = ([r for r, y in zip(rows, labels) if y == k] for k in (1, 0))
+        if real:  # few secrets count as often as some
+            more = real * (max(0, FEW - len(real)) // len(real))
+            real, rows, labels = real + more, rows + more, labels + [1.0] * len(more)
         for (c1, v1, a1), (c0, v0, a0) in zip(real, other):
             rows += [(c0, v1, a0), (c1, v0, a1)]  # neither the value nor its place alone
             labels += [0.0, 0.0]

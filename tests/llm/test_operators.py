@@ -289,6 +289,20 @@ def test_secrets(odd, odd_rows):
         assert clean[i]["text"] == expected and clean[i]["n_chars"] == (len(expected) if text is not None else None)
 
 
+def test_secrets_rarer_than_the_sample(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.randint(3, 9)))
+    texts = [f"{' '.join(word() for _ in range(20))} {draw.getrandbits(60):018d} seen" for _ in range(400)]
+    planted = {k: f"{draw.getrandbits(160):040x}" for k in (17, 311)}
+    rows = [(i, f'{t} api_token = "{planted[i]}" end' if i in planted else t) for i, t in enumerate(texts)]
+    corpus = secret_scan.label_findings(documents(spark, rows), sample=40)
+    assert corpus.words["seen"] == 400 and corpus.pairs["ee"] >= 400
+    assert set(planted.values()) < set(corpus.findings["value"]) and len(corpus.findings) == 42
+    scanner = secret_scan.fit(corpus)
+    secrets = secret_scan.scan(documents(spark, rows), scanner).where("secret").collect()
+    assert {r["doc_id"]: r["value"] for r in secrets} == planted
+
+
 def test_forest_from_given_labels():
     import pandas as pd
 
