@@ -1,19 +1,23 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-Candidates are runs of at least ``LEAST`` letters, digits and ``+/_-`` with a digit or with letters of both cases
-inside, and quoted values that are assigned to a name. The forest sees length, kinds of characters, how usual their
-transitions are (a bigram model of the documents' words), how much of them dictionary words cover, whether they
-stand in a path, and the words beside them.
+Candidates are known forms of secrets (keys with a known prefix, web tokens, bodies of PEM private keys, user info in
+URLs, what follows ``Bearer``), values of at least ``ASSIGNED_LEAST`` characters that are assigned to a name, quoted
+or not, and runs of at least ``LEAST`` letters, digits and ``+/_-``. The forest sees length, kinds of characters, how
+usual their transitions are (a bigram model of the documents' words), how much of them dictionary words cover, whether
+they stand in a path, and the words beside them.
 
 It is trained from labelled findings (``context``, ``value``, ``after``, ``label``). Where a corpus has none,
 ``label_findings`` makes some from all documents: a value assigned to a name that speaks of a secret is one, unless
-dictionary words make it up; other candidates are none. The forest is fitted on at most ``SAMPLE`` distinct findings of each
-class, chosen by a hash (all where there are fewer), so its probabilities are those of classes of like size. Each value is
-also put where a neighbour stood, so that neither the value nor its place decides alone.
+dictionary words make it up or, unquoted, it looks like code or a placeholder; other candidates are none. Known forms that
+dictionary words do not make up are secrets by rule, so they are neither trained as the one nor as the other. The forest is fitted on at most ``SAMPLE`` distinct findings of each
+kind (quoted and unquoted secrets, others), chosen by a hash (all where there are fewer), so its probabilities are those
+of kinds of like size. Each value is also put where a neighbour stood, so that neither the value nor its place decides
+alone, unless the rule makes that a secret as well.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -39,21 +43,63 @@ REPLACEMENT = "[SECRET]"
 SECRET_NAMES = "token secret password passwd pwd apikey api_key api-key access_key private_key credential auth bearer".split()
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}")
-_ASSIGNED = re.compile(rf"[A-Za-z_][\w.\-]{{0,40}}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"'](?P<value>[^\"'\s]{{{ASSIGNED_LEAST},}})[\"']")
-_ASSIGNING = re.compile(r"([A-Za-z_][\w.\-]{0,40})[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?$")
+_NAME = r"[A-Za-z_][\w.\-]{0,40}[\"']?"
+_GIVEN = rf"{_NAME}[ \t]{{0,3}}+[:=]{{1,2}}+>?[ \t]{{0,3}}+"
+_ASSIGNED = re.compile(rf"{_GIVEN}[\"'](?P<value>[^\"'\s]{{{ASSIGNED_LEAST},}})[\"']")
+_ASSIGNING = re.compile(r"([A-Za-z_][\w.\-]{0,40})[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?$")
 _NAMED = re.compile("|".join(map(re.escape, SECRET_NAMES)), re.IGNORECASE)
-_WORD = re.compile(r"[A-Za-z]+")
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """First and end place of all candidates, without overlaps, in order."""
-    spans = [m.span("value") for m in _ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
-    taken = set(spans)
-    for m in _RUN.finditer(text):
-        value = m.group()
-        mixed = any(c.isdigit() for c in value) or not (value[1:].islower() or value.isupper() or value.islower())
-        if mixed and not any(a < m.end() and m.start() < b for a, b in taken):
-            spans.append(m.span())
+#: Unquoted: no URL, nothing that assigns to a secret's name itself, and up to the next assignment of a list.
+_NEXT = rf"(?![&;,?|][\"']?{_NAME}[:=])"
+_BARE = re.compile(
+    rf"{_GIVEN}(?![\"']|//|[A-Za-z][A-Za-z+.\-]{{0,20}}://|[\w.\-]{{0,40}}(?i:{_NAMED.pattern})[\w.\-]{{0,40}}[:=])"
+    rf"(?P<value>(?:{_NEXT}\S){{{ASSIGNED_LEAST - 1},}}{_NEXT}[^\s\"',;.)\]}}>])"
+)
+#: Letters in one case, but for the first, that no digits or such stand beside: parts of random values are no words.
+_WORD = re.compile(r"(?<![A-Za-z0-9+=])(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z0-9+=])")
+
+_BEGIN = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nrt])*(?:[A-Z][A-Za-z\-]{1,30}: [^\n]{0,200}\n\s*)*"
+#: What only secrets look like, and whether words may stand there as well (then the value must look random).
+_FORMS = [
+    (re.compile(_BEGIN + r"(?P<value>[A-Za-z0-9+/=](?:[A-Za-z0-9+/=\s]|\\[nrt])+)(?=-----END)"), False),
+    (re.compile(_BEGIN + r"(?P<value>(?:[A-Za-z0-9+/=]{16,}(?:\s|\\[nrt])*)+)"), False),  # cut off
+    (
+        re.compile(
+            r"(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}"
+            r"|glpat-[\w\-]{16,}|xox[abeoprs]-[\w\-]{10,}|[srp]k[\-_][\w\-]{16,}|AIza[\w\-]{30,}|(?:npm|hf)_[A-Za-z0-9]{20,}"
+            r"|ya29\.[\w\-.]{16,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{20,}|pypi-[\w\-]{20,}"
+            r"|eyJ[\w\-]{8,}\.[\w\-]{8,}(?:\.[\w\-]*)?)"
+        ),
+        True,
+    ),
+    (re.compile(r"://[^\s/@:]{0,80}:(?P<value>[^\s/@]+)@"), False),
+    (re.compile(rf"://(?P<value>[^\s/@:]{{{LEAST},}})@"), True),
+    (re.compile(rf"\b(?i:bearer)[ \t]+(?P<value>[A-Za-z0-9._~+/\-]{{{ASSIGNED_LEAST},}}=*)"), True),
+]
+_HINT = re.compile(
+    r"PRIVATE KEY|A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox|[srp]k[\-_]|AIza|npm_|hf_|ya29|SG\.|shp|pypi-|eyJ|://|bearer", re.IGNORECASE
+)
+_CODE = re.compile(r"\$[{(]|\$\w+$|<[^>]*>?$|\{\{|%[(s]|[A-Za-z_][\w.]*[(\[]")
+
+
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """First and end place of all candidates, without overlaps, in order, and 1 or 2 (words stand there, too) for a known form."""
+    spans: list[tuple[int, int, int]] = []
+    at: list[tuple[int, int]] = []  # the spans in order
+
+    def take(found: Iterator[tuple[int, int]], form: int) -> None:
+        for first, end in found:
+            k = bisect.bisect(at, (first, end))
+            if (k == 0 or at[k - 1][1] <= first) and (k == len(at) or end <= at[k][0]):
+                at.insert(k, (first, end))
+                spans.append((first, end, form))
+
+    if _HINT.search(text):
+        for form, words in _FORMS:
+            take(((m.start("value"), m.start("value") + len(m["value"].rstrip())) for m in form.finditer(text)), 1 + words)
+    if "=" in text or ":" in text:
+        for form in (_ASSIGNED, _BARE):
+            take((m.span("value") for m in form.finditer(text)), 0)
+    take((m.span() for m in _RUN.finditer(text)), 0)
     return sorted(spans)
 
 
@@ -67,7 +113,11 @@ class Scanner:
         for pair, n in pairs.items():
             singles[pair[0]] += n
         self.transitions = {p: math.log((n + 0.5) / (singles[p[0]] + 20)) for p, n in pairs.items()}
-        self.forest = Forest()
+        total = max(sum(pairs.values()), 1)
+        mean = sum(n * self.transitions[p] for p, n in pairs.items()) / total
+        any_pair = (sum(self.transitions.values()) - 6.0 * max(0, 676 - len(pairs))) / 676
+        self.unusual = (mean + any_pair) / 2
+        self.forest, self.known_forms = Forest(), True
 
     def coverage(self, value: str) -> float:
         """The share of the value that dictionary words cover, longest first."""
@@ -81,6 +131,22 @@ class Scanner:
                 at += 1
         return covered / max(len(value), 1)
 
+    def random(self, value: str) -> bool:
+        """Not made of dictionary words."""
+        return len(set(value)) >= 5 and self.coverage(value) < 0.6
+
+    def odd(self, value: str) -> bool:
+        """With digits, symbols that names do not have, or unusual pairs of letters; neither code nor a placeholder."""
+        if _CODE.match(value):
+            return False
+        low = value.lower()
+        pairs = [self.transitions.get(a + b, -6.0) for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
+        return any(c.isdigit() or c in "!@#$%^&*+=~?" for c in value) or sum(pairs) < self.unusual * len(pairs)
+
+    def secret_form(self, value: str, form: int) -> bool:
+        """Whether a candidate of a known form is a secret by rule."""
+        return self.known_forms and form > 0 and self.random(value) and (form == 1 or self.odd(value))
+
     def features(self, context: str, value: str, after: str) -> list[float]:
         n = max(len(value), 1)
         counts = Counter(value)
@@ -108,6 +174,11 @@ class Scanner:
     def probabilities(self, findings: list[tuple[str, str, str]]) -> np.ndarray:
         return self.forest.predict(np.array([self.features(*f) for f in findings]).reshape(len(findings), 14))
 
+    def judge(self, found: list[tuple[str, int, int, int]]) -> list[float]:
+        """The probability of every (text, first, end, form); 1 for known forms."""
+        p = self.probabilities([_beside(*f[:3]) for f in found]).tolist()
+        return [1.0 if self.secret_form(t[a:b], form) else q for (t, a, b, form), q in zip(found, p)]
+
 
 def _beside(text: str, first: int, end: int) -> tuple[str, str, str]:
     return text[max(0, first - BESIDE) : first], text[first:end], text[end : end + BESIDE]
@@ -121,10 +192,15 @@ class Corpus(NamedTuple):
     findings: pd.DataFrame
 
 
-def _by_rule(scanner: Scanner, context: str, value: str) -> bool:
-    """The self-made label: assigned to a name that speaks of a secret, and not made of dictionary words."""
+def _by_rule(scanner: Scanner, context: str, value: str) -> str:
+    """The self-made label: "quoted" or "bare" for a secret, a value without dictionary words that is assigned to a name
+    that speaks of a secret, and "" for others."""
     name = _ASSIGNING.search(context)
-    return bool(name and _NAMED.search(name.group(1))) and scanner.coverage(value) < 0.6 and len(set(value)) >= 5
+    if not (name and _NAMED.search(name.group(1)) and scanner.random(value)):
+        return ""
+    if context[-1:] in ("'", '"'):
+        return "quoted"
+    return "bare" if scanner.odd(value) else ""
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -136,7 +212,7 @@ def label_findings(docs: DataFrame, sample: int = SAMPLE) -> Corpus:
     """Dictionary and letter pairs (both in lower case) of all documents, and distinct findings of all documents.
 
     Words and pairs are counted, and findings labelled, in Spark. The driver gets ``DICTIONARY_WORDS`` words, the
-    pairs of 26 letters and of each class at most ``sample`` findings, those with the smallest hashes.
+    pairs of 26 letters and of each kind at most ``sample`` findings, those with the smallest hashes.
     """
     docs = texts_of(docs)
 
@@ -159,19 +235,24 @@ def label_findings(docs: DataFrame, sample: int = SAMPLE) -> Corpus:
     scanner = Scanner(words, pairs)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["context", "value", "after", "secret"]
-        types = [*[pa.string()] * 3, pa.bool_()]
+        names = ["context", "value", "after", "kind"]
+        types = [pa.string()] * 4
         for batch in slices(batches):
-            found = {_beside(text, a, b) for text in batch.column("text").to_pylist() for a, b in candidates(text)}
+            found = {
+                _beside(text, a, b)
+                for text in batch.column("text").to_pylist()
+                for a, b, form in candidates(text)
+                if not scanner.secret_form(text[a:b], form)
+            }
             yield _batch([(*f, _by_rule(scanner, *f[:2])) for f in found], names, types)
 
-    found = kept(docs.mapInArrow(look, "context string, value string, after string, secret boolean").distinct())
+    found = kept(docs.mapInArrow(look, "context string, value string, after string, kind string").distinct())
     columns = ["context", "value", "after"]
-    secrets, others = (
-        found.where(F.col("secret") == k).orderBy(F.xxhash64(*columns), *columns).limit(sample).select(*columns).toPandas()
-        for k in (True, False)
+    kinds = (
+        found.where(F.col("kind") == k).orderBy(F.xxhash64(*columns), *columns).limit(sample).select(*columns).toPandas()
+        for k in ("quoted", "bare", "")
     )
-    findings = pd.concat([secrets, others]).sort_values(columns).reset_index(drop=True)
+    findings = pd.concat(list(kinds)).sort_values(columns).reset_index(drop=True)
     return Corpus(words, pairs, findings)
 
 
@@ -181,15 +262,20 @@ def fit(corpus: Corpus) -> Scanner:
     rows = list(findings[["context", "value", "after"]].itertuples(index=False, name=None))
     if "label" in findings:
         labels = findings["label"].astype(float).tolist()
+        scanner.known_forms = False  # the given labels alone say what a secret is
     else:
-        labels = [float(_by_rule(scanner, context, value)) for context, value, _ in rows]
+        kinds = [_by_rule(scanner, context, value) for context, value, _ in rows]
+        labels = [float(k != "") for k in kinds]
         real, other = ([r for r, y in zip(rows, labels) if y == k] for k in (1, 0))
-        if real:  # few secrets count as often as some
-            more = real * (max(0, FEW - len(real)) // len(real))
+        for kind in ("quoted", "bare"):  # few secrets of a kind count as often as some
+            few = [r for r, k in zip(rows[: len(kinds)], kinds) if k == kind]
+            more = few * (max(0, FEW - len(few)) // len(few)) if few else []
             real, rows, labels = real + more, rows + more, labels + [1.0] * len(more)
         for (c1, v1, a1), (c0, v0, a0) in zip(real, other):
-            rows += [(c0, v1, a0), (c1, v0, a1)]  # neither the value nor its place alone
-            labels += [0.0, 0.0]
+            # neither the value nor its place alone
+            moved = [r for r in ((c0, v1, a0), (c1, v0, a1)) if not _by_rule(scanner, *r[:2])]
+            rows += moved
+            labels += [0.0] * len(moved)
         decoys = [(c, w, a) for (c, _, a), w in zip(real, scanner.decoys)]  # a word where a secret stood
         rows, labels = rows + decoys, labels + [0.0] * len(decoys)
     x = np.array([scanner.features(*r) for r in rows]).reshape(len(rows), 14)
@@ -206,12 +292,11 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
         for batch in slices(batches):
             rows, found = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for a, b in candidates(text):
+                for a, b, form in candidates(text):
                     rows.append((doc_id, a, b - a, text[a:b]))
-                    found.append(_beside(text, a, b))
+                    found.append((text, a, b, form))
             if rows:
-                p = scanner.probabilities(found).tolist()
-                rows = [(*r, q, q >= 0.5) for r, q in zip(rows, p)]
+                rows = [(*r, q, q >= 0.5) for r, q in zip(rows, scanner.judge(found))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return texts_of(docs).mapInArrow(
@@ -226,10 +311,10 @@ def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        found = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t)]
-        p = scanner.probabilities([_beside(texts.iloc[i], a, b) for i, a, b in found])
+        found = [(i, *c) for i, t in enumerate(texts) if t for c in candidates(t)]
+        p = scanner.judge([(texts.iloc[i], *c) for i, *c in found])
         out = texts.tolist()
-        for (i, a, b), q in reversed(list(zip(found, p))):
+        for (i, a, b, _), q in reversed(list(zip(found, p))):
             if q >= 0.5:
                 out[i] = out[i][:a] + REPLACEMENT + out[i][b:]
         return pd.Series(out, dtype=object)
