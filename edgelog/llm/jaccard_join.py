@@ -2,9 +2,10 @@
 
 1. Texts with equal sets are one class; its text with the smallest doc_id stands for it, so a group of copies
    costs as much as one text.
-2. A MinHash LSH forest proposes candidates: ``TREES`` tries of signatures, in each of which texts that share a
-   prefix are neighbours. Matched prefixes begin with ``DEPTH`` values and are shortened until a pair at
-   the threshold is found with probability ``RECALL`` (``prefix_length``). Tries whose nodes hold the same texts keep one.
+2. Banded MinHash LSH proposes candidates: ``TREES`` bands ("trees"), in each of which texts with the same values
+   ("prefix") share a node. A band has at most ``DEPTH`` values, as many as still find a pair at the threshold with
+   probability ``RECALL`` (``prefix_length``); that follows from the threshold alone, not from the data, so no tries
+   are built or shortened. Of nodes that hold the same texts one is kept.
 3. Candidates are verified exactly on their whole sets. A node with many texts is divided into tiles, and every
    pair of tiles is a group of its own; pairs are compared within a group by matrix products and never written
    out: what leaves a group is a count of links and a tree of edges for each text. A pair that shares several nodes
