@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelog.llm.shared import slices, texts_of
-from edgelog.llm.tokens import MEMORY_PARTS, encoder
+from edgelog.llm.tokens import MEMORY_BYTES, TEXT_BYTES, encoder
 
 CAPACITY = 4096
 OPEN_BINS = 8192
@@ -73,16 +73,18 @@ def tokenize_pieces(
     end_id: int = 1,
     capacity: int = CAPACITY,
     keep_ids: bool = True,
-    memory: int = MEMORY_PARTS,
+    memory: int = MEMORY_BYTES,
 ) -> DataFrame:
     """A row for every piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit, or null)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, width = encoder(tokenizer, memory).encode, int(end_id).to_bytes(4, "little"), 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(batches, TEXT_BYTES):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                ids += end
+            ids, counts = encode(batch.column("text"))
+            data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts).tolist()
+            for doc_id, last, n in zip(batch.column("doc_id").to_pylist(), ends, counts.tolist()):
+                ids = data[4 * (last - n) : 4 * last] + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     own = ids[at : at + width]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
@@ -115,7 +117,7 @@ def pack_documents(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     keep_ids: bool = True,
-    memory: int = MEMORY_PARTS,
+    memory: int = MEMORY_BYTES,
 ) -> DataFrame:
     """All documents (null text: empty; repeated rows and null ids as they are) in sequences of ``capacity``."""
     tasks = 1 + docs.count() // PIECES_PER_TASK

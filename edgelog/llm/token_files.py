@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgelog.llm.shared import NO_ID, slices, texts_of
-from edgelog.llm.tokens import encoder
+from edgelog.llm.tokens import TEXT_BYTES, encoder
 
 SEGMENT_TOKENS = 1 << 20
 RANK_BITS = 512
@@ -89,26 +89,29 @@ def write_token_files(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(tokenizer).encode, np.array([end_id], np.uint32)
         bucket, segment, held, ids, lengths = 0, 0, [], [], []
 
         def closed() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(held), "<u4")
+            tokens = np.concatenate(held)
             row = [bucket, segment, len(tokens), np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes()]
             row += encode_ids(tokens)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], _NAMES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, TEXT_BYTES):
             bucket = batch.column("bucket")[0].as_py()
-            found = encode(batch.column("text").to_pylist())
-            for doc_id, tokens in zip(batch.column("doc_id").fill_null(NO_ID).to_pylist(), found):
-                if lengths and sum_ + len(tokens) // 4 + 1 > segment_tokens:
+            found, counts = encode(batch.column("text"))
+            last = np.cumsum(counts)
+            for doc_id, first, n in zip(
+                batch.column("doc_id").fill_null(NO_ID).to_pylist(), (last - counts).tolist(), counts.tolist()
+            ):
+                if lengths and sum_ + n + 1 > segment_tokens:
                     yield closed()
                     segment, held, ids, lengths = segment + 1, [], [], []
-                sum_ = (sum_ if lengths else 0) + len(tokens) // 4 + 1
-                held += (tokens, end)
+                sum_ = (sum_ if lengths else 0) + n + 1
+                held += (found[first : first + n], end)
                 ids.append(doc_id)
-                lengths.append(len(tokens) // 4 + 1)
+                lengths.append(n + 1)
         if lengths:
             yield closed()
 
