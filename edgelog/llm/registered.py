@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.llm import (
+    alignment,
     chat_format,
+    collocations,
     decontamination,
     jaccard_join,
     packing,
@@ -15,6 +17,7 @@ from edgelog.llm import (
     quality,
     secret_scan,
     substring_dedup,
+    token_counts,
     token_files,
     toxicity,
 )
@@ -94,6 +97,20 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, model).withColumn("keep", F.col("score") >= 0.5)
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align_documents(_read(spark, sf, "documents"), *paths, digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +124,9 @@ QUERIES = {
         op8_chat_format,
         op9_fingerprints,
         op10_quality,
+        op11_alignment,
+        op12_collocations,
+        op13_token_counts,
     )
 }
 
@@ -177,4 +197,27 @@ ORACLES = {
                CAST(sum(length(safe) + 7 + CASE WHEN opens THEN length(role) + 6 ELSE 0 END) AS BIGINT)
                    AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        s AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g, count(*) AS f
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS r(k))
+              GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, k AS size, g, f AS a, string_split(g, ' ') AS x, unnest(range(1, k)) AS k FROM f WHERE k > 1),
+        t AS (SELECT c.lang, size, c.g, a, c.k, l.f AS l, r.f AS r, n,
+                     CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+              FROM c JOIN s USING (lang)
+              JOIN f l ON l.lang = c.lang AND l.k = c.k AND l.g = array_to_string(list_slice(x, 1, c.k), ' ')
+              JOIN f r ON r.lang = c.lang AND r.k = size - c.k AND r.g = array_to_string(list_slice(x, c.k + 1, size), ' ')),
+        b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        i AS (SELECT lang, g, max(f) AS within
+              FROM (SELECT lang, f, unnest([array_to_string(string_split(g, ' ')[:k - 1], ' '),
+                                            array_to_string(string_split(g, ' ')[2:], ' ')]) AS g FROM f WHERE k > 2)
+              GROUP BY ALL),
+        o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank
+              FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE coalesce(within, 0) < a)
+        SELECT lang, rank, g AS phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
 }

@@ -78,13 +78,16 @@ def distinct_parts(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], n
 
 
 def inner_parts(data: np.ndarray, at: np.ndarray, offsets: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-    """Which of the ``n`` different parts begin with a blank or line end and stand between two cuts somewhere, not
-    at a text's start or end."""
+    """Which of the ``n`` different parts begin with a blank (or line end) before another character, and end at a cut
+    somewhere, not at a text's end."""
+    if not len(at):
+        return np.zeros(n, bool)
     edge = np.zeros(int(offsets[-1]) + 1, bool)
     edge[offsets] = True
+    inner = ~edge[np.append(at[1:], offsets[-1])]
+    second = np.append(data, 0)[at + 1]
+    inner &= ((data[at] == 0x20) | (data[at] == 0x0A)) & ~_CLOSED[second] & ~_WIDE_SPACE[second]
     out = np.zeros(n, bool)
-    inner = ~edge[at] & ~edge[np.append(at[1:], offsets[-1])]
-    inner &= (data[at] == 0x20) | (data[at] == 0x0A)
     out[which[inner]] = True
     return out
 
