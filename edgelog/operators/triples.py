@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgelog.session import written
+
 # The vocabulary the lookups use.
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 ABSTRACT = "http://dbpedia.org/ontology/abstract"
@@ -80,73 +82,78 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
     )
 
 
-def _grams(text: Column, length: int) -> Column:
-    """Distinct runs of ``length`` characters; one pass, since matches of a lookahead take up no text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+def grams(text: Column, length: int) -> Column:
+    """Distinct runs of ``length`` characters; the empty one for 0."""
+    if not length:
+        return F.array(F.lit(""))
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda at: F.substring(text, at, F.lit(length)))
+    return F.when(F.length(text) >= length, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def search_needles(queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
+    """query_id, lang, needle (lower case) and _limit (brought into 1..50) of label searches."""
+    wanted = F.col("limit") if "limit" in queries.columns else F.lit(limit)
+    return queries.select(
+        "query_id",
+        "lang",
+        F.lower("text").alias("needle"),
+        F.greatest(F.lit(1), F.least(wanted, F.lit(MAX_SEARCH_ROWS))).alias("_limit"),
+    )
 
 
-def _subjects_by_gram(labels: DataFrame, wanted: DataFrame, lengths) -> DataFrame:
-    """Subjects whose labels have a gram that some query needs; texts are neither exploded nor shuffled."""
-    grams = F.concat(*[_grams(F.col("haystack"), n) if n else F.array(F.lit("")) for n in lengths])
-    found = labels.select("subject", "lang", F.explode(grams).alias("gram"))
-    return found.join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi").distinct()
+def wanted_grams(needles: DataFrame) -> DataFrame:
+    """query_id, lang, gram: the runs of eight or three characters of each query; a shorter query is its own gram."""
+    text = F.col("needle")
+    runs = F.when(F.length(text) >= GRAMS[1], grams(text, GRAMS[1])).when(F.length(text) >= GRAMS[0], grams(text, GRAMS[0]))
+    return needles.where(text.isNotNull() & F.col("lang").isNotNull()).select(
+        "query_id", "lang", F.explode(runs.otherwise(F.array(text))).alias("gram")
+    )
 
 
-def _short_matches(labels: DataFrame, needles: DataFrame) -> DataFrame:
-    """Queries shorter than a gram: having the gram is containing the query.
+def label_texts(triples: DataFrame) -> DataFrame:
+    """subject, lang, label, haystack (lower case) of all labels."""
+    return triples.where((F.col("predicate") == LABEL) & (F.col("object_kind") == "literal")).select(
+        "subject", "lang", F.col("object").alias("label"), F.lower("object").alias("haystack")
+    )
 
-    The first ``MAX_SEARCH_ROWS`` subjects of a gram are all that any of its queries can show, since each has
-    a row at least. They are cut on the map side, however many labels have the gram.
+
+def label_postings(labels: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """lang, gram, subject: in which subjects' labels a gram occurs, each once.
+
+    Of grams shorter than three characters only the first ``MAX_SEARCH_ROWS`` subjects are listed, cut on the map side: having
+    such a gram is containing the query, and each subject has a row at least. ``wanted`` (lang, gram) leaves out others.
     """
-    short = needles.where(F.length("needle") < GRAMS[0]).withColumn("gram", F.col("needle"))
-    subjects = _subjects_by_gram(labels, short, range(GRAMS[0]))
-    first = _ranked(subjects, ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS)
-    return short.join(first, ["lang", "gram"]).select("query_id", "lang", "needle", "_limit", "subject")
 
+    def cut(*lengths: int) -> DataFrame:
+        runs = F.array_distinct(F.concat(*[grams(F.col("haystack"), n) for n in lengths]))
+        found = labels.where(F.col("haystack").isNotNull() & F.col("lang").isNotNull())
+        found = found.select("lang", F.explode(runs).alias("gram"), "subject")
+        if wanted is not None:
+            found = found.join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi")
+        return found.distinct()
+
+    few = _ranked(cut(*range(GRAMS[0])), ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS).drop("_n")
+    return few.unionByName(cut(*GRAMS))
 
-def _long_matches(labels: DataFrame, needles: DataFrame, gram: int, below: int | None = None) -> DataFrame:
-    """Queries of at least ``gram`` characters meet the subjects that have their rarest gram.
+
+def rarest_grams(wanted: DataFrame, lengths: DataFrame) -> DataFrame:
+    """query_id, lang and the gram of each query that fewest labels have, by ``lengths`` (lang, gram, n).
 
     A gram that no label has ends the query.
     """
-    long = needles.where(F.length("needle") >= gram)
-    long = long if below is None else long.where(F.length("needle") < below)
-    grams = long.select("query_id", "lang", F.explode(_grams(F.col("needle"), gram)).alias("gram"))
-    subjects = _subjects_by_gram(labels, grams, (gram,))
-    counts = subjects.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rated = grams.join(counts, ["lang", "gram"], "left")
-    rarest = rated.groupBy("query_id", "lang").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
-    )
-    chosen = rarest.where("rarest.n > 0").select("query_id", "lang", F.col("rarest.gram").alias("gram"))
-    met = subjects.join(chosen, ["lang", "gram"]).select("query_id", "lang", "subject")
-    return met.join(long, ["query_id", "lang"]).select("query_id", "lang", "needle", "_limit", "subject")
+    rated = wanted.join(lengths, ["lang", "gram"], "left")
+    rarest = rated.groupBy("query_id", "lang").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return rarest.where("r.n > 0").select("query_id", "lang", F.col("r.gram").alias("gram"))
 
 
-def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
-    """Entities whose label in the query's language contains the query text, ignoring case.
+def search_candidates(needles: DataFrame, chosen: DataFrame, postings: DataFrame) -> DataFrame:
+    """The subjects that each query is compared with: those that have its chosen gram."""
+    met = postings.join(chosen, ["lang", "gram"]).select("query_id", "lang", "subject").distinct()
+    return met.join(needles, ["query_id", "lang"])
 
-    ``queries(query_id, text, lang)``, one row per id and language, may have a ``limit`` column; limits are brought
-    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest run of eight or
-    three characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
-    """
-    wanted = F.col("limit") if "limit" in queries.columns else F.lit(limit)
-    needles = queries.select(
-        "query_id",
-        "lang",
-        F.lower("text").alias("needle"),
-        F.greatest(F.lit(1), F.least(wanted, F.lit(MAX_SEARCH_ROWS))).alias("_limit"),
-    )
-    labels = triples.where((F.col("predicate") == LABEL) & (F.col("object_kind") == "literal")).select(
-        "subject", "lang", F.col("object").alias("label"), F.lower("object").alias("haystack")
-    )
-    # By subject, as the comparison with the texts needs them; the look for grams shares that exchange.
-    labels = labels.repartition("subject", "lang")
-    candidates = (
-        _short_matches(labels, needles)
-        .unionByName(_long_matches(labels, needles, GRAMS[0], GRAMS[1]))
-        .unionByName(_long_matches(labels, needles, GRAMS[1]))
-    )
+
+def search_rows(candidates: DataFrame, labels: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """query_id, entity, label, abstract of the candidates whose label contains the query, as many as it asks for."""
     pairs = labels.join(candidates, ["subject", "lang"])
     hits = pairs.where(F.contains(F.col("haystack"), F.col("needle"))).select(
         "query_id", "lang", "_limit", "subject", "label"
@@ -154,9 +161,6 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     # The order starts with entity and label, so later rows cannot come back with the abstracts.
     hits = _ranked(hits, ["query_id"], ["subject", "label"], MAX_SEARCH_ROWS)
     hits = hits.where(F.col("_n") < F.col("_limit")).drop("_n")
-    abstracts = _literals(triples, ABSTRACT, "abstract", MAX_SEARCH_ROWS).select(
-        "subject", "lang", "abstract"
-    )
     found = hits.join(abstracts, ["subject", "lang"], "left")
     found = _ranked(found, ["query_id"], ["subject", "label", "abstract"], MAX_SEARCH_ROWS)
     return found.where(F.col("_n") < F.col("_limit")).select(
@@ -164,6 +168,30 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     )
 
 
+def first_abstracts(triples: DataFrame) -> DataFrame:
+    """subject, lang, abstract: as many as a search can show."""
+    return _literals(triples, ABSTRACT, "abstract", MAX_SEARCH_ROWS).select("subject", "lang", "abstract")
+
+
+def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
+    """Entities whose label in the query's language contains the query text, ignoring case.
+
+    ``queries(query_id, text, lang)``, one row per id and language, may have a ``limit`` column; limits are brought
+    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest run of eight or
+    three characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
+
+    Labels are cut into grams once for all queries, and the postings that these need are written once. For many
+    searches over the same triples keep them as a ``sources.label_index``.
+    """
+    needles = search_needles(queries, limit)
+    wanted = wanted_grams(needles)
+    labels = label_texts(triples)
+    postings = written(label_postings(labels, wanted), "label_postings")
+    lengths = postings.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    candidates = search_candidates(needles, rarest_grams(wanted, lengths), postings)
+    return search_rows(candidates, labels, first_abstracts(triples))
+
+
 def match_pattern(
     triples: DataFrame,
     subject: str | None = None,

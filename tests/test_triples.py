@@ -4,10 +4,12 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from edgelog.operators import triples
 from edgelog.operators.triples import ABSTRACT, FACTS, LABEL
 from edgelog.schemas import TRIPLES
+from edgelog.sources import label_index
 
 
 def low(row):
@@ -103,3 +105,49 @@ def test_search_plans(spark, tmp_path):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
     assert f"(predicate#" in plan and "PartitionFilters: [isnotnull(predicate" in plan
+
+
+SEARCHES = "query_id string, text string, lang string, limit int"
+
+
+def test_label_index_with_deltas_against_a_plain_scan(spark, tmp_path):
+    facts = random_facts(random.Random(4), rows=600)
+    long = [("s1", LABEL, f"An Unusually long label {i}", "literal", "en", None) for i in range(3)]
+    facts += [*long, long[0], ("s2", LABEL, None, "literal", "en", None), ("hot", LABEL, "ab", "literal", "en", None)]
+    root = str(tmp_path / "index")
+    label_index.write_label_index(spark.createDataFrame(facts[:250], TRIPLES), root)
+    for _ in range(2):  # a repeated delta replaces itself
+        label_index.add_to_label_index(spark.createDataFrame(facts[250:400], TRIPLES), root, 1)
+    label_index.add_to_label_index(spark.createDataFrame(facts[400:], TRIPLES), root, 2)
+    texts = ["ab", "A", "%", "_", "B%1", "c_d2", "", "éa", "nothing", "ß1", "unusuALLY LONG", "usually long label 2", "x" * 200]
+    queries = [(f"{t}/{lang}/{n}", t, lang, n) for t in texts for lang in ("en", "de", "xx") for n in (0, 5, 500)]
+    asked = spark.createDataFrame([*queries, ("null", None, "en", 5), ("no lang", "a", None, 5)], SEARCHES)
+    found = label_index.search_label_index(spark, root, asked)
+    assert sorted(map(tuple, found.collect()), key=low) == model_search([f for f in facts if f[2] is not None], queries)
+
+
+def test_label_index_reads_only_the_rarest_grams(spark, tmp_path):
+    """One query of three grams: one part of the postings, at most three of the lengths, one bucket of texts."""
+    rows = [(f"s{i}", LABEL, f"common {i:05d}", "literal", "en", None) for i in range(3000)]
+    rows.append(("rare", LABEL, "common qxqzq", "literal", "en", None))
+    root = str(tmp_path / "index")
+    label_index.write_label_index(spark.createDataFrame(rows, TRIPLES), root)
+    reads = []
+    read = label_index._read
+
+    def watched(spark, root, name, *rest):
+        df = read(spark, root, name, *rest)
+        files = df.select(F.input_file_name().alias("f")).distinct().collect()
+        reads.append((name, {f[0].split(f"{name}/")[1].split("/")[0] for f in files}))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [(" in plan or "PartitionFilters: [isnotnull" in plan or " IN (" in plan
+        return df
+
+    label_index._read = watched
+    try:
+        found = label_index.search_label_index(spark, root, spark.createDataFrame([("q", "n qXqz", "en", 5)], SEARCHES))
+        assert [tuple(r) for r in found.collect()] == [("q", "rare", "common qxqzq", None)]
+    finally:
+        label_index._read = read
+    assert [name for name, _ in reads] == ["lengths", "postings", "texts"]
+    assert len(reads[0][1]) <= 4 and len(reads[1][1]) == 1 and len(reads[2][1]) == 1
