@@ -30,8 +30,8 @@ from edgelog.llm.shared import buffers, kept, slices, texts_of
 from edgelog.llm.token_counts import byte_of_letter
 from edgelog.llm.tokens import cut_parts, distinct_parts, encoder, inner_parts, ragged
 
-#: Bytes of text in a slice.
-SLICE_BYTES = 8 << 20
+#: Bytes of text in a slice, and parts that are given to B's library at once.
+SLICE_BYTES, CALL_PARTS = 2 << 20, 20_000
 
 
 def gallop(short: np.ndarray, long: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +129,15 @@ class _Pair:
     def __init__(self, path_a: str, path_b: str):
         self.a = encoder(path_a, plain=True)
         self.model_b, self.bytes_a, self.bytes_b = _byte_tables(path_a, path_b)
+        self.names = list(map(str, range(max(len(self.bytes_a[2]), len(self.bytes_b[2])))))
 
     def _ids_b(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.model_b.encode([p[1:].decode() for p in parts], num_threads=1)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(lengths.sum())), lengths
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(parts), CALL_PARTS):
+            found = self.model_b.encode([p[1:].decode() for p in parts[at : at + CALL_PARTS]], num_threads=1)
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for own in found for i in own), np.int64, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def tokens(self, parts: list[bytes], counts: np.ndarray, inner: np.ndarray):
         """Ids and numbers of ids of A and B of every part, and which parts both give back (others have none)."""
@@ -165,13 +169,9 @@ class _Pair:
 _PAIRS: dict[tuple[str, str], _Pair] = {}
 
 
-def _joined(ids: np.ndarray) -> list[str]:
-    return list(map(str, ids.tolist()))
-
-
-def _group_texts(a: np.ndarray, b: np.ndarray, found: Aligned) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of every sequence."""
-    names_a, names_b = _joined(a), _joined(b)
+def _group_texts(a: np.ndarray, b: np.ndarray, found: Aligned, names: list[str]) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3`` of every sequence; ``names`` has the text of every id."""
+    names_a, names_b = ([names[i] for i in ids.tolist()] for ids in (a, b))
     groups, i, j = [], 0, 0
     for x, y in zip((found.common_a + 1).tolist(), (found.common_b + 1).tolist()):
         groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
@@ -215,7 +215,7 @@ def _slice_rows(docs: DataFrame, path_a: str, path_b: str, digest: bool, limit:
             for n in (n_a, n_b, found.n_groups, found.n_links):
                 total = np.concatenate([[0], np.cumsum(n[which])])
                 sums.append(np.diff(total[ends]))
-            texts = _group_texts(a, b, found)
+            texts = _group_texts(a, b, found, both.names)
             groups = [";".join([texts[k] for k in which[x:y].tolist()]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
             if digest:
                 groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
