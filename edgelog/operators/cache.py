@@ -38,15 +38,19 @@ def fresh_entries(updates: DataFrame, ttl: int = TTL) -> DataFrame:
     )
 
 
+def latest_updates(updates: DataFrame) -> DataFrame:
+    """The last of the updates of each key; of those fetched in the same second the one with the larger payload text."""
+    values = F.struct("fetched_at_unix_secs", "payload")
+    return updates.groupBy("cache_key").agg(F.max(values).alias("latest")).select("cache_key", "latest.*")
+
+
 def upsert_cache(existing: DataFrame, updates: DataFrame, ttl: int = TTL) -> DataFrame:
     """The cache after the updates: the last write of a key wins, and any update beats the entry.
 
     Of updates of one key fetched in the same second the one with the larger payload text wins. Only
     the updates are aggregated; a few of them are broadcast, and then the cache is not shuffled.
     """
-    values = F.struct("fetched_at_unix_secs", "payload")
-    latest = updates.groupBy("cache_key").agg(F.max(values).alias("latest"))
-    new = fresh_entries(latest.select("cache_key", "latest.*"), ttl)
+    new = fresh_entries(latest_updates(updates), ttl)
     kept = existing.join(new.select("cache_key"), "cache_key", "left_anti")
     return kept.select(*existing.columns).unionByName(new)
 

@@ -8,7 +8,7 @@ a slice is joined back to its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 3
@@ -41,19 +41,19 @@ def rejected_calls(calls: DataFrame) -> DataFrame:
     return calls.where("ts IS NULL OR seq IS NULL OR ok IS NULL")
 
 
-def outcome_runs(
-    calls: DataFrame, prior: DataFrame | None = None, default_endpoint: str = DEFAULT_ENDPOINT
-) -> DataFrame:
-    """Each call with the consecutive failures before it and the time of the call before it.
+SLICE_KEYS = ["endpoint", "era", "ts", "block"]
 
-    ``calls(endpoint, ts, seq, ok)`` are ordered by ``(ts, seq)`` per endpoint; ``ts`` is in epoch
-    seconds. A null endpoint is the default one; see ``rejected_calls`` for rows that cannot be placed. ``run`` numbers the failure run a failed call belongs to. ``prior(endpoint,
-    failure_count, last_ts)`` says how earlier calls ended, if there are any.
-    """
-    slice_keys = ["endpoint", "era", "ts", "block"]
+
+def era_of(ts: str = "ts") -> Column:
+    """The hour that a call belongs to."""
+    return F.expr(f"{ts} div {ERA_SECONDS}")
+
+
+def scan_slices(calls: DataFrame, default_endpoint: str = DEFAULT_ENDPOINT) -> DataFrame:
+    """Calls that can be placed, with counts of failures from the start of their slice."""
     sliced = calls.where(F.col("ok").isNotNull()).select(
         F.coalesce("endpoint", F.lit(default_endpoint)).alias("endpoint"),
-        F.expr(f"ts div {ERA_SECONDS}").alias("era"),
+        era_of().alias("era"),
         "ts",
         F.expr(f"seq div {SLICE_CALLS}").alias("block"),
         "seq",
@@ -61,52 +61,64 @@ def outcome_runs(
         (~F.col("ok")).cast("bigint").alias("failed"),
     )
     # The joins below would add these filters to some branches only, and so shuffle the calls thrice.
-    for key in slice_keys:
+    for key in SLICE_KEYS:
         sliced = sliced.where(F.col(key).isNotNull())
-    in_slice = Window.partitionBy(*slice_keys).orderBy("seq")
-    scanned = sliced.withColumn(
+    in_slice = Window.partitionBy(*SLICE_KEYS).orderBy("seq")
+    return sliced.withColumn(
         "fails", F.sum("failed").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
     ).select(
         "*",
         F.max(F.when(F.col("ok"), F.col("fails"))).over(in_slice.rowsBetween(*_BEFORE)).alias("reset"),
         F.row_number().over(in_slice).alias("place"),
     )
-    slices = scanned.groupBy(*slice_keys).agg(
+
+
+def slice_totals(scanned: DataFrame) -> DataFrame:
+    """Totals of each slice, and what lies before it in its hour."""
+    slices = scanned.groupBy(*SLICE_KEYS).agg(
         F.sum("failed").alias("fails"),
         F.max(F.when(F.col("ok"), F.col("fails"))).alias("resets"),
         F.max("ts").alias("last_ts"),
+        F.max("seq").alias("last_seq"),
+        F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"),
     )
-    slices = _totals_before(slices, ["endpoint", "era"], ["ts", "block"])
-    eras = slices.groupBy("endpoint", "era").agg(
+    return _totals_before(slices, ["endpoint", "era"], ["ts", "block"])
+
+
+def hour_totals(slices: DataFrame) -> DataFrame:
+    """Totals of each endpoint's hour. Totals of hours in a row join to totals of all of them (``carried_over``), so they
+    can be kept and only those of hours with new calls made anew."""
+    return slices.groupBy("endpoint", "era").agg(
         F.sum("fails").alias("fails"),
         F.max("resets").alias("resets"),
         F.max("last_ts").alias("last_ts"),
+        F.max_by("last_seq", F.struct("ts", "block")).alias("last_seq"),
+        F.max("last_success").alias("last_success"),
     )
-    if prior is not None:
-        earlier = prior.select(
-            "endpoint",
-            F.lit(-(2**62)).cast("bigint").alias("era"),
-            F.col("failure_count").cast("bigint").alias("fails"),
-            F.lit(None).cast("bigint").alias("resets"),
-            "last_ts",
-        )
-        eras = eras.unionByName(earlier)
-    eras = _totals_before(eras, ["endpoint"], ["era"]).select(
+
+
+def carried_over(hours: DataFrame) -> DataFrame:
+    """What each hour starts from: failures before it, those at the last success before it, time of the last call."""
+    return _totals_before(hours, ["endpoint"], ["era"]).select(
         "endpoint",
         "era",
         F.col("fails_before").alias("era_fails"),
         F.col("reset_before").alias("era_reset"),
         F.col("ts_before").alias("era_ts"),
     )
-    carried = slices.join(eras, ["endpoint", "era"]).select(
-        *slice_keys,
+
+
+def runs_from(scanned: DataFrame, slices: DataFrame, carried: DataFrame) -> DataFrame:
+    """``outcome_runs`` of scanned calls, given what their hours start from."""
+    carried = slices.join(carried, ["endpoint", "era"]).select(
+        *SLICE_KEYS,
         (F.col("era_fails") + F.col("fails_before")).alias("carried_fails"),
         F.coalesce(F.col("era_fails") + F.col("reset_before"), "era_reset").alias("carried_reset"),
         F.coalesce("ts_before", "era_ts").alias("carried_ts"),
     )
     zero = F.lit(0).cast("bigint")
     run = F.coalesce(F.col("carried_fails") + F.col("reset"), "carried_reset", zero)
-    return scanned.join(carried, slice_keys).select(
+    return scanned.join(carried, SLICE_KEYS).select(
         "endpoint",
         "ts",
         "seq",
@@ -117,6 +129,18 @@ def outcome_runs(
     )
 
 
+def outcome_runs(calls: DataFrame, default_endpoint: str = DEFAULT_ENDPOINT) -> DataFrame:
+    """Each call with the consecutive failures before it and the time of the call before it.
+
+    ``calls(endpoint, ts, seq, ok)`` are ordered by ``(ts, seq)`` per endpoint; ``ts`` is in epoch
+    seconds. A null endpoint is the default one; see ``rejected_calls`` for rows that cannot be placed. ``run``
+    numbers the failure run a failed call belongs to.
+    """
+    scanned = scan_slices(calls, default_endpoint)
+    slices = slice_totals(scanned)
+    return runs_from(scanned, slices, carried_over(hour_totals(slices)))
+
+
 def origin_incidents(calls: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Runs of at least ``threshold`` consecutive failures, with start, end and length."""
     failures = outcome_runs(calls).where(~F.col("ok"))
@@ -133,9 +157,9 @@ def origin_incidents(calls: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def transitions_of(
-    runs: DataFrame, threshold: int = THRESHOLD, cooldown: int = COOLDOWN
+    runs: DataFrame, threshold: int = THRESHOLD, cooldown: int = COOLDOWN, keep: tuple[Column, ...] = ()
 ) -> DataFrame:
-    """Breaker transitions seen at each call of ``outcome_runs``.
+    """Breaker transitions seen at each call of ``outcome_runs``, with columns to ``keep`` of the call.
 
     From ``threshold`` consecutive failures on the breaker is open and every further failure
     restarts the cooldown, so the call before decides alone whether it has become half open. That
@@ -162,9 +186,8 @@ def transitions_of(
         step(opens, ts, state, "open"),
         step(ok & tripped, ts, state, "closed"),
     )
-    return runs.select(
-        "endpoint", "seq", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("step")
-    ).select("endpoint", "seq", "step.*")
+    found = runs.select("endpoint", "seq", *keep, F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("step"))
+    return found.select(*found.columns[:-1], "step.*")
 
 
 def breaker_transitions(

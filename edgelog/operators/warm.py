@@ -63,6 +63,12 @@ def warm_result(fetched: DataFrame) -> DataFrame:
     )
 
 
+def fetched_updates(candidates: DataFrame, triples: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """Cache updates of the candidates, and the run's counters. What was fetched is written once: a row per candidate."""
+    fetched = written(fetch_entities(candidates, triples), "warm_fetched")
+    return refreshed_entries(fetched, as_of), warm_result(fetched)
+
+
 def warm_updates(
     hits: DataFrame,
     triples: DataFrame,
@@ -71,16 +77,11 @@ def warm_updates(
     k: int = 25,
     min_age: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Updates for the ``k`` most requested entities of ``hits``, and the run's counters.
-
-    Candidates are written once, and so is what was fetched for them: both outputs start from at most ``k`` rows.
-    """
+    """Updates for the ``k`` most requested entities of ``hits``, and the run's counters."""
     candidates = most_requested(hits, k)
     if min_age is not None:
         candidates = skip_recent(candidates, cache, min_age, as_of)
-    candidates = written(candidates, "warm_candidates")
-    fetched = written(fetch_entities(candidates, triples), "warm_fetched")
-    return refreshed_entries(fetched, as_of), warm_result(fetched)
+    return fetched_updates(written(candidates, "warm_candidates"), triples, as_of)
 
 
 def warm_cache(

@@ -537,3 +537,5 @@ ORACLES["stored_entity_lookup"] = ORACLES["entity_lookup"]
 ORACLES["stored_label_search"] = ORACLES["label_search"]
 ORACLES["stored_triple_pattern"] = ORACLES["triple_pattern_bound"]
 ORACLES["log_roundtrip"] = ORACLES["scan_request_logs"]
+ORACLES["stored_cache_upsert"] = ORACLES["cache_upsert"]
+ORACLES["stored_fresh_view"] = ORACLES["cache_fresh_view"]

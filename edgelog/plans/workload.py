@@ -258,16 +258,39 @@ def cache_fresh_view(spark: SparkSession, sf: str) -> DataFrame:
     return cache.cache_view(derived.cache_entries(rows), derived.latest(rows))
 
 
-def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """What every miss fetched is stored over the cache."""
-    rows = derived.logs(spark, sf)
+def _updates(rows: DataFrame) -> DataFrame:
     fetched = derived.good_answers(rows).where(~F.col("cache_hit"))
-    updates = fetched.select(
+    return fetched.select(
         F.col("query_hash").alias("cache_key"),
         F.concat(F.lit('{"id":'), F.col("id"), F.lit("}")).alias("payload"),
         F.col("observed_at_unix_secs").alias("fetched_at_unix_secs"),
     )
-    return cache.upsert_cache(derived.cache_entries(rows), updates)
+
+
+def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """What every miss fetched is stored over the cache."""
+    rows = derived.logs(spark, sf)
+    return cache.upsert_cache(derived.cache_entries(rows), _updates(rows))
+
+
+def stored_cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on a cache in buckets of its keys, of which the update reads and writes those of its own keys."""
+    path = new_shared_path(spark, "cache")
+    rows = derived.logs(spark, sf)
+    cache_store.write_cache(derived.cache_entries(rows), path)
+    keyed = cache.latest_updates(_updates(rows))
+    cache_store.update_cache(cache.fresh_entries(keyed), path, 1)
+    return cache_store.read_cache(spark, path, 1)
+
+
+def stored_fresh_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Fresh entries, by lookups of all their keys."""
+    path = new_shared_path(spark, "cache")
+    rows = derived.logs(spark, sf)
+    entries = derived.cache_entries(rows)
+    cache_store.write_cache(entries, path)
+    found = cache_store.lookup_cache(spark, path, 0, entries.select("cache_key"))
+    return cache.cache_view(found, derived.latest(rows))
 
 
 def cache_record_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -494,15 +517,21 @@ def rate_breaches(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------
 
 
-STREAM_PARTS = 2
+#: Parts of the events of a stream, each about a micro-batch.
+ARRIVALS = 6
 
 
 def _event_stream(spark: SparkSession, sf: str, path: str) -> DataFrame:
-    """Log rows of all events, which arrive in ``STREAM_PARTS`` files and as many micro-batches, not in order of time."""
+    """Log rows of all events, which arrive in parts and in no order of time.
+
+    Spark decides how many files a part has; a micro-batch takes as many files as a part has on average.
+    """
     events = derived.table(spark, sf, "events")
-    events.repartition(STREAM_PARTS, "event_id").write.parquet(f"{path}/events")
-    stream = log_stream.read_log_stream(spark, f"{path}/events", events.schema, max_files=1)
-    return derived.detailed_logs(stream)
+    parts = events.withColumn("arrival", F.pmod(F.xxhash64("event_id"), F.lit(ARRIVALS)))
+    parts.hint("rebalance", "arrival").write.partitionBy("arrival").parquet(f"{path}/events")
+    files = len(spark.read.parquet(f"{path}/events").inputFiles())
+    stream = log_stream.read_log_stream(spark, f"{path}/events", parts.schema, max_files=-(-files // ARRIVALS))
+    return derived.detailed_logs(stream.drop("arrival"))
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -547,17 +576,9 @@ def stream_residency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
-    """Events arrive in order of time, one file per span, as transitions follow the order of arrival."""
+    """Calls arrive in no order of time; late ones correct what was found before."""
     path = new_shared_path(spark, "stream_breaker")
-    events = derived.table(spark, sf, "events")
-    seconds = F.expr(derived.EPOCH_SECONDS)
-    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
-    width = (last - first) // STREAM_PARTS + 1
-    for span in range(STREAM_PARTS):  # files are read in the order in which they were written
-        part = events.where(F.floor((seconds - first) / width) == span)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/events")
-    stream = log_stream.read_log_stream(spark, f"{path}/events", events.schema, max_files=1)
-    calls = derived.origin_calls(derived.detailed_logs(stream))
+    calls = derived.origin_calls(_event_stream(spark, sf, path))
     health_stream.breaker_stream(calls, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return health_stream.read_transitions(spark, f"{path}/out").select(
         "endpoint", "seq", "at_unix_secs", "from_state", "to_state"
@@ -566,25 +587,24 @@ def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_warm(spark: SparkSession, sf: str) -> DataFrame:
     """Two warming ticks, after three quarters of the log's time and after all of it; entries under 10 days old are
-    skipped, so the second tick leaves what the first has refreshed."""
+    skipped, so the second tick leaves what the first has refreshed. Each tick takes all files that have arrived."""
     path = new_shared_path(spark, "stream_warm")
     rows = derived.logs(spark, sf)
     events = derived.table(spark, sf, "events")
     seconds = F.expr(derived.EPOCH_SECONDS)
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()
     tick = (first + 3 * last) // 4
+    cache_store.write_cache(derived.cache_entries(rows), f"{path}/cache")
     for part in (events.where(seconds <= tick), events.where(seconds > tick)):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/events")
-    cache_store.write_cache(derived.cache_entries(rows), f"{path}/cache", 0)
-    stream = log_stream.read_log_stream(spark, f"{path}/events", events.schema, max_files=1)
-    warm_stream.warm_stream(
-        derived.detailed_logs(stream),
-        derived.triples(spark, sf),
-        f"{path}/cache",
-        f"{path}/checkpoint",
-        interval=None,
-        min_age=10 * metrics.DAY,
-    ).awaitTermination()
+        part.write.mode("append").parquet(f"{path}/events")
+        warm_stream.warm_stream(
+            derived.detailed_logs(log_stream.read_log_stream(spark, f"{path}/events", events.schema)),
+            derived.triples(spark, sf),
+            f"{path}/cache",
+            f"{path}/checkpoint",
+            interval=None,
+            min_age=10 * metrics.DAY,
+        ).awaitTermination()
     return cache_store.read_cache(spark, f"{path}/cache", 2)
 
 
@@ -623,6 +643,8 @@ QUERIES = {
         endpoint_for_lang,
         cache_fresh_view,
         cache_upsert,
+        stored_cache_upsert,
+        stored_fresh_view,
         cache_record_hits,
         cache_residency,
         cache_residency_7d,

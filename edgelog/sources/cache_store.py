@@ -1,41 +1,85 @@
-"""Cache tables on disk: a full version and deltas of later ones.
+"""Cache tables on disk, in buckets of their keys.
 
-A version holds the entries that it changed; readers take the latest of each key up to the version they name.
-``compact_cache`` writes a full table for a version, after which earlier ones can be removed once no reader names them.
+A version writes the buckets whose entries it changes (``version=V/bucket=B``), whole, and a manifest that names the latest
+version of every bucket. So an update reads and writes only the buckets of its keys, a lookup reads only those of the keys
+asked for, and no number of versions makes reading slower. Earlier versions stay readable; what no manifest
+in use names can be removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.schemas import CACHE_ENTRIES
+from edgelog.session import written
+
+#: Buckets of a new cache unless told otherwise. A large one wants so many that a bucket is some 100 MB.
+BUCKETS = 64
 
 _COLUMNS = CACHE_ENTRIES.fieldNames()
 _SCHEMA = CACHE_ENTRIES.simpleString()[len("struct<") : -1].replace(":", " ")
+_MANIFEST = "bucket int, version long, buckets int"
 
 
 def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"
 
 
-def read_cache(spark: SparkSession, root: str, version: int, compacted: int | None = None) -> DataFrame:
-    """The cache as of a version; with ``compacted``, from that full table and the deltas after it."""
-    deltas = spark.read.schema(f"{_SCHEMA}, version long").parquet(root).where(F.col("version") <= version)
-    if compacted is not None:
-        base = spark.read.schema(_SCHEMA).parquet(version_path(f"{root}-compacted", compacted))
-        base = base.withColumn("version", F.lit(compacted).cast("long"))
-        deltas = base.unionByName(deltas.where(F.col("version") > compacted))
-    entry = F.struct(*[c for c in _COLUMNS if c != "cache_key"])
-    latest = deltas.groupBy("cache_key").agg(F.max_by(entry, "version").alias("entry"))
-    return latest.select("cache_key", "entry.*")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, root: str, version: int) -> tuple[dict[int, int], int]:
+    """The version of each bucket that has entries, and the number of buckets: rows of known bound."""
+    rows = spark.read.schema(_MANIFEST).parquet(f"{root}/manifest/version={version}").collect()
+    return {r.bucket: r.version for r in rows if r.bucket >= 0}, rows[0].buckets
+
+
+def _write(entries: DataFrame, root: str, version: int, latest: dict[int, int], buckets: int) -> None:
+    spark, path = entries.sparkSession, version_path(root, version)
+    rows = entries.select(*_COLUMNS, _bucket(buckets).alias("bucket")).hint("rebalance", "bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    own = spark.read.schema(f"{_SCHEMA}, bucket int").parquet(path).select("bucket").distinct().collect()
+    latest = latest | {r.bucket: version for r in own}
+    known = [(b, v, buckets) for b, v in sorted(latest.items())] or [(-1, version, buckets)]
+    manifest = spark.createDataFrame(known, _MANIFEST).coalesce(1)
+    manifest.write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
+
+
+def write_cache(entries: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Begin a cache with version 0; ``entries`` has one row per key."""
+    _write(entries, root, 0, {}, buckets)
+
+
+def _read(spark: SparkSession, root: str, latest: dict[int, int], wanted) -> DataFrame:
+    paths = [f"{version_path(root, latest[b])}/bucket={b}" for b in sorted(wanted) if b in latest]
+    if not paths:
+        return spark.createDataFrame([], CACHE_ENTRIES)
+    return spark.read.schema(_SCHEMA).parquet(*paths).select(*_COLUMNS)
+
+
+def read_cache(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The cache as of a version."""
+    latest, _ = _manifest(spark, root, version)
+    return _read(spark, root, latest, latest)
+
 
+def lookup_cache(spark: SparkSession, root: str, version: int, keys: DataFrame) -> DataFrame:
+    """The entries of ``keys(cache_key)``, from the buckets of these keys."""
+    latest, buckets = _manifest(spark, root, version)
+    wanted = [r[0] for r in keys.select(_bucket(buckets)).distinct().collect()]
+    return _read(spark, root, latest, wanted).join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
 
-def write_cache(entries: DataFrame, root: str, version: int) -> None:
-    """Write the entries a version changed, one per key; doing it again after a failure replaces a partial one."""
-    entries.select(*_COLUMNS).write.mode("overwrite").parquet(version_path(root, version))
 
+def update_cache(entries: DataFrame, root: str, version: int) -> None:
+    """Make ``version`` from the one before, with these entries (one row per key) added or put in place of what was there.
 
-def compact_cache(spark: SparkSession, root: str, version: int, compacted: int | None = None) -> None:
-    full = read_cache(spark, root, version, compacted)
-    full.write.mode("overwrite").parquet(version_path(f"{root}-compacted", version))
+    Doing it again after a failure replaces a partial version.
+    """
+    spark = entries.sparkSession
+    latest, buckets = _manifest(spark, root, version - 1)
+    entries = written(entries.select(*_COLUMNS), "cache_update")
+    touched = [r[0] for r in entries.select(_bucket(buckets)).distinct().collect()]
+    old = _read(spark, root, latest, touched).join(entries.select("cache_key"), "cache_key", "left_anti")
+    _write(old.select(*_COLUMNS).unionByName(entries), root, version, latest, buckets)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from edgelog import session
 from edgelog.operators import metrics
-from edgelog.sources import cache_store, json_lines, logs, triples
+from edgelog.sources import cache_store, json_lines, logs, state, triples
 from edgelog.schemas import CACHE_ENTRIES, METRIC_COLUMNS, REQUEST_LOGS, TRIPLES
 
 DAY = 86_400
@@ -60,16 +60,57 @@ def test_jdbc_reads_ranges_of_ids(spark, monkeypatch):
 
 def test_cache_versions(spark, tmp_path):
     root = str(tmp_path / "cache")
-    changes = [[("a", "{}", 1, 1, 0, 9), ("b", "{}", 1, 1, 0, 9)], [("b", "2", 2, 2, 0, 9)], [("c", "3", 3, 3, 0, 9)]]
-    for version, rows in enumerate(changes):
+    changes = [[("b", "2", 2, 2, 0, 9)], [("c", "3", 3, 3, 0, 9), ("a", "3", 3, 3, 0, 9)], []]
+    first = spark.createDataFrame([("a", "{}", 1, 1, 0, 9), ("b", "{}", 1, 1, 0, 9)], CACHE_ENTRIES)
+    cache_store.write_cache(first, root, buckets=5)
+    for version, rows in enumerate(changes, 1):
         for _ in range(2):  # a repeated version replaces itself
-            cache_store.write_cache(spark.createDataFrame(rows, CACHE_ENTRIES), root, version)
-    cache_store.compact_cache(spark, root, 1)
-    cache_store.compact_cache(spark, root, 2, compacted=1)
-    for compacted in (None, 1, 2):
-        found = {r.cache_key: r.payload for r in cache_store.read_cache(spark, root, 2, compacted).collect()}
-        assert found == {"a": "{}", "b": "2", "c": "3"}
-    assert {r.cache_key: r.payload for r in cache_store.read_cache(spark, root, 0).collect()} == {"a": "{}", "b": "{}"}
+            cache_store.update_cache(spark.createDataFrame(rows, CACHE_ENTRIES), root, version)
+    expected = [{"a": "{}", "b": "{}"}, {"a": "{}", "b": "2"}, {"a": "3", "b": "2", "c": "3"}, {"a": "3", "b": "2", "c": "3"}]
+    for version, entries in enumerate(expected):
+        assert {r.cache_key: r.payload for r in cache_store.read_cache(spark, root, version).collect()} == entries
+    keys = spark.createDataFrame([("a",), ("a",), ("missing",), (None,)], "cache_key string")
+    assert [r.payload for r in cache_store.lookup_cache(spark, root, 3, keys).collect()] == ["3"]
+
+
+def test_empty_cache(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    cache_store.write_cache(spark.createDataFrame([], CACHE_ENTRIES), root)
+    assert cache_store.read_cache(spark, root, 0).collect() == []
+    cache_store.update_cache(spark.createDataFrame([("a", "1", 1, 1, 0, 9)], CACHE_ENTRIES), root, 1)
+    assert [r.payload for r in cache_store.read_cache(spark, root, 1).collect()] == ["1"]
+
+
+def test_an_update_reads_and_writes_the_buckets_of_its_keys(spark, tmp_path):
+    root = str(tmp_path / "cache")
+    cache_store.write_cache(spark.range(4_000).selectExpr(
+        "concat('k', id) AS cache_key", "'{}' AS payload", "1L AS created_at_unix_secs", "1L AS last_success_unix_secs",
+        "0L AS hit_count", "9L AS expires_at_unix_secs"), root, buckets=200)
+    keys = spark.range(25).selectExpr("concat('k', id * 160) AS cache_key")
+    looked_up = cache_store.lookup_cache(spark, root, 0, keys)
+    folders = {f.rsplit("/", 2)[1] for f in looked_up.inputFiles()}
+    assert looked_up.count() == 25 and len(folders) <= 25
+    changed = looked_up.withColumn("payload", F.lit("new"))
+    cache_store.update_cache(changed, root, 1)
+    written = {f.rsplit("/", 2)[1] for f in spark.read.parquet(cache_store.version_path(root, 1)).inputFiles()}
+    assert written == folders
+    whole = cache_store.read_cache(spark, root, 1)
+    assert whole.count() == 4_000 and whole.where("payload = 'new'").count() == 25
+
+
+def test_state_reads_a_snapshot_and_the_deltas_after_it(spark, tmp_path):
+    root, schema = str(tmp_path / "state"), "key string, n long"
+    merge = lambda rows: rows.groupBy("key").agg(F.sum("n").alias("n"))
+    for batch in range(7):
+        rows = spark.createDataFrame([("all", 1), (f"k{batch}", 10)], schema)
+        for _ in range(2):  # a repeated batch replaces itself
+            state.commit_state(rows, root, schema, merge, batch, every=3)
+        assert len(state.state_paths(spark, root, batch)) <= 3
+        found = dict(map(tuple, state.read_state(spark, root, schema, merge, batch).collect()))
+        assert found == {"all": batch + 1} | {f"k{b}": 10 for b in range(batch + 1)}
+    earlier = dict(map(tuple, state.read_state(spark, root, schema, merge, 1).collect()))
+    assert earlier == {"all": 2, "k0": 10, "k1": 10} and state.last_batch(spark, root) == 6
+    assert state.read_state(spark, root, schema, merge, -1).collect() == []
 
 
 def test_series_document_and_error_body(spark):

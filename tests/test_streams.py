@@ -108,44 +108,71 @@ def test_residency_stream_equals_the_batch(spark, tmp_path):
     assert log_stream.read_deltas(spark, root, log_stream.STRETCHES).count() < len(rows)
 
 
-def test_breaker_stream_equals_the_batch(spark, tmp_path):
-    rng = random.Random(4)
-    calls = sorted(
-        [("hot" if rng.random() < 0.5 else "e1", rng.randrange(4_000), seq, rng.random() < 0.3) for seq in range(600)],
-        key=lambda c: (c[1], c[2]),
-    )
+COLUMNS = ["endpoint", "seq", "at_unix_secs", "from_state", "to_state"]
+
+
+def sorted_rows(df):
+    return sorted(map(tuple, df.select(*COLUMNS).collect()))
+
+
+def random_calls(seed, n=600, span=40_000):
+    rng = random.Random(seed)
+    return [
+        ("hot" if rng.random() < 0.5 else rng.choice(["e1", None]), rng.randrange(span), seq, rng.random() < 0.3)
+        for seq in range(n)
+    ]
+
+
+def test_breaker_stream_in_any_order_equals_the_batch(spark, tmp_path):
+    calls = random_calls(4)
+    random.Random(5).shuffle(calls)
     src, root = str(tmp_path / "src"), str(tmp_path / "root")
     write_parts(spark, calls, ORIGIN_CALLS, src, 4)
     stream = log_stream.read_log_stream(spark, src, ORIGIN_CALLS, max_files=1)
     health_stream.breaker_stream(stream, root, str(tmp_path / "cp")).awaitTermination()
-    expected = health.breaker_transitions(spark.createDataFrame(calls, ORIGIN_CALLS))
-    columns = ["endpoint", "seq", "at_unix_secs", "from_state", "to_state"]
-    found = health_stream.read_transitions(spark, root).select(*columns)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select(*columns).collect()))
-    assert health_stream.read_late(spark, root).count() == 0
-
-    # A call from the past goes to the late output; a repeated batch replaces what it wrote.
-    state = {r.endpoint: r for r in health_stream.read_state(spark, root, 4).collect()}
-    odd = [(None, 9, 1_001, False), ("hot", None, 1_002, True), ("hot", 9_999, 1_003, None)]
-    extra = spark.createDataFrame([("hot", 5, 999, False), ("new", 5, 1_000, False), *odd], ORIGIN_CALLS)
-    for _ in range(2):
-        health_stream.fold_batch(extra, 4, root)
-    assert [tuple(r) for r in health_stream.read_late(spark, root).collect()] == [("hot", 5, 999, False)]
-    assert sorted(r.seq for r in health_stream.read_rejected(spark, root).collect()) == [1_002, 1_003]
-    after = {r.endpoint: r for r in health_stream.read_state(spark, root, 5).collect()}
-    assert after[health.DEFAULT_ENDPOINT].failure_count == 1
-    assert after["hot"] == state["hot"] and after["e1"] == state["e1"] and after["new"].failure_count == 1
+    for batch in range(4):  # after every batch the transitions are those of all calls so far
+        so_far = spark.createDataFrame(calls[: 150 * (batch + 1)], ORIGIN_CALLS)
+        expected = sorted_rows(health.breaker_transitions(so_far))
+        assert expected and sorted_rows(health_stream.read_transitions(spark, root, batch)) == expected
+    ends = health.ending_state(health.outcome_runs(spark.createDataFrame(calls, ORIGIN_CALLS)))
+    names = ends.columns
+    found = health_stream.read_endpoints(spark, root, 3).select(*names)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ends.collect()))
+
+
+def test_a_late_call_folds_only_the_hours_it_changes(spark, tmp_path):
+    root = str(tmp_path / "root")
+    # hours 0 to 5: failures, in hour 3 a success after the first failure
+    calls = [("e", h * HOUR + 60 * i, 10 * h + i, h == 3 and i == 1) for h in range(6) for i in range(3)]
+    health_stream.fold_batch(spark.createDataFrame(calls, ORIGIN_CALLS), 0, root)
+    late = [("e", HOUR + 90, 900, True)]  # ends the run in hour 1: what hours 2 and 3 start from changes, not hour 4
+    odd = [("e", None, 901, True), ("e", 5, None, True), ("e", 6, 902, None)]
+    for _ in range(2):  # a repeated batch replaces what it wrote
+        health_stream.fold_batch(spark.createDataFrame(late + odd, ORIGIN_CALLS), 1, root)
+    folded = spark.read.parquet(f"{root}/folded/deltas/batch=1")
+    assert sorted(r.era for r in folded.collect()) == [1, 2, 3]
+    everything = spark.createDataFrame(calls + late, ORIGIN_CALLS)
+    assert sorted_rows(health_stream.read_transitions(spark, root)) == sorted_rows(health.breaker_transitions(everything))
+    assert sorted(str(r.seq) for r in health_stream.read_rejected(spark, root).collect()) == ["901", "902", "None"]
+
+
+def warm_facts(spark):
+    return spark.createDataFrame([("http://dbpedia.org/resource/A", LABEL, "a", "literal", "en", None)], TRIPLES)
+
+
+def warm_logs(rows):
+    return [(i, t, "entity", key, True, False, 1, "c", 200, '{"entity_id":"A"}') for i, (t, key) in enumerate(rows)]
 
 
 def test_periodic_warming(spark, tmp_path):
     root, src = str(tmp_path / "cache"), str(tmp_path / "src")
-    write_cache(spark.createDataFrame([("k0", "old", 0, 0, 3, 9), ("kx", "old", 0, 0, 3, 9)], CACHE_ENTRIES), root, 0)
-    facts = spark.createDataFrame([("http://dbpedia.org/resource/A", LABEL, "a", "literal", "en", None)], TRIPLES)
-    logs = [(i, t, "entity", key, True, False, 1, "c", 200, '{"entity_id":"A"}')
-            for i, (t, key) in enumerate([(10, "k0"), (20, "k1"), (30, "k1"), (100, "k2"), (110, "k2"), (120, "k2")])]
+    write_cache(spark.createDataFrame([("k0", "old", 0, 0, 3, 9), ("kx", "old", 0, 0, 3, 9)], CACHE_ENTRIES), root)
+    logs = warm_logs([(10, "k0"), (20, "k1"), (30, "k1"), (100, "k2"), (110, "k2"), (120, "k2")])
     write_parts(spark, logs, REQUEST_LOGS, src, 2)
     stream = log_stream.read_log_stream(spark, src, max_files=1)
-    warm_stream.warm_stream(stream, facts, root, str(tmp_path / "cp"), k=2, interval=None, min_age=95).awaitTermination()
+    warm_stream.warm_stream(
+        stream, warm_facts(spark), root, str(tmp_path / "cp"), k=2, interval=None, min_age=95
+    ).awaitTermination()
     first = {r.cache_key: r for r in read_cache(spark, root, 1).collect()}
     assert {k: r.created_at_unix_secs for k, r in first.items()} == {"k0": 0, "k1": 30, "kx": 0}  # k0 is too young
     second = {r.cache_key: r for r in read_cache(spark, root, 2).collect()}
@@ -154,3 +181,19 @@ def test_periodic_warming(spark, tmp_path):
     results = [tuple(spark.read.parquet(version_path(f"{root}-results", v)).first()) for v in (1, 2)]
     assert results == [(1, 0), (1, 0)]
     assert {(r.query_hash, r.hits) for r in warm_stream.read_hits(spark, root).collect()} == {("k0", 1), ("k1", 2), ("k2", 3)}
+
+
+def test_what_a_tick_reads_does_not_grow(spark, tmp_path):
+    """Ten ticks: as many files of hits, and of the cache, at the last ones as at the third."""
+    root = str(tmp_path / "cache")
+    write_cache(spark.createDataFrame([], CACHE_ENTRIES), root, buckets=4)
+    files = []
+    for tick in range(10):
+        logs = spark.createDataFrame(warm_logs([(100 * tick + i, f"k{tick}") for i in range(tick + 1)]), REQUEST_LOGS)
+        warm_stream.warm_batch(logs.coalesce(1), tick, warm_facts(spark), root, k=3, every=2)
+        hits = len(warm_stream.read_hits(spark, root, tick).inputFiles())
+        files.append((hits, len(read_cache(spark, root, tick + 1).inputFiles())))
+    assert max(hits for hits, _ in files[3:]) <= max(hits for hits, _ in files[:3]) and max(c for _, c in files) <= 4
+    hits = {r.query_hash: r.hits for r in warm_stream.read_hits(spark, root).collect()}
+    assert hits == {f"k{t}": t + 1 for t in range(10)}
+    assert {r.cache_key for r in read_cache(spark, root, 10).collect()} == {f"k{t}" for t in range(10)}
