@@ -77,7 +77,15 @@ def approved_host(host: Column, hosts=APPROVED_HOSTS, suffixes=APPROVED_SUFFIXES
 
 
 def resolved_path(path: Column) -> Column:
-    """A path without dot segments (a dot may be written ``%2e``); one at the end leaves a slash."""
+    """A path without dot segments (a dot may be written ``%2e``); one at the end leaves a slash.
+
+    Most paths have none and are not taken apart.
+    """
+    has_dots = path.contains("/.") | F.lower(path).contains("/%2e")
+    return F.when(has_dots, _without_dots(path)).otherwise(path)
+
+
+def _without_dots(path: Column) -> Column:
     here, up = (".", "%2e"), ("..", ".%2e", "%2e.", "%2e%2e")
     segments = F.split(path, "/")
 

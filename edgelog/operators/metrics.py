@@ -111,16 +111,25 @@ def timeseries(logs: DataFrame, as_of, window: int = DAY, bucket: int = HOUR) ->
     ).orderBy("observed_at_unix_secs")
 
 
+#: Rows that a step of ``fill_gaps`` makes of one.
+FAN = 256
+
+
 def fill_gaps(points: DataFrame, bucket: int = HOUR) -> DataFrame:
-    """Add zero points for the empty buckets between the first and the last point."""
-    span = points.agg(
-        F.min("observed_at_unix_secs").alias("first"), F.max("observed_at_unix_secs").alias("last")
-    )
-    every = span.select(
-        F.explode(F.sequence("first", "last", F.lit(bucket).cast("bigint"))).alias(
-            "observed_at_unix_secs"
-        )
-    )
+    """Add zero points for the empty buckets between the first and the last point.
+
+    Buckets are counted from the first point and made in three steps, of which each divides a stretch: no row
+    ever holds more than ``FAN`` of them (or one for each ``FAN * FAN`` buckets), and long stretches are dealt over tasks.
+    """
+    last_bucket = F.expr(f"CAST((max(observed_at_unix_secs) - min(observed_at_unix_secs)) div {bucket} AS bigint)")
+    span = points.agg(F.min("observed_at_unix_secs").alias("first"), last_bucket.alias("n"))
+    step = F.lit(FAN * FAN).cast("bigint")
+    wide = span.select("first", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), "n", step)).alias("k"))
+    wide = wide.repartition("k")
+    for size, into in ((FAN * FAN, FAN), (FAN, 1)):
+        until = F.least(F.col("n"), F.col("k") + size - 1)
+        wide = wide.select("first", "n", F.explode(F.sequence(F.col("k"), until, F.lit(into).cast("bigint"))).alias("k"))
+    every = wide.select((F.col("first") + F.col("k") * bucket).alias("observed_at_unix_secs"))
     measures = ["total_requests", "cache_hit_rate", "stale_response_rate", "p95_latency_ms"]
     known = points.select("observed_at_unix_secs", *measures)
     return every.join(known, "observed_at_unix_secs", "left").na.fill(0, measures)

@@ -452,7 +452,11 @@ def _stored_triples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return triples.entity_lookup(_stored_triples(spark, sf), derived.entity_requests(spark, sf))
+    """From a table in buckets of subjects."""
+    path = new_shared_path(spark, "triple_table")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    triple_store.write_triple_table(derived.triples(spark, sf), name, path)
+    return triples.entity_lookup(triple_store.read_triple_table(spark, name), derived.entity_requests(spark, sf))
 
 
 def stored_label_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -564,8 +568,7 @@ def stream_timeseries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    days = log_stream.rolling_histogram(_hours(spark, sf, "stream_rolling"))
-    return metrics.summarize_histogram(days, "window_end_unix_secs")
+    return log_stream.rolling_points(_hours(spark, sf, "stream_rolling"))
 
 
 def stream_residency(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from edgelog.operators.cache import TTL, access_stretches, lifetimes
-from edgelog.operators.metrics import COUNTS, DAY, HOUR, bucket_histogram, merge_histograms
+from edgelog.operators.metrics import COUNTS, DAY, HOUR, bucket_histogram, merge_histograms, summarize_histogram
 from edgelog.schemas import REQUEST_LOGS
 from edgelog.sources.logs import write_log_batch
 
@@ -131,13 +131,44 @@ def read_hourly_histogram(spark: SparkSession, root: str, compacted: int | None
 def rolling_histogram(hours: DataFrame, window: int = DAY) -> DataFrame:
     """Histogram of the ``window`` that ends at each full hour, from the histogram of the hours.
 
-    Only histogram rows are put into all the windows they are in, not the requests.
+    An hour's counts come into the running histogram when the hour ends and leave it a window later, so at most three rows
+    are shuffled for each row of an hour: window ends are divided into parts of a window's length, of which an hour
+    reaches two, and into the second it is carried over. Everything else happens inside a part (column ``part``).
     """
-    ends = F.transform(
-        F.sequence(F.lit(1), F.lit(window // HOUR)), lambda k: F.col("observed_at_unix_secs") + k * HOUR
+    length = max(window, DAY)
+    begins = F.col("observed_at_unix_secs") + HOUR
+    leaves = begins + window
+    first, last = F.floor(begins / length), F.floor((leaves - HOUR) / length)
+
+    def change(part, at, sign: int):
+        return F.struct(part.alias("part"), at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+
+    changes = F.array(
+        change(first, begins, 1),
+        F.when(last > first, change(last, last * length, 1)),
+        F.when(F.floor(leaves / length) == last, change(last, leaves, -1)),
     )
-    placed = hours.withColumn("window_end_unix_secs", F.explode(ends))
-    return merge_histograms(placed, "window_end_unix_secs")
+    placed = hours.select("latency_ms", *COUNTS, F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c"))
+    placed = placed.select("c.part", "c.at", "latency_ms", *[(F.col(c) * F.col("c.sign")).alias(c) for c in COUNTS])
+    summed = placed.repartition("part").groupBy("part", "latency_ms", "at").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    order = Window.partitionBy("part", "latency_ms").orderBy("at")
+    running = summed.select(
+        "part",
+        "latency_ms",
+        "at",
+        F.lead("at").over(order).alias("next"),
+        *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c) for c in COUNTS],
+    )
+    until = F.coalesce("next", (F.col("part") + 1) * length) - HOUR
+    ends = F.sequence(F.col("at"), until.cast("long"), F.lit(HOUR).cast("long"))
+    return running.where("total_requests > 0").select(
+        "part", F.explode(ends).alias("window_end_unix_secs"), "latency_ms", *COUNTS
+    )
+
+
+def rolling_points(hours: DataFrame, window: int = DAY) -> DataFrame:
+    """Counts, rates and percentiles of the ``window`` that ends at each full hour; no further shuffle."""
+    return summarize_histogram(rolling_histogram(hours, window), "part", "window_end_unix_secs").drop("part")
 
 
 def residency_stream(

@@ -157,3 +157,21 @@ def test_top_k_is_taken_per_task(spark):
     logs = spark.createDataFrame([("entity", "h", '{"entity_id":"A"}')], LOG)
     plan = popular.popular_entities(logs)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_gaps_of_fifty_years_are_filled_in_small_steps(spark):
+    """438,000 hours: all of them, each once, and no array in a row of more than a few hundred."""
+    first, hours = 7_200, 50 * 365 * 24
+    rows = [(first, 5, 0.5, 0.0, 9), (first + 3_600 * hours, 2, 0.0, 1.0, 7), (first + 3_600 * 66_000, 1, 0.0, 0.0, 1)]
+    schema = "observed_at_unix_secs long, total_requests long, cache_hit_rate double, stale_response_rate double, p95_latency_ms long"
+    filled = metrics.fill_gaps(spark.createDataFrame(rows, schema))
+    at = F.col("observed_at_unix_secs")
+    assert filled.agg(F.count("*"), F.count_distinct(at), F.min(at), F.max(at), F.sum(at % 3_600)).first() == (
+        hours + 1, hours + 1, first, first + 3_600 * hours, 0,
+    )
+    assert sorted(map(tuple, filled.where("total_requests > 0").collect())) == sorted(rows)
+    assert filled.where("total_requests = 0 AND p95_latency_ms = 0 AND cache_hit_rate = 0").count() == hours - 2
+    assert metrics.fill_gaps(spark.createDataFrame([], schema)).collect() == []
+    one = metrics.fill_gaps(spark.createDataFrame(rows[:1], schema)).collect()
+    assert [tuple(r) for r in one] == rows[:1]
+    assert max(metrics.FAN, -(-hours // metrics.FAN**2)) <= 256

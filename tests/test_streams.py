@@ -82,6 +82,25 @@ def test_hourly_and_rolling_series_equal_the_batch(spark, tmp_path):
             assert tuple(row)[1:] == tuple(metrics.summarize_histogram(metrics.latency_histogram(inside)).first())
 
 
+def test_rolling_windows_shuffle_three_rows_for_each(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(h * HOUR, ms, rng.randrange(1, 5), 1, 0, 1) for h in (*range(60), 100, 101, 300) for ms in rng.sample(range(20), 8)]
+    spark.createDataFrame(rows, log_stream.HISTOGRAM).write.parquet(str(tmp_path / "hours"))
+    hours = spark.read.schema(log_stream.HISTOGRAM).parquet(str(tmp_path / "hours"))
+    for window in (24 * HOUR, 5 * HOUR, 72 * HOUR):
+        points = log_stream.rolling_points(hours, window)
+        plan = points._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        found = {r.window_end_unix_secs: r for r in points.collect()}
+        ends = {h + k for h in {r[0] for r in rows} for k in range(HOUR, window + HOUR, HOUR)}
+        assert set(found) == ends
+        for end in rng.sample(sorted(ends), 40):
+            inside = sorted((r[1], r[2]) for r in rows if end - window <= r[0] < end)
+            latencies = [ms for ms, n in inside for _ in range(n)]
+            assert found[end].total_requests == len(latencies)
+            assert found[end].p95_latency_ms == latencies[-(-len(latencies) * 95 // 100) - 1]
+
+
 def test_late_rows_and_open_hours_are_counted(spark, tmp_path):
     first = [(1, 100, "entity", "k", True, False, 1, "c", 200, "{}"), (2, 9 * HOUR, "entity", "k", True, False, 1, "c", 200, "{}")]
     late = [(3, 200, "entity", "k", True, False, 1, "c", 200, "{}"), (4, 12 * HOUR, "entity", "k", True, False, 1, "c", 200, "{}")]

@@ -151,3 +151,33 @@ def test_label_index_reads_only_the_rarest_grams(spark, tmp_path):
         label_index._read = read
     assert [name for name, _ in reads] == ["lengths", "postings", "texts"]
     assert len(reads[0][1]) <= 4 and len(reads[1][1]) == 1 and len(reads[2][1]) == 1
+
+
+def test_a_lookup_in_a_table_by_subjects_does_not_shuffle_the_triples(spark, tmp_path):
+    from edgelog.sources.triples import read_triple_table, write_triple_table
+
+    facts = random_facts(random.Random(8))
+    name = f"triples_{tmp_path.name}".replace("-", "_")
+    write_triple_table(spark.createDataFrame(facts, TRIPLES), name, str(tmp_path / "table"))
+    requests = [(s, lang) for s in ["hot", "s1", "s2", "missing"] for lang in ("en", "de")]
+    asked = spark.createDataFrame(requests, "subject string, lang string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = triples.entity_lookup(read_triple_table(spark, name), asked)
+        assert sorted(map(tuple, found.collect()), key=low) == model_lookup(facts, requests, 50)
+        lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {name}")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line]
+    assert len(scans) == 3
+    for i in scans:  # from a scan upwards the first operator that moves rows or joins them is the semi join
+        above, level = [], depth(lines[i])
+        for line in reversed(lines[:i]):
+            if depth(line) < level:
+                above.append(line.lstrip(" :+-"))
+                level = depth(line)
+        moved = next(line for line in above if line.startswith(("Exchange", "SortMergeJoin", "ShuffledHashJoin")))
+        assert "LeftSemi" in moved, above
