@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b: bigint) to rows (a, b) in which b is the smallest node of the component of a, without a = b."""
+    """``edges`` (a, b of one type that has an order) to rows (a, b) in which b is the smallest node of the component of a, without a = b."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     edges, before = kept(edges), None
     while True:

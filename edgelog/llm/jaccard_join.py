@@ -14,7 +14,8 @@
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, without case. A text of fewer than ``WORDS`` words has
 one n-gram, all its words; a text without words resembles nothing. Rows without an id take no part: no class, no
-links. Rows of one id count as one document.
+links. Rows of one id are one document, also with different texts: they are in one class, and its links are those of
+all its different texts together. Links are counted between rows, so a repeated row is a link, too.
 """
 
 from __future__ import annotations
@@ -44,14 +45,15 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, reca
     return depth
 
 
-def _set_keys(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit sums for each set; equal sets have equal sums."""
+def _set_keys(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Two 64-bit sums for each set, as 16 bytes; equal sets have equal ones."""
     ends = np.cumsum(counts)
-    out = []
-    for seed in (_U64(0x1234567), _U64(0x89ABCDEF)):
+    out = np.zeros((len(counts), 2), _U64)
+    for k, seed in enumerate((_U64(0x1234567), _U64(0x89ABCDEF))):
         total = np.concatenate([np.zeros(1, _U64), np.cumsum(mix(hashes ^ seed), dtype=_U64)])
-        out.append((total[ends] - total[ends - counts]).view(np.int64))
-    return out
+        out[:, k] = total[ends] - total[ends - counts]
+    data = out.astype(">u8").tobytes()
+    return [data[16 * i : 16 * i + 16] for i in range(len(counts))]
 
 
 def _prefixes(hashes: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -65,7 +67,7 @@ def _prefixes(hashes: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray
     return out.view(np.int64)
 
 
-SIGNED = "doc_id bigint, key1 bigint, key2 bigint, n int, prefixes array<bigint>"
+SIGNED = "doc_id bigint, digest bigint, keys binary, prefixes array<bigint>"
 
 
 def _sign(docs: DataFrame, words: int, length: int) -> DataFrame:
@@ -75,55 +77,55 @@ def _sign(docs: DataFrame, words: int, length: int) -> DataFrame:
             some = counts > 0
             if not some.any():
                 continue
-            keys = [k[some] for k in _set_keys(hashes, counts)]
+            keys = [k for k, own in zip(_set_keys(hashes, counts), some.tolist()) if own]
             prefixes = pa.FixedSizeListArray.from_arrays(
                 pa.array(_prefixes(hashes, counts[some], length).ravel()), TREES
             ).cast(pa.list_(pa.int64()))
-            columns = [batch.column("doc_id").filter(pa.array(some)), *map(pa.array, keys)]
-            columns += [pa.array(counts[some].astype(np.int32)), prefixes]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key1", "key2", "n", "prefixes"])
+            columns = [batch.column(c).filter(pa.array(some)) for c in ("doc_id", "digest")]
+            columns += [pa.array(keys, pa.binary()), prefixes]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "keys", "prefixes"])
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(sign, SIGNED)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """rep and nodes: the trie nodes (tree, prefix, texts in it) that a class shares with others, one of equal ones."""
-    tries = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
+    """keys and nodes: the trie nodes (tree, prefix, texts in it) that a class shares with others, one of equal ones."""
+    tries = classes.select("keys", F.posexplode("prefixes").alias("tree", "prefix"))
     nodes = tries.groupBy("tree", "prefix").agg(
-        F.count("*").alias("texts"), F.sum(F.xxhash64("rep") % 1_000_000_007).alias("who"), F.bit_xor(F.xxhash64("rep")).alias("whose")
+        F.count("*").alias("texts"), F.sum(F.xxhash64("keys") % 1_000_000_007).alias("who"), F.bit_xor(F.xxhash64("keys")).alias("whose")
     )
     nodes = nodes.where("texts > 1").groupBy("texts", "who", "whose").agg(F.min(F.struct("tree", "prefix")).alias("node"))
     nodes = nodes.select("node.tree", "node.prefix", "texts")
     shared = tries.join(nodes, ["tree", "prefix"])
-    return shared.groupBy("rep").agg(F.collect_list(F.struct("tree", "prefix", "texts")).alias("nodes"))
+    return shared.groupBy("keys").agg(F.collect_list(F.struct("tree", "prefix", "texts")).alias("nodes"))
 
 
-TILED = "node binary, side int, rep bigint, copies bigint, members binary, prefixes binary"
+TILED = "node binary, side int, keys binary, copies bigint, members binary, prefixes binary"
 
 
 def _tiles(texts: DataFrame, words: int) -> DataFrame:
     """Each candidate's set, once for every group of two tiles that its tile is in."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "side", "rep", "copies", "members", "prefixes"]
-        types = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["node", "side", "keys", "copies", "members", "prefixes"]
+        types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for batch in slices(batches):
             hashes, counts = shingle_sets(batch.column("text"), words)
-            keys = list(zip(*(k.tolist() for k in _set_keys(hashes, counts))))
+            found = _set_keys(hashes, counts)
             ends = np.cumsum(counts)
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "key1", "key2", "copies", "prefixes", "nodes"))
+            columns = (batch.column(c).to_pylist() for c in ("keys", "copies", "prefixes", "nodes"))
             rows = []
-            for i, (rep, key1, key2, copies, prefixes, nodes) in enumerate(zip(*columns)):
-                if keys[i] != (key1, key2):
-                    continue  # another row of this id
+            for i, (keys, copies, prefixes, nodes) in enumerate(zip(*columns)):
+                if found[i] != keys:
+                    continue  # another text of this id, with an equal digest
                 members = hashes[ends[i] - counts[i] : ends[i]].tobytes()
                 packed = np.array(prefixes, np.int64).tobytes()
                 for node in nodes:
                     tiles = -(-node["texts"] // TILE)
-                    own = int(mix(np.array([rep], np.int64).view(_U64))[0] % _U64(tiles))
+                    own = int(mix(np.frombuffer(keys[:8], ">u8").astype(_U64))[0] % _U64(tiles))
                     for other in range(tiles):
                         pair = (node["tree"], node["prefix"], min(own, other), max(own, other))
-                        rows.append((np.array(pair, np.int64).tobytes(), own, rep, copies, members, packed))
+                        rows.append((np.array(pair, np.int64).tobytes(), own, keys, copies, members, packed))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -149,11 +151,11 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
-def _compare(rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
-    """rep, links, root of the texts of a group that have links; the links of each pair are counted in one group."""
+def _compare(rows: list[tuple], threshold: float) -> list[tuple[bytes, int, bytes]]:
+    """keys, links, root of the texts of a group that have links; the links of each pair are counted in one group."""
     tree, _, tile_a, tile_b = np.frombuffer(rows[0][0], np.int64).tolist()
     unique = {r[2]: r for r in rows}
-    rows = [unique[rep] for rep in sorted(unique)]
+    rows = [unique[keys] for keys in sorted(unique)]
     sets = [np.frombuffer(r[4], _U64) for r in rows]
     sizes, side = np.array([len(s) for s in sets]), np.array([r[1] for r in rows])
     overlap = _overlaps(sets)
@@ -183,9 +185,10 @@ def _compare(rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
 
 def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        def packed(found: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
             columns = zip(*found) if found else [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "root"])
+            types = (pa.binary(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["keys", "links", "root"])
 
         group: list[tuple] = []
         for batch in batches:
@@ -200,37 +203,53 @@ def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
             yield packed(_compare(group, threshold))
 
     tiles = tiles.repartition("node").sortWithinPartitions("node")
-    return tiles.mapInArrow(verify, "rep bigint, links bigint, root bigint")
+    return tiles.mapInArrow(verify, "keys binary, links bigint, root binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the group of near duplicates), copy_of (smallest doc_id with the same set)
     and n_links (documents with a similarity of at least ``threshold``, without itself) for every row with an id."""
-    docs = texts_of(docs)
+    docs = texts_of(docs).withColumn("digest", F.xxhash64("text"))
     signed = kept(_sign(docs, words, prefix_length(threshold)))
-    classes = signed.groupBy("key1", "key2").agg(
-        F.min("doc_id").alias("rep"),
+    classes = signed.groupBy("keys").agg(
+        F.min(F.struct("doc_id", "digest")).alias("rep"),
         F.count("*").alias("copies"),
         F.first("prefixes").alias("prefixes"),  # the same in all rows of a class
     )
-    classes = kept(classes)
-    candidates = classes.join(_candidates(classes), "rep").withColumnRenamed("rep", "doc_id")
-    texts = docs.join(candidates.hint("shuffle_hash"), "doc_id")
+    classes = kept(classes.select("keys", "rep.*", "copies", "prefixes"))
+    candidates = classes.join(_candidates(classes), "keys")
+    texts = docs.join(candidates.hint("shuffle_hash"), ["doc_id", "digest"])
     links = kept(_verify(_tiles(texts, words), threshold))
-    groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("key1", "key2", "rep", "copies").join(counted, "rep", "left")
-    known = known.join(groups.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select(
-        "key1",
-        "key2",
-        F.col("rep").alias("copy_of"),
-        F.coalesce("root", "rep").alias("class_id"),
+    counted = links.groupBy("keys").agg(F.sum("links").alias("links"))
+
+    # An id with several different texts unites their classes and has the links of all of them.
+    several = signed.groupBy("doc_id").agg(F.min("keys").alias("first"), F.max("keys").alias("last")).where("first != last")
+    several = kept(signed.select("doc_id", "keys").join(several.select("doc_id", "first"), "doc_id").distinct())
+    edges = links.select(F.col("keys").alias("a"), F.col("root").alias("b"))
+    groups = components(edges.unionByName(several.select(F.col("keys").alias("a"), F.col("first").alias("b"))))
+    members = groups.select(F.col("a").alias("keys"), F.col("b").alias("root"))
+    members = members.unionByName(groups.select(F.col("b").alias("keys"), F.col("b").alias("root")).distinct())
+    members = members.join(classes.select("keys", "doc_id"), "keys")
+    named = members.join(members.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("keys", "class_id")
+    known = classes.select("keys", "doc_id", "copies").join(counted, "keys", "left").join(named, "keys", "left").select(
+        "keys",
+        F.col("doc_id").alias("copy_of"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    found = signed.select("doc_id", "key1", "key2").join(known, ["key1", "key2"])
-    alone = docs.select("doc_id").where("doc_id IS NOT NULL").join(found.select("doc_id"), "doc_id", "left_anti")
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("bigint").alias("n_links"))
-    return found.select("doc_id", "class_id", "copy_of", "n_links").unionByName(alone)
+    together = several.join(known.select("keys", "n_links"), "keys").groupBy("doc_id").agg(F.sum("n_links").alias("all_links"))
+    found = signed.select("doc_id", "keys").join(known, "keys").join(together, "doc_id", "left")
+    found = found.select("doc_id", "class_id", "copy_of", F.coalesce("all_links", "n_links").alias("n_links"))
+    # Rows without words: alone, unless another row of their id has a class.
+    ids = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    has_words = F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    alone = docs.where(F.col("doc_id").isNotNull() & ~has_words).select("doc_id").join(ids, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.col("doc_id").alias("copy_of"),
+        F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+    )
+    return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:

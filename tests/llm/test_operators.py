@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import hits, kept_words, levenshtein, maximal_segments, near_duplicates
-from odd import documents
+from odd import documents, text_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -69,6 +69,18 @@ def test_near_duplicates_of_odd_ids(spark):
     assert sorted(r[0] or 0 for r in rows_of(kept)) == [0, 5, 5, 8, 9]
 
 
+def test_one_id_with_several_texts(spark):
+    """They are one document: its classes are one, and no link of any of its texts is lost."""
+    draw = random.Random(11)
+    a, b, c = (text_of(draw, 60) for _ in range(3))
+    docs = documents(spark, [(5, a), (5, b), (7, a + " word"), (8, b + " word"), (9, c), (5, None), (4, c + " word"), (6, "")])
+    found = sorted(rows_of(jaccard_join.near_duplicates(docs)))
+    assert found == [
+        (4, 4, 4, 1), (5, 5, 5, 2), (5, 5, 5, 2), (5, 5, 5, 2), (6, 6, 6, 0), (7, 5, 7, 1), (8, 5, 8, 1), (9, 4, 9, 1),
+    ]
+    assert sorted(r[0] for r in rows_of(jaccard_join.keep_one(docs))) == [4, 5, 5, 5, 6]
+
+
 def test_prefixes_are_shortened_until_the_recall_is_met():
     assert jaccard_join.prefix_length(0.8) == 4
     assert jaccard_join.prefix_length(0.8, recall=0.9) == 6
