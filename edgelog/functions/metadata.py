@@ -14,6 +14,21 @@ def meta(metadata: Column, key: str) -> Column:
     return F.get_json_object(metadata, f"$.{key}")
 
 
+def typed(metadata: Column) -> Column:
+    """JSON text as a VARIANT, to be parsed once where rows come in; null for text that is no JSON or repeats a member."""
+    return F.try_parse_json(metadata)
+
+
+def typed_has_key(metadata: Column, key: str) -> Column:
+    """``has_key`` of a VARIANT."""
+    return F.try_variant_get(metadata, f"$.{key}", "variant").isNotNull()
+
+
+def typed_meta(metadata: Column, key: str) -> Column:
+    """``meta`` of a VARIANT."""
+    return F.try_variant_get(metadata, f"$.{key}", "string")
+
+
 def is_json(text: Column) -> Column:
     """True for text that holds exactly one JSON value; members of an object may repeat.
 

@@ -539,3 +539,6 @@ ORACLES["stored_triple_pattern"] = ORACLES["triple_pattern_bound"]
 ORACLES["log_roundtrip"] = ORACLES["scan_request_logs"]
 ORACLES["stored_cache_upsert"] = ORACLES["cache_upsert"]
 ORACLES["stored_fresh_view"] = ORACLES["cache_fresh_view"]
+ORACLES["typed_key_exists"] = ORACLES["json_key_exists"]
+ORACLES["typed_metadata_fields"] = ORACLES["metadata_fields"]
+ORACLES["typed_entity_hits"] = ORACLES["entity_hits"]

@@ -75,6 +75,33 @@ def metadata_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _typed_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored log whose metadata was parsed when it came in."""
+    path = new_shared_path(spark, "typed_logs")
+    log_store.append_request_logs(log_store.with_typed_metadata(derived.request_logs(spark, sf)), path)
+    return log_store.open_logs(spark, path, typed_metadata=True)
+
+
+def typed_key_exists(spark: SparkSession, sf: str) -> DataFrame:
+    column = F.col("metadata")
+    return _typed_logs(spark, sf).select(
+        "id",
+        metadata.typed_has_key(column, "entity_id").alias("has_entity_id"),
+        metadata.typed_has_key(column, "endpoint").alias("has_endpoint"),
+        metadata.typed_meta(column, "endpoint").isNotNull().alias("endpoint_is_set"),
+    )
+
+
+def typed_metadata_fields(spark: SparkSession, sf: str) -> DataFrame:
+    column = F.col("metadata")
+    return _typed_logs(spark, sf).select(
+        "id",
+        metadata.typed_meta(column, "entity_id").alias("entity_id"),
+        F.coalesce(metadata.typed_meta(column, "lang"), F.lit("en")).alias("lang"),
+        metadata.typed_meta(column, "endpoint").alias("endpoint"),
+    )
+
+
 # --- metrics -----------------------------------------------------------------------------------
 
 
@@ -397,6 +424,10 @@ def entity_hits(spark: SparkSession, sf: str) -> DataFrame:
     return popular.entity_hits(derived.request_logs(spark, sf))
 
 
+def typed_entity_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return popular.entity_hits(_typed_logs(spark, sf))
+
+
 def warm_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = derived.logs(spark, sf)
     return warm.skip_recent(
@@ -619,6 +650,9 @@ QUERIES = {
         log_narrowing,
         window_filter,
         json_key_exists,
+        typed_key_exists,
+        typed_metadata_fields,
+        typed_entity_hits,
         metadata_fields,
         metrics_summary_24h,
         metrics_summary_7d,

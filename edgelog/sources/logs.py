@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgelog.functions.metadata import typed
 from edgelog.functions.numeric import as_column
 from edgelog.schemas import METRIC_COLUMNS, REQUEST_LOGS
 
@@ -31,9 +32,16 @@ def metric_rows(logs: DataFrame, since=None) -> DataFrame:
     return logs.select(*METRIC_COLUMNS)
 
 
-def open_logs(spark: SparkSession, path: str) -> DataFrame:
+def with_typed_metadata(logs: DataFrame) -> DataFrame:
+    """Log rows whose ``metadata`` is a VARIANT; a log has either these rows or such with JSON text."""
+    return logs.withColumn("metadata", typed(F.col("metadata")))
+
+
+def open_logs(spark: SparkSession, path: str, typed_metadata: bool = False) -> DataFrame:
     """All columns of a log written by ``append_request_logs`` and ``ingest_stream``."""
     schema = REQUEST_LOGS.simpleString()[len("struct<") : -1].replace(":", " ")
+    if typed_metadata:
+        schema = schema.replace("metadata string", "metadata variant")
     return spark.read.schema(schema + ", observed_date date, batch string").parquet(path).drop("batch")
 
 
