@@ -87,11 +87,13 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
 
 
 def grams(text: Column, length: int) -> Column:
-    """Distinct runs of ``length`` characters; the empty one for 0."""
+    """Distinct runs of ``length`` characters; the empty one for 0.
+
+    One pass, since matches of a lookahead take up no text; cutting at every place would begin at the text's start each time.
+    """
     if not length:
         return F.array(F.lit(""))
-    runs = F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda at: F.substring(text, at, F.lit(length)))
-    return F.when(F.length(text) >= length, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
 
 
 def search_needles(queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
@@ -189,7 +191,9 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     """
     needles = search_needles(queries, limit)
     wanted = wanted_grams(needles)
-    labels = label_texts(triples)
+    # By subject, as the comparison with the texts needs them, and in as many parts as a shuffle has: few bytes make many grams.
+    parts = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = label_texts(triples).repartition(parts, "subject", "lang")
     postings = written(label_postings(labels, wanted), "label_postings")
     lengths = postings.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     candidates = search_candidates(needles, rarest_grams(wanted, lengths), postings)

@@ -56,7 +56,9 @@ def _write(rows: DataFrame, path: str, key: str, order: list[str], delta: int) -
 
 def add_to_label_index(triples: DataFrame, root: str, delta: int) -> None:
     """Add the labels and abstracts of new triples; doing it again with the same number replaces them."""
-    postings = written(label_postings(label_texts(triples)), "postings").withColumn("part", _part())
+    parts = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = label_texts(triples).repartition(parts, "subject", "lang")  # few bytes make many grams
+    postings = written(label_postings(spread), "postings").withColumn("part", _part())
     _write(postings, f"{root}/postings", "part", ["lang", "gram", "subject"], delta)
     lengths = postings.groupBy("part", "lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     _write(lengths, f"{root}/lengths", "part", ["lang", "gram"], delta)
