@@ -47,12 +47,8 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
     of them has one row of nulls. The first ``limit`` combinations only use the first ``limit`` labels,
     abstracts and facts, so each list is cut before it is joined, and the joins keep no combination
     whose place is beyond the limit: an entity never grows past ``limit`` rows per list.
-
-    Triples of other subjects go before anything is put in order. Where they lie in buckets of subjects, the
-    requests are brought to them.
     """
     wanted = requests.select("subject", "lang").distinct()
-    triples = triples.join(wanted.select("subject").distinct(), "subject", "left_semi")
     labels = _literals(triples, LABEL, "label", limit)
     abstracts = _literals(triples, ABSTRACT, "abstract", limit)
     facts = _ranked(

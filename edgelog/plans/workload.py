@@ -487,7 +487,8 @@ def stored_entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "triple_table")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     triple_store.write_triple_table(derived.triples(spark, sf), name, path)
-    return triples.entity_lookup(triple_store.read_triple_table(spark, name), derived.entity_requests(spark, sf))
+    requests = derived.entity_requests(spark, sf)
+    return triples.entity_lookup(triple_store.read_triple_table(spark, name, requests), requests)
 
 
 def stored_label_search(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,5 +36,7 @@ def write_triple_table(triples: DataFrame, name: str, path: str | None = None, b
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
-def read_triple_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name).select(*TRIPLES.fieldNames())
+def read_triple_table(spark: SparkSession, name: str, subjects: DataFrame | None = None) -> DataFrame:
+    """The triples, or those of ``subjects(subject)``: these are brought to the buckets, before anything is put in order."""
+    rows = spark.table(name).select(*TRIPLES.fieldNames())
+    return rows if subjects is None else rows.join(subjects.select("subject").distinct(), "subject", "left_semi")

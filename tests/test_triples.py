@@ -164,7 +164,7 @@ def test_a_lookup_in_a_table_by_subjects_does_not_shuffle_the_triples(spark, tmp
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = triples.entity_lookup(read_triple_table(spark, name), asked)
+        found = triples.entity_lookup(read_triple_table(spark, name, asked), asked)
         assert sorted(map(tuple, found.collect()), key=low) == model_lookup(facts, requests, 50)
         lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
     finally:
