@@ -27,7 +27,7 @@ TOKEN = re.compile(r'token = "([0-9a-fA-F]{40})"', re.IGNORECASE)
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
