@@ -6,15 +6,22 @@ unlabelled documents of which one of them is sure (probability of at least ``SUR
 set of the other. In the end the logits of both views are calibrated and combined by a regression on labelled
 documents that neither view was fitted on. All documents are scored.
 
-Fitting uses samples of about ``LABELLED`` labelled and ``UNLABELLED`` other documents, chosen by a hash of their ids, so their
-size is bounded whatever the input. Without labels of both kinds every document gets the share of good
-labels (1 if there are none).
+Every round scores all unlabelled documents. Of the sure ones that no round has taken yet it takes about ``TAKE`` for
+each view, class and source slot, chosen by a hash, so that a source with most of the documents teaches no more
+than another and what the driver holds is bounded whatever the input. The labelled documents are about ``LABELLED`` rows, chosen
+by a hash too. Features of both views are computed once and written as a small table (about 100 bytes a document),
+which all rounds read.
+
+Nulls in any column and empty texts have features like other values. Rows of one id that are equal in both views count
+once in learning; rows without id teach nothing. Several labels of one id count as the lowest. Columns beyond the views' are not
+looked at. All documents are scored, also those. Without labels of both kinds every document gets the share of
+good labels (1 if there are none).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelog.llm.models import Logistic, sigmoid
-from edgelog.llm.shared import buffers, hash_words, prepare_workers, slices
+from edgelog.llm.shared import buffers, hash_words, kept, prepare_workers, slices
 
-LABELLED, UNLABELLED = 20_000, 20_000
+#: About so many labelled rows are fitted on; so many pseudo-labels a round for each view, class and source slot.
+LABELLED, TAKE = 20_000, 200
 ROUNDS, SURE = 3, 0.97
+TEXT_FEATURES = 9
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper, 2 lower or beyond ASCII, 3 digit, 4 usual mark, 5 other symbol
@@ -71,18 +80,33 @@ def text_features(batch: pa.RecordBatch) -> np.ndarray:
     )
 
 
-def metadata_features(batch: pa.RecordBatch) -> np.ndarray:
+def metadata_codes(batch: pa.RecordBatch) -> np.ndarray:
+    """A row for each document: slots of source and language, logarithm of the length."""
+    columns = (("source", SOURCE_SLOTS), ("lang", LANG_SLOTS))
+    codes = [[zlib.crc32((v or "").encode()) % slots for v in batch.column(c).to_pylist()] for c, slots in columns]
+    length = np.maximum(batch.column("n_chars").fill_null(0).to_numpy(zero_copy_only=False), 0)
+    return np.column_stack([*np.array(codes, float).reshape(2, -1), np.log1p(length)])
+
+
+def metadata_features(codes: np.ndarray) -> np.ndarray:
     """Source and language as hashed indicators, and the logarithm of the length."""
-    rows = batch.num_rows
-    out = np.zeros((rows, SOURCE_SLOTS + LANG_SLOTS + 2))
-    for column, base, slots in (("source", 0, SOURCE_SLOTS), ("lang", SOURCE_SLOTS, LANG_SLOTS)):
-        values = [zlib.crc32((v or "").encode()) % slots for v in batch.column(column).to_pylist()]
-        out[np.arange(rows), base + np.array(values, int)] = 1
-    length = np.log1p(np.maximum(batch.column("n_chars").fill_null(0).to_numpy(zero_copy_only=False), 0))
-    out[:, -2], out[:, -1] = length, length**2
+    rows = np.arange(len(codes))
+    out = np.zeros((len(codes), SOURCE_SLOTS + LANG_SLOTS + 2))
+    out[rows, codes[:, 0].astype(int)] = 1
+    out[rows, SOURCE_SLOTS + codes[:, 1].astype(int)] = 1
+    out[:, -2], out[:, -1] = codes[:, 2], codes[:, 2] ** 2
     return out
 
 
+def _views(rows: np.ndarray) -> list[np.ndarray]:
+    """Features of the text and of the metadata, from rows of text features and codes."""
+    return [rows[:, :-3], metadata_features(rows[:, -3:])]
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist())).reshape(len(rows), TEXT_FEATURES + 3)
+
+
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.int64()]
 
 
@@ -113,20 +137,22 @@ class CoTrained:
     def __init__(self, share: float):
         self.share, self.views, self.joint, self.taken = share, None, None, 0
 
-    def fit(self, x: list[np.ndarray], y: np.ndarray, check: np.ndarray, pool: list[np.ndarray]) -> CoTrained:
-        """x, pool: features of each view; ``check`` marks labelled rows that are kept for calibration."""
-        own = [([v[~check]], [y[~check]]) for v in x]
-        free = np.ones(len(pool[0]), bool)
-        for _ in range(ROUNDS + 1):
+    def fit(self, rows: np.ndarray, y: np.ndarray, check: np.ndarray, take: Callable) -> CoTrained:
+        """rows: labelled documents, of which ``check`` marks those that are kept for calibration.
+
+        ``take`` finds sure unlabelled documents for the two views of a round: rows, pseudo-labels, and which view is sure.
+        """
+        own = [([v[~check]], [y[~check]]) for v in _views(rows)]
+        for done in range(ROUNDS + 1):
             self.views = [Logistic().fit(np.concatenate(a), np.concatenate(b)) for a, b in own]
-            for k, view in enumerate(self.views):
-                p = view.predict(pool[k])
-                sure = free & ((p >= SURE) | (p <= 1 - SURE))
-                own[1 - k][0].append(pool[1 - k][sure])
-                own[1 - k][1].append((p[sure] > 0.5).astype(float))
-                free &= ~sure
-        self.taken = int((~free).sum())
-        self.joint = Logistic(0.1).fit(self._logits([v[check] for v in x]), y[check])
+            if done == ROUNDS:
+                break
+            found, label, teacher = take(self.views)
+            self.taken += len(found)
+            for k, features in enumerate(_views(found)):
+                own[k][0].append(features[teacher != k])
+                own[k][1].append(label[teacher != k])
+        self.joint = Logistic(0.1).fit(self._logits(_views(rows[check])), y[check])
         return self
 
     def _logits(self, x: list[np.ndarray]) -> np.ndarray:
@@ -140,50 +166,72 @@ class CoTrained:
         return np.column_stack([self.joint.predict(logits), sigmoid(logits)])
 
 
-def _sample(ids: DataFrame, size: int) -> DataFrame:
-    """About ``size`` rows by hash of doc_id, all if there are fewer; never more than about that."""
-    n = ids.count()
-    kept = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) * n < size * 1_000_000)
-    return F.broadcast(kept)
+def _by_hash(rows: DataFrame, seed: int, size: int, of: Column) -> DataFrame:
+    """About ``size`` of ``of`` rows by a hash of their key, all if there are fewer."""
+    return rows.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) * of < size * 1_000_000)
 
 
-def _features(docs: DataFrame) -> np.ndarray:
-    """Collected rows of features of both views, after the label (of a bounded sample)."""
+def feature_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, row (text features and metadata codes as doubles), good (null without a label); repeated rows once."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = np.column_stack([batch.column("good").to_numpy(), text_features(batch), metadata_features(batch)])
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "row"]
-            )
+            rows = np.column_stack([text_features(batch), metadata_codes(batch)])
+            packed = pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["doc_id", "row"])
 
-    rows = docs.mapInArrow(features, "doc_id bigint, row binary").toPandas().sort_values(["doc_id", "row"])
-    width = 1 + text_features(_no_rows()).shape[1] + SOURCE_SLOTS + LANG_SLOTS + 2
-    return np.array([np.frombuffer(r) for r in rows["row"]]).reshape(len(rows), width)
+    rows = _columns(docs).where("doc_id IS NOT NULL").mapInArrow(features, "doc_id bigint, row binary")
+    known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["quality"].cast("double").alias("good"))
+    known = known.where("doc_id IS NOT NULL AND good IN (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
+    rows = rows.dropDuplicates(["doc_id", "row"]).join(known, "doc_id", "left")
+    return rows.select(F.xxhash64("doc_id", "row").alias("key"), "row", "good")
+
+
+class Pool:
+    """The unlabelled rows of a feature table; every round looks at all of them that were not taken before."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.taken, self.round = rows, np.zeros(0, np.int64), 0
+
+    def take(self, views: list[Logistic]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, pseudo-labels and the sure view of about ``TAKE`` documents a view, class and source slot."""
+        taken = self.taken
+
+        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = _matrix(batch.column("row"))
+                free = ~np.isin(batch.column("key").to_numpy(), taken)
+                for k, (view, x) in enumerate(zip(views, _views(rows))):
+                    p = view.predict(x)
+                    at = np.flatnonzero(free & ((p >= SURE) | (p <= 1 - SURE)))
+                    free[at] = False
+                    group = (2 * k + (p[at] > 0.5)) * SOURCE_SLOTS + rows[at, -3].astype(np.int64)
+                    found = batch.select(["key", "row"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(group)], ["key", "row", "of"])
+
+        found = self.rows.select("key", "row").mapInArrow(sure, "key bigint, row binary, of bigint")
+        counts = [0] * (4 * SOURCE_SLOTS)
+        for r in found.groupBy("of").count().collect():
+            counts[r["of"]] = r["count"]
+        self.round += 1
+        some = _by_hash(found, self.round, TAKE, F.get(F.lit(counts), F.col("of").cast("int")))
+        chosen = some.toPandas().sort_values(["key", "row"])
+        self.taken = np.concatenate([taken, chosen["key"].to_numpy(np.int64)])
+        kind = chosen["of"].to_numpy(np.int64) // SOURCE_SLOTS
+        return _matrix(pa.array(chosen["row"], pa.binary())), (kind % 2).astype(float), kind // 2
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """A model from ``labels`` (doc_id, quality 0 or 1; other rows count for nothing) and unlabelled documents."""
-    docs = _columns(docs)
-    known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["quality"].cast("double").alias("good"))
-    known = known.where("doc_id IS NOT NULL AND good IN (0, 1)").groupBy("doc_id").agg(F.min("good").alias("good"))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    rows = _features(docs.join(_sample(known, LABELLED), "doc_id"))
-    others = ids.join(known.select("doc_id"), "doc_id", "left_anti")
-    pool = _features(docs.join(_sample(others, UNLABELLED).withColumn("good", F.lit(0.5)), "doc_id"))
-    y, width = rows[:, 0] if len(rows) else np.zeros(0), text_features(_no_rows()).shape[1]
+    table = kept(feature_table(docs, labels))
+    known = table.where("good IS NOT NULL")
+    some = _by_hash(known, 11, LABELLED, F.lit(known.count())).toPandas().sort_values(["key", "row"])
+    y, rows = some["good"].to_numpy(float), _matrix(pa.array(some["row"], pa.binary()))
     model = CoTrained(float(y.mean()) if len(y) else 1.0)
     check = np.arange(len(y)) % 4 == 0
     if min(*np.bincount(y[check].astype(int), minlength=2), *np.bincount(y[~check].astype(int), minlength=2)) < 2:
         return model
-    pool = pool if len(pool) else rows[:0]
-    views = lambda r: [r[:, 1 : 1 + width], r[:, 1 + width :]]
-    return model.fit(views(rows), y, check, views(pool))
-
-
-def _no_rows() -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])
+    return model.fit(rows, y, check, Pool(table.where("good IS NULL")).take)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -191,7 +239,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = model.predict([text_features(batch), metadata_features(batch)])
+            found = model.predict([text_features(batch), metadata_features(metadata_codes(batch))])
             columns = [batch.column("doc_id"), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(3))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "text_score", "metadata_score"])
 
@@ -211,7 +259,7 @@ def keep_good(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> Data
     def good(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.Series:
         columns = [pa.array(c, from_pandas=True, type=t) for c, t in zip((text, source, lang, n_chars), _TYPES)]
         whole = pa.RecordBatch.from_arrays(columns, ["text", "source", "lang", "n_chars"])
-        scores = [model.predict([text_features(b), metadata_features(b)])[:, 0] for b in slices(iter([whole]))]
+        scores = [model.predict([text_features(b), metadata_features(metadata_codes(b))])[:, 0] for b in slices(iter([whole]))]
         return pd.Series(np.concatenate(scores) >= threshold if scores else [], dtype=bool)
 
     views = _view_columns(docs)
