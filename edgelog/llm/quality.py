@@ -3,8 +3,9 @@
 One view is the text (shape of words, repeats, letters and symbols), the other its metadata (source, language,
 length). Each view's logistic regression is fitted on labelled documents. Then, round by round, the views take
 unlabelled documents of which one of them is sure (probability of at least ``SURE`` or at most ``1 - SURE``) into the training
-set of the other. In the end the logits of both views are calibrated and combined by a regression on labelled
-documents that neither view was fitted on. All documents are scored.
+set of the other. In the end the logits of both
+views are calibrated and combined by a regression: each labelled document's logits come from views that were fitted without
+its part of the labels.
 
 Every round scores all unlabelled documents. Of the sure ones that no round has taken yet it takes about ``TAKE`` for
 each view, class and source slot, chosen by a hash, so that a source with most of the documents teaches no more
@@ -14,7 +15,7 @@ which all rounds read.
 
 Nulls in any column and empty texts have features like other values. Rows of one id that are equal in both views count
 once in learning; rows without id teach nothing. Several labels of one id count as the lowest. Columns beyond the views' are not
-looked at. All documents are scored, also those. Without labels of both kinds every document gets the share of
+looked at. All documents are scored, also those. With fewer than ``FOLDS`` labels of a kind every document gets the share of
 good labels (1 if there are none).
 """
 
@@ -35,6 +36,8 @@ from edgelog.llm.shared import buffers, hash_words, kept, prepare_workers, slice
 #: About so many labelled rows are fitted on; so many pseudo-labels a round for each view, class and source slot.
 LABELLED, TAKE = 20_000, 200
 ROUNDS, SURE = 3, 0.97
+#: Parts of the labelled rows, each of which is calibrated with views that were fitted without it.
+FOLDS = 4
 TEXT_FEATURES = 9
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
 
@@ -137,24 +140,35 @@ class CoTrained:
     def __init__(self, share: float):
         self.share, self.views, self.joint, self.taken = share, None, None, 0
 
-    def fit(self, rows: np.ndarray, y: np.ndarray, check: np.ndarray, take: Callable) -> CoTrained:
-        """rows: labelled documents, of which ``check`` marks those that are kept for calibration.
+    def fit(self, rows: np.ndarray, y: np.ndarray, fold: np.ndarray, take: Callable) -> CoTrained:
+        """rows, y: labelled documents; ``fold`` says in which of the ``FOLDS`` calibrations each is left out.
 
         ``take`` finds sure unlabelled documents for the two views of a round: rows, pseudo-labels, and which view is sure.
         """
-        own = [([v[~check]], [y[~check]]) for v in _views(rows)]
+        x = _views(rows)
+        given = [([v[:0]], [y[:0]]) for v in x]
         for done in range(ROUNDS + 1):
-            self.views = [Logistic().fit(np.concatenate(a), np.concatenate(b)) for a, b in own]
+            self.views = self._fitted(x, y, given)
             if done == ROUNDS:
                 break
             found, label, teacher = take(self.views)
             self.taken += len(found)
             for k, features in enumerate(_views(found)):
-                own[k][0].append(features[teacher != k])
-                own[k][1].append(label[teacher != k])
-        self.joint = Logistic(0.1).fit(self._logits(_views(rows[check])), y[check])
+                given[k][0].append(features[teacher != k])
+                given[k][1].append(label[teacher != k])
+        logits = np.zeros((len(y), 2))
+        for part in range(FOLDS):
+            out = fold == part
+            views = self._fitted([v[~out] for v in x], y[~out], given)
+            logits[out] = np.column_stack([view.logit(v[out]) for view, v in zip(views, x)])
+        self.joint = Logistic(0.1).fit(logits, y)
         return self
 
+    @staticmethod
+    def _fitted(x: list[np.ndarray], y: np.ndarray, given: list[tuple]) -> list[Logistic]:
+        """Each view fitted on labelled documents and the pseudo-labels that the other one gave it."""
+        return [Logistic().fit(np.concatenate([v, *g]), np.concatenate([y, *p])) for v, (g, p) in zip(x, given)]
+
     def _logits(self, x: list[np.ndarray]) -> np.ndarray:
         return np.column_stack([view.logit(v) for view, v in zip(self.views, x)])
 
@@ -221,6 +235,14 @@ class Pool:
         return _matrix(pa.array(chosen["row"], pa.binary())), (kind % 2).astype(float), kind // 2
 
 
+def folds(y: np.ndarray) -> np.ndarray:
+    """Deals the rows of each label to ``FOLDS`` folds in turn, so that each has its share of the rarer one."""
+    fold = np.zeros(len(y), int)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+    return fold
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """A model from ``labels`` (doc_id, quality 0 or 1; other rows count for nothing) and unlabelled documents."""
     table = kept(feature_table(docs, labels))
@@ -228,10 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     some = _by_hash(known, 11, LABELLED, F.lit(known.count())).toPandas().sort_values(["key", "row"])
     y, rows = some["good"].to_numpy(float), _matrix(pa.array(some["row"], pa.binary()))
     model = CoTrained(float(y.mean()) if len(y) else 1.0)
-    check = np.arange(len(y)) % 4 == 0
-    if min(*np.bincount(y[check].astype(int), minlength=2), *np.bincount(y[~check].astype(int), minlength=2)) < 2:
+    if min((y == 0).sum(), (y == 1).sum()) < FOLDS:
         return model
-    return model.fit(rows, y, check, Pool(table.where("good IS NULL")).take)
+    return model.fit(rows, y, folds(y), Pool(table.where("good IS NULL")).take)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:

@@ -22,8 +22,7 @@ def tables(spark):
 
 def plain_co_training(rows, known):
     """Weights of both views, and how many pseudo-labels were given; ``known`` holds labels or None."""
-    labelled = [k for k, g in enumerate(known) if g is not None]
-    train = [k for n, k in enumerate(labelled) if n % 4]
+    train = [k for k, g in enumerate(known) if g is not None]
     text, meta = rows[:, :-3], quality.metadata_features(rows[:, -3:])
     lessons = [[(k, known[k]) for k in train], [(k, known[k]) for k in train]]
     unused = [k for k, g in enumerate(known) if g is None]
