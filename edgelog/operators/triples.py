@@ -82,14 +82,19 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
     )
 
 
-def grams(text: Column, length: int) -> Column:
-    """Distinct runs of ``length`` characters; the empty one for 0.
+def blocks(text: Column, length: int, start: int = 0) -> Column:
+    """``text`` from ``start`` on, cut into runs of ``length`` characters, without what is left over at the end."""
+    rest = F.substr(text, F.lit(start + 1)) if start else text
+    return F.regexp_extract_all(rest, F.lit(f"(?s).{{{length}}}"), F.lit(0))
 
-    One pass, since matches of a lookahead take up no text; cutting at every place would begin at the text's start each time.
-    """
+
+def grams(text: Column, length: int) -> Column:
+    """Distinct runs of ``length`` characters, wherever they begin; the empty one for 0."""
     if not length:
         return F.array(F.lit(""))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
+    if length == 1:
+        return F.array_distinct(F.split(text, ""))
+    return F.array_distinct(F.concat(*[blocks(text, length, start) for start in range(length)]))
 
 
 def search_needles(queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
@@ -104,12 +109,18 @@ def search_needles(queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
 
 
 def wanted_grams(needles: DataFrame) -> DataFrame:
-    """query_id, lang, gram: the runs of eight or three characters of each query; a shorter query is its own gram."""
-    text = F.col("needle")
-    runs = F.when(F.length(text) >= GRAMS[1], grams(text, GRAMS[1])).when(F.length(text) >= GRAMS[0], grams(text, GRAMS[0]))
-    return needles.where(text.isNotNull() & F.col("lang").isNotNull()).select(
-        "query_id", "lang", F.explode(runs.otherwise(F.array(text))).alias("gram")
-    )
+    """query_id, lang, turn, gram: the grams of which a label that contains the query has all those of some turn.
+
+    Labels are cut into blocks of eight characters. Where a query of fifteen or more stands in a label, the blocks that lie in it begin
+    at one of eight places (turns) of the query and follow each other from there. A query of three or more has its runs of three;
+    a shorter one is its own gram.
+    """
+    text, long_ = F.col("needle"), GRAMS[1]
+    turns = F.when(F.length(text) >= 2 * long_ - 1, F.array(*[blocks(text, long_, start) for start in range(long_)]))
+    turns = turns.when(F.length(text) >= GRAMS[0], F.array(grams(text, GRAMS[0]))).otherwise(F.array(F.array(text)))
+    asked = needles.where(text.isNotNull() & F.col("lang").isNotNull())
+    asked = asked.select("query_id", "lang", F.posexplode(turns).alias("turn", "runs"))
+    return asked.select("query_id", "lang", "turn", F.explode("runs").alias("gram"))
 
 
 def label_texts(triples: DataFrame) -> DataFrame:
@@ -120,36 +131,38 @@ def label_texts(triples: DataFrame) -> DataFrame:
 
 
 def label_postings(labels: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """lang, gram, subject: in which subjects' labels a gram occurs, each once.
+    """lang, gram, subject: in which subjects' labels a gram occurs, each once: blocks of eight characters and shorter runs.
 
     Of grams shorter than three characters only the first ``MAX_SEARCH_ROWS`` subjects are listed, cut on the map side: having
     such a gram is containing the query, and each subject has a row at least. ``wanted`` (lang, gram) leaves out others.
     """
 
-    def cut(*lengths: int) -> DataFrame:
-        runs = F.array_distinct(F.concat(*[grams(F.col("haystack"), n) for n in lengths]))
+    def cut(runs: Column) -> DataFrame:
         found = labels.where(F.col("haystack").isNotNull() & F.col("lang").isNotNull())
         found = found.select("lang", F.explode(runs).alias("gram"), "subject")
         if wanted is not None:
             found = found.join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi")
         return found.distinct()
 
-    few = _ranked(cut(*range(GRAMS[0])), ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS).drop("_n")
-    return few.unionByName(cut(*GRAMS))
+    text = F.col("haystack")
+    short = F.concat(*[grams(text, n) for n in range(GRAMS[0])])
+    few = _ranked(cut(short), ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS).drop("_n")
+    return few.unionByName(cut(F.concat(grams(text, GRAMS[0]), F.array_distinct(blocks(text, GRAMS[1])))))
 
 
 def rarest_grams(wanted: DataFrame, lengths: DataFrame) -> DataFrame:
-    """query_id, lang and the gram of each query that fewest labels have, by ``lengths`` (lang, gram, n).
+    """query_id, lang and, for each turn of each query, the gram that fewest labels have, by ``lengths`` (lang, gram, n).
 
-    A gram that no label has ends the query.
+    A gram that no label has ends the turn.
     """
     rated = wanted.join(lengths, ["lang", "gram"], "left")
-    rarest = rated.groupBy("query_id", "lang").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    return rarest.where("r.n > 0").select("query_id", "lang", F.col("r.gram").alias("gram"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")
+    rarest = rated.groupBy("query_id", "lang", "turn").agg(rarest)
+    return rarest.where("r.n > 0").select("query_id", "lang", F.col("r.gram").alias("gram")).distinct()
 
 
 def search_candidates(needles: DataFrame, chosen: DataFrame, postings: DataFrame) -> DataFrame:
-    """The subjects that each query is compared with: those that have its chosen gram."""
+    """The subjects that each query is compared with: those that have a gram chosen for it."""
     met = postings.join(chosen, ["lang", "gram"]).select("query_id", "lang", "subject").distinct()
     return met.join(needles, ["query_id", "lang"])
 
@@ -179,8 +192,8 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     """Entities whose label in the query's language contains the query text, ignoring case.
 
     ``queries(query_id, text, lang)``, one row per id and language, may have a ``limit`` column; limits are brought
-    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest run of eight or
-    three characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
+    into 1..50. Rows are ordered by entity, label and abstract. Queries meet labels on their rarest blocks of eight or runs of three
+    characters (short ones on the whole query), whatever the sizes, and are then compared with the texts.
 
     Labels are cut into grams once for all queries, and the postings that these need are written once. For many
     searches over the same triples keep them as a ``sources.label_index``.

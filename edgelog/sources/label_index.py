@@ -6,7 +6,7 @@ Below its root:
 - ``lengths/part=P/delta=D``: lang, gram, n, how many subjects a list has;
 - ``texts/bucket=B/delta=D``: labels and abstracts by a hash of their subject.
 
-A search reads the lengths in the parts of its queries' grams, then the postings in the parts of each query's rarest gram,
+A search reads the lengths in the parts of its queries' grams, then the postings in the parts of each query's rarest grams,
 then the texts in the buckets of the subjects found there. New triples are added as deltas, which a
 repetition replaces; lists of several deltas are put together, and a length that counts a subject twice only makes a
 gram look less rare. Labels that are removed need the index to be built again.

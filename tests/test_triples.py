@@ -126,6 +126,20 @@ def test_label_index_with_deltas_against_a_plain_scan(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=low) == model_search([f for f in facts if f[2] is not None], queries)
 
 
+def test_long_queries_are_found_wherever_they_stand(spark):
+    """Of fourteen characters and more, beginning at every place of a block, also among characters of several bytes."""
+    draw = random.Random(15)
+    letters = "abé\U0001F600 \n.*"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 90))) for _ in range(60)] + ["ab" * 40, "b" + "ab" * 40]
+    facts = [(f"s{i}", LABEL, t, "literal", "en", None) for i, t in enumerate(texts)]
+    asked = {t[a : a + n] for t in texts[40:] for n in (2, 3, 7, 14, 15, 16, 23, 40) for a in range(0, 20, 3)}
+    asked |= {q[:-1] + "z" for q in list(asked) if q}
+    queries = [(f"q{i}", q, "en", 50) for i, q in enumerate(sorted(asked))]
+    found = triples.label_search(spark.createDataFrame(facts, TRIPLES), spark.createDataFrame(queries, SEARCHES))
+    expected = model_search(facts, queries)
+    assert len(expected) > 500 and sorted(map(tuple, found.collect()), key=low) == expected
+
+
 def test_label_index_reads_only_the_rarest_grams(spark, tmp_path):
     """One query of three grams: one part of the postings, at most three of the lengths, one bucket of texts."""
     rows = [(f"s{i}", LABEL, f"common {i:05d}", "literal", "en", None) for i in range(3000)]
