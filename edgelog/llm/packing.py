@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.shared import slices, texts_of
+from edgelog.llm.shared import give_back, slices, texts_of
 from edgelog.llm.tokens import MEMORY_BYTES, TEXT_BYTES, encoder
 
 CAPACITY = 4096
@@ -77,18 +77,23 @@ def tokenize_pieces(
 ) -> DataFrame:
     """A row for every piece: doc_id, piece, start, length, ids_crc32, ids (little-endian 32-bit, or null)."""
 
+    def pieces_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        end, width, rows = int(end_id).to_bytes(4, "little"), 4 * capacity, []
+        ids, counts = encoder(tokenizer, memory).encode(batch.column("text"))
+        data, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(counts).tolist()
+        del ids
+        for doc_id, last, n in zip(batch.column("doc_id").to_pylist(), ends, counts.tolist()):
+            own_ids = bytes(data[4 * (last - n) : 4 * last]) + end
+            for piece, at in enumerate(range(0, len(own_ids), width)):
+                own = own_ids[at : at + width]
+                rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _PIECE)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(tokenizer, memory).encode, int(end_id).to_bytes(4, "little"), 4 * capacity
+        give_back()  # what earlier stages of this worker have left
         for batch in slices(batches, TEXT_BYTES):
-            rows = []
-            ids, counts = encode(batch.column("text"))
-            data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts).tolist()
-            for doc_id, last, n in zip(batch.column("doc_id").to_pylist(), ends, counts.tolist()):
-                ids = data[4 * (last - n) : 4 * last] + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    own = ids[at : at + width]
-                    rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _PIECE)
+            yield pieces_of(batch)
+            give_back()
 
     return texts_of(docs).mapInArrow(cut, PIECES)
 
