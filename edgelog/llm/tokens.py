@@ -85,7 +85,7 @@ def inner_parts(data: np.ndarray, at: np.ndarray, offsets: np.ndarray, which: np
     edge = np.zeros(int(offsets[-1]) + 1, bool)
     edge[offsets] = True
     inner = ~edge[np.append(at[1:], offsets[-1])]
-    second = np.append(data, 0)[at + 1]
+    second = np.append(data, np.uint8(0))[at + 1]
     inner &= ((data[at] == 0x20) | (data[at] == 0x0A)) & ~_CLOSED[second] & ~_WIDE_SPACE[second]
     out = np.zeros(n, bool)
     out[which[inner]] = True
@@ -94,8 +94,12 @@ def inner_parts(data: np.ndarray, at: np.ndarray, offsets: np.ndarray, which: np
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of all members of runs that begin at ``starts``."""
+    total = int(lengths.sum())
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+    places = np.repeat((starts - before).astype(kind), lengths)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 class Encoder:
@@ -194,8 +198,10 @@ class Encoder:
         parts, which = distinct_parts(data, at)
         inner = inner_parts(data, at, offsets, which, len(parts))
         ids, starts, lengths = self.parts_of(parts, np.bincount(which, minlength=len(parts)), inner)
-        ids = ids[ragged(starts[which], lengths[which])]
-        ends = np.concatenate([[0], np.cumsum(lengths[which])])
+        del parts, inner
+        lengths = lengths[which]
+        ids = ids[ragged(starts[which], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(ends[np.searchsorted(at, offsets)])
 
 
