@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.shared import buffers, kept, slices, texts_of
+from edgelog.llm.shared import buffers, freeing, give_back, kept, slices, texts_of
 from edgelog.llm.token_counts import byte_of_letter
 from edgelog.llm.tokens import cut_parts, distinct_parts, encoder, inner_parts, ragged
 
@@ -191,52 +191,57 @@ SLICED = (
 
 
 def _slice_rows(docs: DataFrame, path_a: str, path_b: str, digest: bool, limit: int) -> DataFrame:
+    def aligned(both: _Pair, number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = buffers(batch.column("text"))
+        some = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][some], 0x20)
+        offsets = offsets + np.concatenate([[0], np.cumsum(some)])
+        at = cut_parts(data, offsets)
+        parts, which = distinct_parts(data, at)
+        counts = np.bincount(which, minlength=len(parts))
+        inner = inner_parts(data, at, offsets, which, len(parts))
+        good, a, n_a, ends_a, b, n_b, ends_b = both.tokens(parts, counts, inner)
+        found = Aligned(n_a, ends_a, n_b, ends_b)
+        first = np.searchsorted(at, offsets)  # of each text's parts
+        bad = np.concatenate([[0], np.cumsum(~good[which])])
+        clean = bad[first[1:]] == bad[first[:-1]]
+        n_parts = np.where(clean, np.diff(first), 0)
+        which = which[ragged(first[:-1], n_parts)]
+        ends = np.concatenate([[0], np.cumsum(n_parts)])
+        sums = []
+        for n in (n_a, n_b, found.n_groups, found.n_links):
+            total = np.concatenate([[0], np.cumsum(n[which])])
+            sums.append(np.diff(total[ends]))
+        texts = _group_texts(a, b, found, both.names)
+        groups = [";".join([texts[k] for k in which[x:y].tolist()]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        if digest:
+            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+        used = np.bincount(which, minlength=len(parts))
+        links = (a[found.link_a] << 32) | b[found.link_b]
+        pairs, links = np.unique(links, return_inverse=True)
+        weight = np.repeat(used, found.n_links)
+        pair_counts = np.zeros(len(pairs), np.int64)
+        np.add.at(pair_counts, links, weight)
+        values = [number, batch.column("doc_id").to_pylist(), *(s.tolist() for s in sums), groups]
+        values += [
+            which.astype("<i4").tobytes(), n_parts.astype("<i8").tobytes(), links.astype("<i4").tobytes(),
+            found.n_links.astype("<i4").tobytes(), pairs.astype("<i8").tobytes(), pair_counts.tobytes(),
+        ]
+        longs = pa.list_(pa.int64())
+        types = [pa.int64(), *[longs] * 5, pa.list_(pa.string()), *[pa.binary()] * 6]
+        names = [c.split()[0] for c in SLICED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _PAIRS.get((path_a, path_b)) or _PAIRS.setdefault((path_a, path_b), _Pair(path_a, path_b))
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit):
-            data, offsets = buffers(batch.column("text"))
-            some = np.diff(offsets) > 0
-            data = np.insert(data, offsets[:-1][some], 0x20)
-            offsets = offsets + np.concatenate([[0], np.cumsum(some)])
-            at = cut_parts(data, offsets)
-            parts, which = distinct_parts(data, at)
-            counts = np.bincount(which, minlength=len(parts))
-            inner = inner_parts(data, at, offsets, which, len(parts))
-            good, a, n_a, ends_a, b, n_b, ends_b = both.tokens(parts, counts, inner)
-            found = Aligned(n_a, ends_a, n_b, ends_b)
-            first = np.searchsorted(at, offsets)  # of each text's parts
-            bad = np.concatenate([[0], np.cumsum(~good[which])])
-            clean = bad[first[1:]] == bad[first[:-1]]
-            n_parts = np.where(clean, np.diff(first), 0)
-            which = which[ragged(first[:-1], n_parts)]
-            ends = np.concatenate([[0], np.cumsum(n_parts)])
-            sums = []
-            for n in (n_a, n_b, found.n_groups, found.n_links):
-                total = np.concatenate([[0], np.cumsum(n[which])])
-                sums.append(np.diff(total[ends]))
-            texts = _group_texts(a, b, found, both.names)
-            groups = [";".join([texts[k] for k in which[x:y].tolist()]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            if digest:
-                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            used = np.bincount(which, minlength=len(parts))
-            links = (a[found.link_a] << 32) | b[found.link_b]
-            pairs, links = np.unique(links, return_inverse=True)
-            weight = np.repeat(used, found.n_links)
-            pair_counts = np.zeros(len(pairs), np.int64)
-            np.add.at(pair_counts, links, weight)
-            values = [number, batch.column("doc_id").to_pylist(), *(s.tolist() for s in sums), groups]
-            values += [
-                which.astype("<i4").tobytes(), n_parts.astype("<i8").tobytes(), links.astype("<i4").tobytes(),
-                found.n_links.astype("<i4").tobytes(), pairs.astype("<i8").tobytes(), pair_counts.tobytes(),
-            ]
-            longs = pa.list_(pa.int64())
-            types = [pa.int64(), *[longs] * 5, pa.list_(pa.string()), *[pa.binary()] * 6]
-            names = [c.split()[0] for c in SLICED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+            row = aligned(both, number, batch)
+            give_back()  # a slice leaves more than a hundred megabytes behind
+            yield row
             number += 1
 
-    return docs.mapInArrow(align, SLICED)
+    return docs.mapInArrow(freeing(align), SLICED)
 
 
 def _slice_pairs(rows: DataFrame) -> DataFrame:
@@ -251,7 +256,7 @@ def _slice_pairs(rows: DataFrame) -> DataFrame:
                 columns = [np.full(len(pairs), number), (pairs >> 32).astype(np.int32), pairs.astype(np.int32), counts]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["slice", "a", "b", "n"])
 
-    return rows.select("slice", "pairs", "pair_counts").mapInArrow(unpack, "slice bigint, a int, b int, n bigint")
+    return rows.select("slice", "pairs", "pair_counts").mapInArrow(freeing(unpack), "slice bigint, a int, b int, n bigint")
 
 
 def _pair_counts(pairs: DataFrame) -> DataFrame:
@@ -287,6 +292,7 @@ def align_documents(
     needed = pairs.drop("n").join(counts, ["a", "b"])
 
     def finish(own: pa.Table, sums: pa.Table) -> pa.Table:
+        give_back()
         out = []
         for row in own.to_pylist():
             pairs = np.frombuffer(row["pairs"], "<i8")

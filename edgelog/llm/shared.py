@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,17 @@ def give_back() -> None:
         trim(0)
 
 
+def freeing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, a function for ``mapInArrow``, before and after which the worker gives back what earlier work has left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that no other column can clash; a null text becomes empty."""
     prepare_workers(docs.sparkSession)
