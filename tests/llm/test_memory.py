@@ -3,10 +3,12 @@
 import os
 import subprocess
 import sys
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 
-from edgelog.llm import shared
+from edgelog.llm import collocations, shared
 
 ALIGNED = """
 import random, re, sys
@@ -48,3 +50,12 @@ def test_aligned_slices_leave_no_freed_memory_behind():
     )
     left = list(map(int, run.stdout.split()))
     assert len(left) > 2 and max(left) < 5, left
+
+
+def test_windows_go_out_in_bounded_batches():
+    held = collocations._Windows(2)
+    codes = np.random.default_rng(5).integers(1, 2_000, 300_000)
+    batches = [*held.add(codes, codes > 0), *held.flush()]
+    assert len(batches) > 1 and max(b.num_rows for b in batches) <= 1 << 16
+    found = {tuple(p): n for b in batches for p, n in zip(b.column("phrase").to_pylist(), b.column("n").to_pylist())}
+    assert found == Counter(zip(codes[:-1].tolist(), codes[1:].tolist()))
