@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from edgelog.session import written
+from edgelog.functions import grams
+from edgelog.session import importable, written
 
 # The vocabulary the lookups use.
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
@@ -19,7 +24,7 @@ FACTS = (
 ENTITY_ROWS = 50
 SEARCH_ROWS = 10
 MAX_SEARCH_ROWS = 50
-GRAMS = (3, 8)
+POSTINGS = "lang string, part int, lists array<struct<gram: bigint, n: int, start: int>>, subjects array<int>"
 
 
 def _ranked(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
@@ -82,21 +87,6 @@ def entity_lookup(triples: DataFrame, requests: DataFrame, limit: int = ENTITY_R
     )
 
 
-def blocks(text: Column, length: int, start: int = 0) -> Column:
-    """``text`` from ``start`` on, cut into runs of ``length`` characters, without what is left over at the end."""
-    rest = F.substr(text, F.lit(start + 1)) if start else text
-    return F.regexp_extract_all(rest, F.lit(f"(?s).{{{length}}}"), F.lit(0))
-
-
-def grams(text: Column, length: int) -> Column:
-    """Distinct runs of ``length`` characters, wherever they begin; the empty one for 0."""
-    if not length:
-        return F.array(F.lit(""))
-    if length == 1:
-        return F.array_distinct(F.split(text, ""))
-    return F.array_distinct(F.concat(*[blocks(text, length, start) for start in range(length)]))
-
-
 def search_needles(queries: DataFrame, limit: int = SEARCH_ROWS) -> DataFrame:
     """query_id, lang, needle (lower case) and _limit (brought into 1..50) of label searches."""
     wanted = F.col("limit") if "limit" in queries.columns else F.lit(limit)
@@ -115,39 +105,54 @@ def wanted_grams(needles: DataFrame) -> DataFrame:
     at one of eight places (turns) of the query and follow each other from there. A query of three or more has its runs of three;
     a shorter one is its own gram.
     """
-    text, long_ = F.col("needle"), GRAMS[1]
-    turns = F.when(F.length(text) >= 2 * long_ - 1, F.array(*[blocks(text, long_, start) for start in range(long_)]))
-    turns = turns.when(F.length(text) >= GRAMS[0], F.array(grams(text, GRAMS[0]))).otherwise(F.array(F.array(text)))
-    asked = needles.where(text.isNotNull() & F.col("lang").isNotNull())
-    asked = asked.select("query_id", "lang", F.posexplode(turns).alias("turn", "runs"))
-    return asked.select("query_id", "lang", "turn", F.explode("runs").alias("gram"))
+    importable(needles.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("needle").cast(pa.large_binary()).to_pylist()):
+                for turn, found in grams.query_grams(text):
+                    at = pa.array([i] * len(found), pa.int32())
+                    columns = [batch.column("query_id").take(at), batch.column("lang").take(at)]
+                    columns += [pa.array([turn] * len(found), pa.int32()), pa.array(found.view("int64"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "lang", "turn", "gram"])
+
+    asked = needles.where(F.col("needle").isNotNull() & F.col("lang").isNotNull()).select("query_id", "lang", "needle")
+    schema = StructType(asked.schema.fields[:2]).add("turn", IntegerType()).add("gram", LongType())
+    return asked.mapInArrow(cut, schema)
 
 
 def label_texts(triples: DataFrame) -> DataFrame:
-    """subject, lang, label, haystack (lower case) of all labels."""
-    return triples.where((F.col("predicate") == LABEL) & (F.col("object_kind") == "literal")).select(
-        "subject", "lang", F.col("object").alias("label"), F.lower("object").alias("haystack")
-    )
+    """subject, lang, label, haystack (lower case) and key (a hash of the subject) of all labels."""
+    labels = triples.where((F.col("predicate") == LABEL) & (F.col("object_kind") == "literal"))
+    return labels.select("subject", "lang", F.col("object").alias("label"), *searched(F.col("object")))
+
 
+def searched(label: Column) -> tuple[Column, Column]:
+    """What labels are searched by, besides their language."""
+    return F.lower(label).alias("haystack"), F.hash("subject").alias("key")
 
-def label_postings(labels: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """lang, gram, subject: in which subjects' labels a gram occurs, each once: blocks of eight characters and shorter runs.
 
-    Of grams shorter than three characters only the first ``MAX_SEARCH_ROWS`` subjects are listed, cut on the map side: having
-    such a gram is containing the query, and each subject has a row at least. ``wanted`` (lang, gram) leaves out others.
+def label_postings(labels: DataFrame, parts: int = 1) -> DataFrame:
+    """lang, part, lists (gram, n, start), subjects: in which subjects' labels a gram occurs: blocks of eight characters and shorter runs.
+
+    A row holds the lists of a part of the grams in a slice of labels, one behind the other: a subject is named by a 32-bit hash (its
+    ``key``), since each that is found is compared with its texts. Of grams shorter than three characters a task lists its
+    first ``MAX_SEARCH_ROWS`` subjects: having such a gram is containing the query, and each subject has a row at least.
     """
+    importable(labels.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return grams.cut_labels(batches, MAX_SEARCH_ROWS, parts)
+
+    given = labels.where("haystack IS NOT NULL AND lang IS NOT NULL AND subject IS NOT NULL")
+    given = given.sortWithinPartitions("lang", "subject").select("lang", "key", "haystack")
+    return given.mapInArrow(cut, POSTINGS)
 
-    def cut(runs: Column) -> DataFrame:
-        found = labels.where(F.col("haystack").isNotNull() & F.col("lang").isNotNull())
-        found = found.select("lang", F.explode(runs).alias("gram"), "subject")
-        if wanted is not None:
-            found = found.join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi")
-        return found.distinct()
 
-    text = F.col("haystack")
-    short = F.concat(*[grams(text, n) for n in range(GRAMS[0])])
-    few = _ranked(cut(short), ["lang", "gram"], ["subject"], MAX_SEARCH_ROWS).drop("_n")
-    return few.unionByName(cut(F.concat(grams(text, GRAMS[0]), F.array_distinct(blocks(text, GRAMS[1])))))
+def gram_lists(postings: DataFrame) -> DataFrame:
+    """lang, gram, subjects (keys) of ``label_postings``; a gram has a list for each slice that it occurs in."""
+    lists = postings.select("lang", "subjects", F.inline("lists"))
+    return lists.select("lang", "gram", F.slice("subjects", F.col("start"), F.col("n")).alias("subjects"))
 
 
 def rarest_grams(wanted: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -161,15 +166,15 @@ def rarest_grams(wanted: DataFrame, lengths: DataFrame) -> DataFrame:
     return rarest.where("r.n > 0").select("query_id", "lang", F.col("r.gram").alias("gram")).distinct()
 
 
-def search_candidates(needles: DataFrame, chosen: DataFrame, postings: DataFrame) -> DataFrame:
-    """The subjects that each query is compared with: those that have a gram chosen for it."""
-    met = postings.join(chosen, ["lang", "gram"]).select("query_id", "lang", "subject").distinct()
+def search_candidates(needles: DataFrame, chosen: DataFrame, lists: DataFrame) -> DataFrame:
+    """The subjects (keys) that each query is compared with: those that have a gram chosen for it."""
+    met = lists.join(chosen, ["lang", "gram"]).select("query_id", "lang", F.explode("subjects").alias("key")).distinct()
     return met.join(needles, ["query_id", "lang"])
 
 
 def search_rows(candidates: DataFrame, labels: DataFrame, abstracts: DataFrame) -> DataFrame:
     """query_id, entity, label, abstract of the candidates whose label contains the query, as many as it asks for."""
-    pairs = labels.join(candidates, ["subject", "lang"])
+    pairs = labels.where(F.col("subject").isNotNull()).join(candidates, ["key", "lang"])
     hits = pairs.where(F.contains(F.col("haystack"), F.col("needle"))).select(
         "query_id", "lang", "_limit", "subject", "label"
     )
@@ -202,10 +207,11 @@ def label_search(triples: DataFrame, queries: DataFrame, limit: int = SEARCH_ROW
     wanted = wanted_grams(needles)
     # By subject, as the comparison with the texts needs them, and in as many parts as a shuffle has: few bytes make many grams.
     parts = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = label_texts(triples).repartition(parts, "subject", "lang")
-    postings = written(label_postings(labels, wanted), "label_postings")
-    lengths = postings.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    candidates = search_candidates(needles, rarest_grams(wanted, lengths), postings)
+    labels = label_texts(triples).repartition(parts, "key", "lang")
+    lists = gram_lists(label_postings(labels)).join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi")
+    lists = written(lists, "label_postings")
+    lengths = lists.groupBy("lang", "gram").agg(F.sum(F.size("subjects")).alias("n"))
+    candidates = search_candidates(needles, rarest_grams(wanted, lengths), lists)
     return search_rows(candidates, labels, first_abstracts(triples))
 
 

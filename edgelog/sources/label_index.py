@@ -2,8 +2,8 @@
 
 Below its root:
 
-- ``postings/part=P/delta=D``: lang, gram, subject, in the order of lang, gram and subject; a gram's part is a hash of both;
-- ``lengths/part=P/delta=D``: lang, gram, n, how many subjects a list has;
+- ``postings/part=P/delta=D``: lists of subjects by gram, as ``operators.triples.label_postings`` makes them of slices of labels;
+- ``lengths/part=P/delta=D``: lang and lists (gram, n), how many subjects the lists of a slice have;
 - ``texts/bucket=B/delta=D``: labels and abstracts by a hash of their subject.
 
 A search reads the lengths in the parts of its queries' grams, then the postings in the parts of each query's rarest grams,
@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 
 from edgelog.operators.triples import (
     ABSTRACT,
+    LABEL,
+    POSTINGS,
     SEARCH_ROWS,
     first_abstracts,
+    gram_lists,
     label_postings,
-    label_texts,
     rarest_grams,
     search_candidates,
     search_needles,
     search_rows,
+    searched,
     wanted_grams,
 )
 from edgelog.session import written
@@ -34,17 +37,18 @@ from edgelog.session import written
 #: Parts of the grams and buckets of the texts, of which a search names those that it reads.
 PARTS, BUCKETS = 256, 256
 
-_POSTINGS = "lang string, gram string, subject string"
-_LENGTHS = "lang string, gram string, n long"
+_POSTINGS = POSTINGS.replace(" part int,", "")
+_LENGTHS = "lang string, lists array<struct<gram: bigint, n: int>>"
 _TEXTS = "subject string, lang string, abstract boolean, text string"
 
 
 def _part() -> Column:
-    return F.pmod(F.xxhash64("lang", "gram"), F.lit(PARTS)).cast("int")
+    """As ``label_postings`` deals grams, which are numbers without a sign there."""
+    return F.pmod("gram", F.lit(PARTS)).cast("int")
 
 
 def _bucket() -> Column:
-    return F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int")
+    return F.pmod("key", F.lit(BUCKETS)).cast("int")
 
 
 def _write(rows: DataFrame, path: str, key: str, order: list[str], delta: int) -> None:
@@ -56,18 +60,17 @@ def _write(rows: DataFrame, path: str, key: str, order: list[str], delta: int) -
 
 def add_to_label_index(triples: DataFrame, root: str, delta: int) -> None:
     """Add the labels and abstracts of new triples; doing it again with the same number replaces them."""
-    parts = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = label_texts(triples).repartition(parts, "subject", "lang")  # few bytes make many grams
-    postings = written(label_postings(spread), "postings").withColumn("part", _part())
-    _write(postings, f"{root}/postings", "part", ["lang", "gram", "subject"], delta)
-    lengths = postings.groupBy("part", "lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    _write(lengths, f"{root}/lengths", "part", ["lang", "gram"], delta)
-    labels = label_texts(triples).select("subject", "lang", F.lit(False).alias("abstract"), F.col("label").alias("text"))
-    abstracts = triples.where((F.col("predicate") == ABSTRACT) & (F.col("object_kind") == "literal")).select(
-        "subject", "lang", F.lit(True).alias("abstract"), F.col("object").alias("text")
+    spark, text = triples.sparkSession, F.col("object")
+    texts = triples.where(F.col("predicate").isin(LABEL, ABSTRACT) & (F.col("object_kind") == "literal")).select(
+        "subject", "lang", (F.col("predicate") == ABSTRACT).alias("abstract"), text.alias("text"), F.hash("subject").alias("key")
     )
-    texts = labels.unionByName(abstracts).withColumn("bucket", _bucket())
-    _write(texts, f"{root}/texts", "bucket", ["subject", "lang"], delta)
+    _write(texts.withColumn("bucket", _bucket()).drop("key"), f"{root}/texts", "bucket", ["subject", "lang"], delta)
+    own = spark.read.schema(f"{_TEXTS}, bucket int, delta int").parquet(f"{root}/texts")
+    labels = own.where((F.col("delta") == delta) & ~F.col("abstract")).select("subject", "lang", *searched(F.col("text")))
+    _write(label_postings(labels, PARTS), f"{root}/postings", "part", ["lang"], delta)
+    postings = spark.read.schema(f"{POSTINGS}, delta int").parquet(f"{root}/postings").where(F.col("delta") == delta)
+    lengths = F.transform("lists", lambda x: F.struct(x["gram"].alias("gram"), x["n"].alias("n"))).alias("lists")
+    _write(postings.select("part", "lang", lengths), f"{root}/lengths", "part", ["lang"], delta)
 
 
 def write_label_index(triples: DataFrame, root: str) -> None:
@@ -87,14 +90,14 @@ def search_label_index(spark: SparkSession, root: str, queries: DataFrame, limit
     needles = search_needles(queries, limit)
     wanted = wanted_grams(needles)
     lengths = _read(spark, root, "lengths", _LENGTHS, "part", wanted.select(_part()))
-    lengths = lengths.join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi")
+    lengths = lengths.select("lang", F.inline("lists")).join(wanted.select("lang", "gram").distinct(), ["lang", "gram"], "left_semi")
     lengths = lengths.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     chosen = written(rarest_grams(wanted, lengths), "rarest_grams")
     postings = _read(spark, root, "postings", _POSTINGS, "part", chosen.select(_part()))
-    candidates = written(search_candidates(needles, chosen, postings), "search_candidates")
+    candidates = written(search_candidates(needles, chosen, gram_lists(postings)), "search_candidates")
     texts = _read(spark, root, "texts", _TEXTS, "bucket", candidates.select(_bucket()))
     labels = texts.where("NOT abstract").select(
-        "subject", "lang", F.col("text").alias("label"), F.lower("text").alias("haystack")
+        "subject", "lang", F.col("text").alias("label"), *searched(F.col("text"))
     )
     abstracts = texts.where("abstract").select(
         "subject", F.lit(ABSTRACT).alias("predicate"), F.col("text").alias("object"), F.lit("literal").alias("object_kind"), "lang"
