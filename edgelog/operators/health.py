@@ -1,9 +1,9 @@
 """Origin health from call outcomes, and clients above the edge rate.
 
 An endpoint may hold most calls, so no endpoint's calls are put in order in one task. Calls are cut
-into slices (one second of an endpoint, at most 65,536 sequence numbers) that are scanned on their
-own; slice totals are added up inside an hour, hour totals inside an endpoint, and what lies before
-a slice is joined back to its rows.
+into slices that are scanned on their own: a minute of an endpoint, or of minutes with more than 65,536 calls
+one second and at most 65,536 sequence numbers. Slice totals are added up inside an hour, hour totals inside an
+endpoint, and what lies before a slice is joined back to its rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ THRESHOLD = 3
 DEFAULT_ENDPOINT = "https://dbpedia.org/sparql"
 COOLDOWN = 30
 SLICE_CALLS = 65_536
+SLICE_SECONDS = 60
 ERA_SECONDS = 3_600
 
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -41,7 +42,7 @@ def rejected_calls(calls: DataFrame) -> DataFrame:
     return calls.where("ts IS NULL OR seq IS NULL OR ok IS NULL")
 
 
-SLICE_KEYS = ["endpoint", "era", "ts", "block"]
+SLICE_KEYS = ["endpoint", "era", "minute", "second", "block"]
 
 
 def era_of(ts: str = "ts") -> Column:
@@ -54,22 +55,37 @@ def scan_slices(calls: DataFrame, default_endpoint: str = DEFAULT_ENDPOINT) -> D
     sliced = calls.where(F.col("ok").isNotNull()).select(
         F.coalesce("endpoint", F.lit(default_endpoint)).alias("endpoint"),
         era_of().alias("era"),
+        F.expr(f"ts div {SLICE_SECONDS}").alias("minute"),
         "ts",
-        F.expr(f"seq div {SLICE_CALLS}").alias("block"),
         "seq",
         "ok",
         (~F.col("ok")).cast("bigint").alias("failed"),
     )
     # The joins below would add these filters to some branches only, and so shuffle the calls thrice.
-    for key in SLICE_KEYS:
+    for key in ("endpoint", "ts", "seq"):
         sliced = sliced.where(F.col(key).isNotNull())
-    in_slice = Window.partitionBy(*SLICE_KEYS).orderBy("seq")
+    # As few as there are times so many calls, so that they can be sent to all tasks.
+    full = sliced.groupBy("endpoint", "minute").count().where(F.col("count") > SLICE_CALLS)
+    full = F.broadcast(full.select("endpoint", "minute", F.lit(True).alias("full")))
+    zero = F.lit(0).cast("bigint")
+    sliced = sliced.join(full, ["endpoint", "minute"], "left").withColumns(
+        {
+            "second": F.when(F.col("full"), F.col("ts")).otherwise(zero),
+            "block": F.when(F.col("full"), F.expr(f"seq div {SLICE_CALLS}")).otherwise(zero),
+        }
+    )
+    in_slice = Window.partitionBy(*SLICE_KEYS).orderBy("ts", "seq")
     return sliced.withColumn(
         "fails", F.sum("failed").over(in_slice.rowsBetween(Window.unboundedPreceding, 0))
     ).select(
-        "*",
+        *SLICE_KEYS,
+        "ts",
+        "seq",
+        "ok",
+        "failed",
+        "fails",
         F.max(F.when(F.col("ok"), F.col("fails"))).over(in_slice.rowsBetween(*_BEFORE)).alias("reset"),
-        F.row_number().over(in_slice).alias("place"),
+        F.lag("ts").over(in_slice).alias("ts_in_slice"),
     )
 
 
@@ -79,10 +95,10 @@ def slice_totals(scanned: DataFrame) -> DataFrame:
         F.sum("failed").alias("fails"),
         F.max(F.when(F.col("ok"), F.col("fails"))).alias("resets"),
         F.max("ts").alias("last_ts"),
-        F.max("seq").alias("last_seq"),
+        F.max_by("seq", F.struct("ts", "seq")).alias("last_seq"),
         F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"),
     )
-    return _totals_before(slices, ["endpoint", "era"], ["ts", "block"])
+    return _totals_before(slices, ["endpoint", "era"], SLICE_KEYS[2:])
 
 
 def hour_totals(slices: DataFrame) -> DataFrame:
@@ -92,7 +108,7 @@ def hour_totals(slices: DataFrame) -> DataFrame:
         F.sum("fails").alias("fails"),
         F.max("resets").alias("resets"),
         F.max("last_ts").alias("last_ts"),
-        F.max_by("last_seq", F.struct("ts", "block")).alias("last_seq"),
+        F.max_by("last_seq", F.struct(*SLICE_KEYS[2:])).alias("last_seq"),
         F.max("last_success").alias("last_success"),
     )
 
@@ -125,7 +141,7 @@ def runs_from(scanned: DataFrame, slices: DataFrame, carried: DataFrame) -> Data
         "ok",
         run.alias("run"),
         (F.col("carried_fails") + F.col("fails") - F.col("failed") - run).alias("failures_before"),
-        F.when(F.col("place") > 1, F.col("ts")).otherwise(F.col("carried_ts")).alias("previous_ts"),
+        F.coalesce("ts_in_slice", "carried_ts").alias("previous_ts"),
     )
 
 

@@ -80,11 +80,10 @@ def read_endpoints(spark: SparkSession, root: str, batch: int) -> DataFrame:
     return ends.select("endpoint", left.alias("failure_count"), "last_ts", "last_seq", "last_success_unix_secs")
 
 
-def _calls_of(spark: SparkSession, root: str, hours: DataFrame, batch: int) -> DataFrame:
+def _calls_of(calls: DataFrame, hours: DataFrame) -> DataFrame:
     """The calls of some hours; only the days of these are read (a list of days, as long as the calendar)."""
     days = [r[0] for r in hours.select(F.expr(f"era div {ERAS_A_DAY}")).distinct().collect()]
-    calls = spark.read.schema(f"{CALLS}, batch long, day long").parquet(f"{root}/calls")
-    calls = calls.where((F.col("batch") <= batch) & F.col("day").isin(days)).withColumn("era", era_of())
+    calls = calls.where(F.col("day").isin(days) if days else F.lit(False)).withColumn("era", era_of())
     return calls.join(hours.select(*HOUR), HOUR, "left_semi").select("endpoint", "ts", "seq", "ok")
 
 
@@ -115,18 +114,21 @@ def fold_batch(
     by_day = by_day.sortWithinPartitions("day", "endpoint", "ts")
     by_day.write.mode("overwrite").partitionBy("day").parquet(f"{root}/calls/batch={batch_id}")
 
+    # The folders are listed once.
+    calls = spark.read.schema(f"{CALLS}, batch long, day long").parquet(f"{root}/calls").where(F.col("batch") <= batch_id)
     touched = written(usable.select("endpoint", era_of().alias("era")).distinct(), "touched_hours")
-    totals = hour_totals(slice_totals(scan_slices(_calls_of(spark, root, touched, batch_id))))
-    new = written(totals.withColumn("batch", F.lit(batch_id).cast("long")), "hour_totals")
+    slices = written(slice_totals(scan_slices(_calls_of(calls, touched))), "slice_totals")
+    new = written(hour_totals(slices).withColumn("batch", F.lit(batch_id).cast("long")), "hour_totals")
     old = read_hours(spark, root, batch_id - 1)
     commit_state(new, f"{root}/hours", HOURS, latest_hours, batch_id, every)
 
     hours = latest_hours(old.unionByName(new))
     both = _starts(hours, "_now").join(_starts(old, "_then"), HOUR)
     moved = both.where("NOT (failures_now <=> failures_then AND ts_now <=> ts_then)").select(*HOUR)
-    again = written(touched.unionByName(moved).distinct(), "folded_hours")
-    scanned = scan_slices(_calls_of(spark, root, again, batch_id))
-    runs = runs_from(scanned, slice_totals(scanned), carried_over(hours))
+    others = written(moved.join(touched, HOUR, "left_anti"), "moved_hours")
+    again = touched.unionByName(others)
+    slices = slices.unionByName(slice_totals(scan_slices(_calls_of(calls, others))))
+    runs = runs_from(scan_slices(_calls_of(calls, again)), slices, carried_over(hours))
     found = transitions_of(runs, threshold, cooldown, (era_of().alias("era"),))
     found.write.mode("overwrite").parquet(f"{root}/transitions/batch={batch_id}")
     folded = again.withColumn("batch", F.lit(batch_id).cast("long"))
