@@ -195,3 +195,22 @@ def test_a_lookup_in_a_table_by_subjects_does_not_shuffle_the_triples(spark, tmp
                 level = depth(line)
         moved = next(line for line in above if line.startswith(("Exchange", "SortMergeJoin", "ShuffledHashJoin")))
         assert "LeftSemi" in moved, above
+
+
+def test_postings_are_lists_of_whole_slices(spark):
+    """A row for a part of the grams in a slice of labels, and in its lists every subject that has the gram."""
+    draw = random.Random(21)
+    texts = ["".join(draw.choice("abé\U0001F600") for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    facts = [(f"s{i:03d}", LABEL, t, "literal", "en", None) for i, t in enumerate(texts)]
+    labels = triples.label_texts(spark.createDataFrame(facts, TRIPLES)).coalesce(1)
+    postings = triples.label_postings(labels, 4)
+    assert postings.count() <= 4
+    keys = {r.key: int(r.subject[1:]) for r in labels.select("key", "subject").collect()}
+    listed = {}
+    for row in triples.gram_lists(postings).collect():
+        listed.setdefault(row.gram, set()).update(keys[k] for k in row.subjects)
+    asked = sorted({t[a : a + n] for t in texts for n in (0, 1, 2, 3) for a in range(len(t) - n + 1)})
+    queries = spark.createDataFrame([(q, q, "en", 5) for q in asked], SEARCHES)
+    for row in triples.wanted_grams(triples.search_needles(queries)).collect():
+        having = [i for i, t in enumerate(texts) if row.query_id in t]
+        assert listed[row.gram] == set(having if len(row.query_id) > 2 else having[:50])
