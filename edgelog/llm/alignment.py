@@ -28,10 +28,18 @@ from pyspark.sql import functions as F
 
 from edgelog.llm.shared import buffers, freeing, give_back, kept, slices, texts_of
 from edgelog.llm.token_counts import byte_of_letter
-from edgelog.llm.tokens import cut_parts, distinct_parts, encoder, inner_parts, ragged
+from edgelog.llm.tokens import Encoder, cut_parts, distinct_parts, inner_parts, ragged
 
 #: Bytes of text in a slice, and parts that are given to B's library at once.
 SLICE_BYTES, CALL_PARTS = 2 << 20, 20_000
+#: Parts whose groups become text at once: a group's ids are Python objects meanwhile.
+TEXT_PARTS = 4096
+#: Bytes of remembered parts in a worker; with half as many, encoding for A took over a third longer.
+MEMORY_BYTES = 32 << 20
+#: Parts whose groups become text at once: a group's ids are Python objects meanwhile.
+TEXT_PARTS = 4096
+#: Bytes of remembered parts: few parts of a slice are new to the library's own cache, so more would save next to no time.
+MEMORY_BYTES = 16 << 20
 
 
 def gallop(short: np.ndarray, long: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +132,10 @@ def _table(of: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Pair:
-    """Both vocabularies, loaded once in a worker."""
+    """Both vocabularies, loaded once in a worker, which drops them with the first slices that are aligned already."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = encoder(path_a, plain=True)
+        self.a = Encoder(path_a, MEMORY_BYTES, plain=True)
         self.model_b, self.bytes_a, self.bytes_b = _byte_tables(path_a, path_b)
         self.names = list(map(str, range(max(len(self.bytes_a[2]), len(self.bytes_b[2])))))
 
@@ -169,20 +177,42 @@ class _Pair:
 _PAIRS: dict[tuple[str, str], _Pair] = {}
 
 
+def _drop_vocabularies() -> None:
+    """The steps behind the encoding run in its workers, and need the memory for other things."""
+    _PAIRS.clear()
+    give_back()
+
+
 def _group_texts(a: np.ndarray, b: np.ndarray, found: Aligned, names: list[str]) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` of every sequence; ``names`` has the text of every id."""
-    names_a, names_b = ([names[i] for i in ids.tolist()] for ids in (a, b))
-    groups, i, j = [], 0, 0
-    for x, y in zip((found.common_a + 1).tolist(), (found.common_b + 1).tolist()):
-        groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
-        i, j = x, y
-    out, at = [], 0
-    for n in found.n_groups.tolist():
-        out.append(";".join(groups[at : at + n]))
-        at += n
+    out, i, j, at = [], 0, 0, 0
+    for first in range(0, len(found.n_groups), TEXT_PARTS):
+        sizes = found.n_groups[first : first + TEXT_PARTS].tolist()
+        until = at + sum(sizes)
+        ends_a, ends_b = found.common_a[at:until] + 1, found.common_b[at:until] + 1
+        names_a, names_b = ([names[k] for k in ids.tolist()] for ids in (a[i : ends_a.max(initial=i)], b[j : ends_b.max(initial=j)]))
+        groups, x, y = [], 0, 0
+        for x_end, y_end in zip((ends_a - i).tolist(), (ends_b - j).tolist()):
+            groups.append(f"{','.join(names_a[x:x_end])}|{','.join(names_b[y:y_end])}")
+            x, y = x_end, y_end
+        i, j, at, k = i + x, j + y, until, 0
+        for n in sizes:
+            out.append(";".join(groups[k : k + n]))
+            k += n
     return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The size in bytes, and the compressed bytes: what Spark holds, sorts and sends of a slice is less than half as large."""
+    data = values.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), kind)
+
+
 SLICED = (
     "slice bigint, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
     "n_links array<bigint>, groups array<string>, parts binary, n_parts binary, links binary, part_links binary, "
@@ -202,6 +232,7 @@ def _slice_rows(docs: DataFrame, path_a: str, path_b: str, digest: bool, limit:
         inner = inner_parts(data, at, offsets, which, len(parts))
         good, a, n_a, ends_a, b, n_b, ends_b = both.tokens(parts, counts, inner)
         found = Aligned(n_a, ends_a, n_b, ends_b)
+        del data, inner, counts, parts, ends_a, ends_b
         first = np.searchsorted(at, offsets)  # of each text's parts
         bad = np.concatenate([[0], np.cumsum(~good[which])])
         clean = bad[first[1:]] == bad[first[:-1]]
@@ -213,10 +244,12 @@ def _slice_rows(docs: DataFrame, path_a: str, path_b: str, digest: bool, limit:
             total = np.concatenate([[0], np.cumsum(n[which])])
             sums.append(np.diff(total[ends]))
         texts = _group_texts(a, b, found, both.names)
-        groups = [";".join([texts[k] for k in which[x:y].tolist()]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        if digest:
-            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-        used = np.bincount(which, minlength=len(parts))
+        groups = []
+        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            own = ";".join([texts[k] for k in which[x:y].tolist()])
+            groups.append(hashlib.sha256(own.encode()).hexdigest() if digest and own else own)
+        del texts
+        used = np.bincount(which, minlength=len(good))
         links = (a[found.link_a] << 32) | b[found.link_b]
         pairs, links = np.unique(links, return_inverse=True)
         weight = np.repeat(used, found.n_links)
@@ -224,8 +257,8 @@ def _slice_rows(docs: DataFrame, path_a: str, path_b: str, digest: bool, limit:
         np.add.at(pair_counts, links, weight)
         values = [number, batch.column("doc_id").to_pylist(), *(s.tolist() for s in sums), groups]
         values += [
-            which.astype("<i4").tobytes(), n_parts.astype("<i8").tobytes(), links.astype("<i4").tobytes(),
-            found.n_links.astype("<i4").tobytes(), pairs.astype("<i8").tobytes(), pair_counts.tobytes(),
+            _packed(which.astype("<i4")), _packed(n_parts.astype("<i8")), _packed(links.astype("<i4")),
+            _packed(found.n_links.astype("<i4")), _packed(pairs.astype("<i8")), _packed(pair_counts.astype("<i8")),
         ]
         longs = pa.list_(pa.int64())
         types = [pa.int64(), *[longs] * 5, pa.list_(pa.string()), *[pa.binary()] * 6]
@@ -248,9 +281,10 @@ def _slice_pairs(rows: DataFrame) -> DataFrame:
     """slice, a, b, n: how often a pair of ids is linked in a slice."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_vocabularies()
         for batch in batches:
             for number, pairs, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs, counts = np.frombuffer(pairs, "<i8"), np.frombuffer(counts, "<i8")
+                pairs, counts = _unpacked(pairs, "<i8"), _unpacked(counts, "<i8")
                 some = counts > 0
                 pairs, counts = pairs[some], counts[some]
                 columns = [np.full(len(pairs), number), (pairs >> 32).astype(np.int32), pairs.astype(np.int32), counts]
@@ -292,17 +326,17 @@ def align_documents(
     needed = pairs.drop("n").join(counts, ["a", "b"])
 
     def finish(own: pa.Table, sums: pa.Table) -> pa.Table:
-        give_back()
+        _drop_vocabularies()
         out = []
         for row in own.to_pylist():
-            pairs = np.frombuffer(row["pairs"], "<i8")
+            pairs = _unpacked(row["pairs"], "<i8")
             key = (sums.column("a").to_numpy().astype(np.int64) << 32) | sums.column("b").to_numpy()
             at = np.searchsorted(pairs, key)
             count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
             count[at] = sums.column("count").to_numpy()
             best[at] = sums.column("best").to_numpy(zero_copy_only=False)
-            which, n_parts = np.frombuffer(row["parts"], "<i4"), np.frombuffer(row["n_parts"], "<i8")
-            links, n_links = np.frombuffer(row["links"], "<i4"), np.frombuffer(row["part_links"], "<i4")
+            which, n_parts = _unpacked(row["parts"], "<i4"), _unpacked(row["n_parts"], "<i8")
+            links, n_links = _unpacked(row["links"], "<i4"), _unpacked(row["part_links"], "<i4")
             link_ends = np.concatenate([[0], np.cumsum(n_links, dtype=np.int64)])
             ends = np.concatenate([[0], np.cumsum(n_parts)])
             sums_of = []

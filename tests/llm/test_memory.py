@@ -3,12 +3,13 @@
 import os
 import subprocess
 import sys
+import weakref
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 
-from edgelog.llm import collocations, shared
+from edgelog.llm import alignment, collocations, shared
 
 ALIGNED = """
 import random, re, sys
@@ -59,3 +60,26 @@ def test_windows_go_out_in_bounded_batches():
     assert len(batches) > 1 and max(b.num_rows for b in batches) <= 1 << 16
     found = {tuple(p): n for b in batches for p, n in zip(b.column("phrase").to_pylist(), b.column("n").to_pylist())}
     assert found == Counter(zip(codes[:-1].tolist(), codes[1:].tolist()))
+
+
+def test_steps_behind_the_encoding_drop_the_vocabularies(monkeypatch):
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    paths = tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    monkeypatch.setattr(alignment, "_PAIRS", {paths: alignment._Pair(*paths)})
+    encoder = weakref.ref(alignment._PAIRS[paths].a)
+    assert encoder().memory <= 32 << 20
+    assert list(alignment._slice_pairs(Rows())(iter([]))) == []
+    assert not alignment._PAIRS and encoder() is None
+
+
+def test_slices_travel_compressed():
+    for values in (np.zeros(0, "<i4"), np.arange(5, dtype="<i8"), np.tile(np.arange(900, dtype="<i4"), 300)):
+        packed = alignment._packed(values)
+        assert (alignment._unpacked(packed, values.dtype.str) == values).all()
+    assert len(packed) < values.nbytes // 4
